@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import packing, simhash_dedup, token_files
+from siftwell.llm import decontaminate, host_rules, packing, preference_format, simhash_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,14 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_format.format_preferences(preference_format.neighbour_pairs(_table(spark, sf_dir, "conversations")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(_table(spark, sf_dir, "documents"))
 
@@ -27,5 +35,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op5_token_files, op6_packing)}
-ORACLES: dict[str, str] = {}
+def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_decontamination,
+        op4_preference_formatting,
+        op5_token_files,
+        op6_packing,
+        op8_host_quality,
+    )
+}
+#: SQL for DuckDB where it can express the whole query.
+ORACLES: dict[str, str] = {
+    "op4_preference_formatting": preference_format.ORACLE_SQL,
+    "op8_host_quality": host_rules.ORACLE_SQL,
+}
