@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import decontaminate, host_rules, packing, preference_format, simhash_dedup, token_files
+from siftwell.llm import decontaminate, host_rules, packing, preference_format, simhash_dedup, token_files, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_format.format_preferences(preference_format.neighbour_pairs(_table(spark, sf_dir, "conversations")))
 
@@ -35,6 +39,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_rules.judge_urls(pages, url_rules.page_labels(pages, _table(spark, sf_dir, "labels")))
+
+
 def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -44,9 +53,11 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_simhash_near_dedup,
         op2_decontamination,
+        op3_toxicity,
         op4_preference_formatting,
         op5_token_files,
         op6_packing,
+        op7_url_rules,
         op8_host_quality,
     )
 }
