@@ -2,8 +2,9 @@
 
 The channel turns letters into look-alikes (1d10t), puts marks between them (i.d.i.o.t), spaces them (i d i o t) and repeats them
 (idiooot). A suspicious word is a lattice of what each character may stand for; a character trigram model, counted over all
-documents, picks the likeliest path. Scores are a logistic regression over starts of words (4 to 7 letters) and whole words, in the
-text as it stands and as restored, so that inflected and compound forms of an abusive stem count too.
+documents, picks the likeliest path. Scores are a logistic regression over starts of words (4 to 9 letters), starts that two or
+more words of a text share, and whole words, in the text as it stands and as restored; so inflected and compound forms of an abusive
+stem count too.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ MAX_TRAIN_ROWS = 20_000
 #: Features of the model, strongest first.
 MAX_FEATURES = 400
 #: Least z-score of a feature's log odds.
-MIN_Z = 4.0
+MIN_Z = 3.5
 MEMO_WORDS = 500_000
-STARTS = range(4, 8)
+STARTS = range(4, 10)
 
 # Letters of the character model, and what a character may stand for.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõùúûüýÿßœ"
@@ -160,29 +161,35 @@ def features(word: str, model: CharModel) -> set[str]:
     return out
 
 
+#: Ends the name of a feature that two or more different words of a text have.
+TWICE = "+2"
+
+
 def _reader(model: CharModel, index: dict[str, int] | None) -> Callable[[str], set]:
     """The features of a text: names, or numbers of those in index. Words are memoized."""
     memo: dict[str, tuple] = {}
+    wanted = None if index is None else {f.removesuffix(TWICE) for f in index}
 
     def learn(word: str) -> tuple:
         if len(memo) > MEMO_WORDS:
             memo.clear()
         got = features(word, model)
-        memo[word] = out = tuple(got) if index is None else tuple(index[f] for f in got if f in index)
+        memo[word] = out = tuple(got if wanted is None else got & wanted)
         return out
 
     def read(text: str | None) -> set:
         text = text or ""
         words = set(text.split())
         words.update("".join(m.group().split(" ")) for m in _SPACED.finditer(text))
-        found: set = set()
+        found: Counter = Counter()
         for w in words:
             got = memo.get(w)
             if got is None:
                 got = learn(w)
             if got:
                 found.update(got)
-        return found
+        names = {*found, *(f + TWICE for f, n in found.items() if n > 1 and f[-1] != "$")}
+        return names if index is None else {index[f] for f in names if f in index}
 
     return read
 
@@ -198,19 +205,28 @@ class ToxicityModel:
         return lambda text: float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[list(read(text))].sum(), -30, 30))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Newton steps; the intercept isn't penalized."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
+    """Damped Newton steps on the ridge-penalized likelihood; the intercept isn't penalized."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x1.shape[1])
     w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     pen = np.full(len(w), ridge)
     pen[-1] = 1e-6
-    for _ in range(25):
+
+    def loss(w: np.ndarray) -> float:
+        z = x1 @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + pen @ w**2 / 2)
+
+    now = loss(w)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
         step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(pen), x1.T @ (p - y) + pen * w)
-        w -= step
-        if np.abs(step).max() < 1e-5:
+        size = 1.0
+        while (new := loss(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        if now - new < 1e-6 * abs(now):
             break
+        w, now = w - size * step, new
     return w[:-1], float(w[-1])
 
 
