@@ -30,18 +30,22 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, drops_space: bool = True) -> DataFrame:
     """PIECES rows: each document's ids and its end id, cut every seq_len. Null texts count as empty and hold the end id alone."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         enc = encoder(tokenizer_path, drops_space)
         for b in batches:
-            rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                x = np.append(np.frombuffer(ids, enc.kind), np.array([end_id], enc.kind)).astype("<u4")
-                rows += [(doc, at, min(seq_len, len(x) - at), zlib.crc32(x[at : at + seq_len].tobytes()), len(x)) for at in range(0, len(x), seq_len)]
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            ids, counts = enc.encode(b.column(1))
+            ids, counts = np.insert(ids, np.cumsum(counts), enc.kind.type(end_id)).astype("<u4"), counts + 1
+            pieces = -(-counts // seq_len)
+            doc = np.repeat(np.arange(len(counts)), pieces)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * seq_len
+            length = np.minimum(seq_len, counts[doc] - start)
+            at = (np.cumsum(counts) - counts)[doc] + start
+            data = memoryview(ids.tobytes())
+            crc = [zlib.crc32(data[4 * i : 4 * (i + n)]) for i, n in zip(at.tolist(), length.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, counts[doc]))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return picked.mapInArrow(run, PIECES)
 

@@ -17,6 +17,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ SEQ_LEN = 2048
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_BPE_END = 2
 #: Memoized pieces of text per Python worker; beyond it the memo starts anew.
-MEMO_PIECES = 700_000
+MEMO_PIECES = 1_200_000
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -36,9 +37,13 @@ class Encoder:
     """Ids of whole texts as little-endian bytes, equal to one call of the tokenizer on each whole text.
 
     A byte-level tokenizer never lets a token cross into a single space between two printing characters, and one that drops
-    white space never crosses any; so texts are cut there, and each distinct piece is encoded once.
+    white space never crosses any; so texts are cut there, and each distinct piece is encoded once. Neither has tokens across
+    the end of a letter run, so a piece's closing punctuation, and what follows a line break, are encoded apart.
     """
 
+    #: ASCII marks that end a run of letters; not the apostrophe, which may begin a contraction.
+    MARKS = '.,;:!?#$%&*|()"'
+
     def __init__(self, path: str, drops_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -46,39 +51,95 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = drops_space
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        # pieces are encoded many at a time, told apart by a token of its own that they don't hold
+        self.between = " \x01 " if drops_space else "\n"
+        (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, memo: dict[str, bytes | None], pieces: list[str], lead: str) -> None:
-        code = "H" if self.kind.itemsize == 2 else "I"
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([lead + p for p in some], add_special_tokens=False)):
-                memo[p] = array(code, e.ids).tobytes()
-        if lead:  # next to other white space a cut could fall within a token
-            memo.update((p, None) for p in pieces if not p or p[0].isspace() or p[-1].isspace())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [(t.replace("\n", " ") if self.drops_space else t).split(" ") for t in texts]
+        self.later: dict[str, bytes | int] = self.first if drops_space else {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _encode_all(self, memo: dict, pieces: list[str], lead: str) -> None:
+        plain = [p for p in pieces if p and self.between.strip(" ") not in p]
+        for p in set(pieces).difference(plain):
+            memo[p] = self._ids(lead + p).tobytes() if p else b""
+        for at in range(0, len(plain), 500):
+            some = plain[at : at + 500]
+            ids = self._ids(lead + (self.between + lead).join(some))
+            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            if len(cuts) == len(some) + 1:
+                data, width = ids.tobytes(), self.kind.itemsize
+                memo.update((p, data[(i + 1) * width : j * width]) for p, i, j in zip(some, cuts, cuts[1:]))
+            else:  # a token of the pieces' own looks like the mark
+                memo.update((p, self._ids(lead + p).tobytes()) for p in some)
+
+    def _learn(self, memo: dict, pieces: set[str], lead: str) -> None:
+        whole = [p for p in pieces if p[-1:].isalnum() and "\n" not in p]
+        joined = []
+        for p in pieces.difference(whole):
+            core, tail = p, ""
+            if "\n" in p:
+                core, tail = p.split("\n", 1)
+                if not core or not tail or core[-1].isspace() or tail[0].isspace():
+                    core, tail = p, ""
+                else:
+                    tail = "\n" + tail
+            else:
+                core = p.rstrip(self.MARKS)
+                core, tail = (core, p[len(core) :]) if core[-1:].lower()[-1:].isalpha() else (p, "")
+            joined.append((p, core, tail)) if tail else whole.append(p)
+        if joined:
+            self._learn(memo, {c for _, c, _ in joined}.difference(memo, whole), lead)
+            lines = {t[1:] for _, _, t in joined if t[0] == "\n"}
+            self._learn(self.first, lines.union(t for _, _, t in joined if t[0] != "\n").difference(self.first), "")
+        self._encode_all(memo, whole, lead)
+        if not self.drops_space:
+            newline = self._ids("\n").tobytes()
+            for p, c, t in joined:
+                memo[p] = 0 if memo[c] == 0 else memo[c] + (newline + self.first[t[1:]] if t[0] == "\n" else self.first[t])
+            if lead:  # next to other white space a cut could fall within a token; an int keeps such pieces from being joined
+                memo.update((p, 0) for p in pieces if not p or len(p.strip()) < len(p))
+        else:
+            memo.update((p, memo[c] + self.first[t]) for p, c, t in joined)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow array of texts without nulls, and how many each text has."""
         for memo in (self.first, self.later):
             if len(memo) > MEMO_PIECES:
                 memo.clear()
-        if self.drops_space:
-            self._learn(self.later, [p for p in set().union(*cut) if p not in self.later], "")
-            return [b"".join(map(self.later.__getitem__, c)) for c in cut]
-        heads = [c[0] for c in cut]
-        cut = [c[1:] for c in cut]
-        self._learn(self.first, [p for p in set(heads) if p not in self.first], "")
-        self._learn(self.later, [p for p in set().union(*cut) if p not in self.later], " ")
-        out = []
-        for t, h, c in zip(texts, heads, cut):
-            try:
-                if c and (not h or h[-1].isspace()):
-                    raise TypeError
-                out.append(self.first[h] + b"".join(map(self.later.__getitem__, c)))
-            except TypeError:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes())
-        return out
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " ") if self.drops_space else texts, " ")
+        words, bounds = cut.flatten().dictionary_encode(), np.cumsum([0, *cut.value_lengths().to_numpy()])
+        at, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        odd = np.zeros(len(texts), bool)
+        if not self.drops_space:
+            heads = [distinct[i] for i in at[bounds[:-1]]]
+            self._learn(self.first, set(heads).difference(self.first), "")
+            used = np.zeros(len(distinct) + 1, bool)
+            inner = np.ones(len(at), bool)
+            inner[bounds[:-1]] = False
+            used[at[inner]] = True
+            odd |= np.array([not h or h[-1].isspace() for h in heads], bool) & (np.diff(bounds) > 1)
+            at[bounds[:-1]] = len(distinct) + np.arange(len(heads))
+        else:
+            heads, used = [], np.ones(len(distinct), bool)
+        self._learn(self.later, {p for p, u in zip(distinct, used) if u and p not in self.later}, "" if self.drops_space else " ")
+        known = [self.later[p] if u else b"" for p, u in zip(distinct, used)]
+        strange = [i for i, k in enumerate(known) if k == 0]
+        if strange:
+            known = [k or b"" for k in known]
+            odd |= np.logical_or.reduceat(np.isin(at, strange), bounds[:-1])
+        known += [self.first[h] for h in heads]
+        taken = pa.array(known, pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(at) + 1, taken.offset * 8)
+        ids = np.frombuffer(taken.buffers()[2] or b"", self.kind, (ends[-1] - ends[0]) // self.kind.itemsize, ends[0])
+        counts = np.diff(ends[bounds]) // self.kind.itemsize
+        if not odd.any():
+            return ids, counts
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(odd):
+            parts[i] = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, self.kind)
+        return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
 def encoder(path: str, drops_space: bool = False) -> Encoder:
@@ -133,10 +194,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     A task writes under a name of its own and renames at its end, so a task that runs again leaves the same file.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2000)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = picked.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = picked.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches):
         from pyspark import TaskContext
@@ -150,14 +211,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             writer, listed = _StreamWriter(tokens, enc.kind, seq_len), pa.ipc.new_stream(index, INDEX)
             end = np.array([end_id], enc.kind)
             for b in batches:
-                at, counts = [], []
-                for ids in enc.encode(b.column(1).to_pylist()):
-                    ids = np.concatenate([np.frombuffer(ids, enc.kind), end])
-                    writer.add(ids)
-                    at.append(n_tokens)
-                    counts.append(len(ids))
-                    n_tokens += len(ids)
-                n_docs += len(at)
+                ids, counts = enc.encode(b.column(1))
+                ids, counts = np.insert(ids, np.cumsum(counts), end), counts + 1
+                writer.add(ids)
+                at = n_tokens + np.cumsum(counts) - counts
+                n_tokens += int(counts.sum())
+                n_docs += len(counts)
                 listed.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int64()), pa.array(counts, pa.int64())], schema=INDEX))
             writer.close()
             listed.close()
