@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import decontaminate, host_rules, packing, preference_format, simhash_dedup, token_files, toxicity, url_rules
+from siftwell.llm import decontaminate, host_rules, packing, pii, preference_format, simhash_dedup, token_files, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,10 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
         op6_packing,
         op7_url_rules,
         op8_host_quality,
+        op9_pii,
     )
 }
 #: SQL for DuckDB where it can express the whole query.
