@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import decontaminate, host_rules, packing, pii, preference_format, simhash_dedup, token_files, toxicity, url_rules
+from siftwell.llm import decontaminate, host_rules, html_extract, packing, pii, preference_format, simhash_dedup, token_files, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
         op7_url_rules,
         op8_host_quality,
         op9_pii,
+        op10_html_extraction,
     )
 }
 #: SQL for DuckDB where it can express the whole query.
