@@ -249,18 +249,34 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     if not n1 or not n0:
         return flat
 
-    def names(batches):
-        read, seen = _reader(chars, None), Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(read(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["f", "n"])
+    def counted(kind: int, wanted: dict[str, int] | None) -> DataFrame:
+        """(f, n): rows of the sample of one kind that have each feature."""
+
+        def run(batches):
+            read, seen = _reader(chars, wanted), Counter()
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    seen.update(read(t))
+            f = pa.array(list(seen), pa.int64() if wanted else pa.string())
+            yield pa.RecordBatch.from_arrays([f, pa.array(list(seen.values()), pa.int64())], names=["f", "n"])
 
-    # candidates: what toxic rows of the bounded sample share
+        schema = f"f {'long' if wanted else 'string'}, n long"
+        return rows.where(F.col("toxic") == kind).select("text").mapInArrow(run, schema).groupBy("f").agg(F.sum("n").alias("n"))
+
+    # candidates: what toxic rows of the bounded sample share; then how often the others have them
     least = max(3, n1 // 500)
-    common = rows.where("toxic = 1").select("text").mapInArrow(names, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    candidates = sorted(r.f for r in common.collect())
+    common = sorted(tuple(r) for r in counted(1, None).where(F.col("n") >= least).collect())
+    candidates = [f for f, _ in common]
     index = {f: i for i, f in enumerate(candidates)}
+    k = len(candidates)
+    a, b = np.array([n for _, n in common]) + 0.5, np.full(k, 0.5)
+    for r in counted(0, index).collect() if k else []:
+        b[r.f] += r.n
+    z = np.log(a / (n1 + 1 - a) * (n0 + 1 - b) / b) / np.sqrt(1 / a + 1 / (n1 + 1 - a) + 1 / b + 1 / (n0 + 1 - b))
+    best = [candidates[i] for i in np.lexsort((np.arange(k), -z)) if z[i] >= MIN_Z][:MAX_FEATURES]
+    if not best:
+        return flat
+    index = {f: i for i, f in enumerate(best)}
 
     def numbered(batches):
         read = _reader(chars, index)
@@ -271,20 +287,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     table = rows.mapInArrow(numbered, "toxic long, found array<int>").toArrow()
     y = (table.column("toxic").to_numpy() == 1).astype(float)
     found = table.column("found").combine_chunks()
-    col, row = found.flatten().to_numpy(), np.repeat(np.arange(len(found)), found.value_lengths().to_numpy())
-    k = len(candidates)
-    a = np.bincount(col, weights=y[row], minlength=k) + 0.5
-    b = np.bincount(col, weights=1 - y[row], minlength=k) + 0.5
-    z = np.log(a / (n1 + 1 - a) * (n0 + 1 - b) / b) / np.sqrt(1 / a + 1 / (n1 + 1 - a) + 1 / b + 1 / (n0 + 1 - b))
-    best = [i for i in np.lexsort((np.arange(k), -z)) if z[i] >= MIN_Z][:MAX_FEATURES]
-    if not best:
-        return flat
-    at = np.full(k, -1)
-    at[best] = np.arange(len(best))
     x = np.zeros((len(y), len(best)))
-    x[row[at[col] >= 0], at[col][at[col] >= 0]] = 1
+    x[np.repeat(np.arange(len(found)), found.value_lengths().to_numpy()), found.flatten().to_numpy()] = 1
     weights, intercept = _logistic(x, y)
-    return ToxicityModel(chars, [candidates[i] for i in best], weights, intercept)
+    return ToxicityModel(chars, best, weights, intercept)
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
