@@ -44,3 +44,8 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 def words_of(text: Column) -> Column:
     """Array of words of a text; empty for null or blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df to be broadcast if it has at most so many rows, which is checked here; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
