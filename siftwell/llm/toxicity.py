@@ -112,7 +112,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             options = [(c * k, -0.05)] if k < 3 else [(c, -0.7), (c * 2, -0.9)]
         elif c in LOOKALIKES:
-            options = [(x, -1.2 - 0.2 * n) for n, x in enumerate(LOOKALIKES[c])] + [(c, -2.0)]
+            options = [(x, -1.2 - 0.2 * n) for n, x in enumerate(LOOKALIKES[c])] + [(c, -4.0)]
             if c in "!|+" or k > 1:
                 options.append(("", -2.5))
         elif c in SEPARATORS:

@@ -66,3 +66,72 @@ def padding(rows, seq_len: int = 2048) -> tuple[int, int]:
         by[s] = at
     pad = sum(0 if at & (at - 1) == 0 else seq_len - at for at in by.values())
     return sum(by.values()), pad
+
+
+def shingles(words: list[str], k: int) -> Counter:
+    return Counter(" ".join(words[i : i + k]) for i in range(len(words) - k + 1))
+
+
+def leaks(docs: list[tuple], items: list[tuple], similarity: float = 0.8) -> dict:
+    """(doc, item): (similarity, start) of the first best item-sized window that is similar enough, by trying all."""
+    out: dict = {}
+    for d, text in docs:
+        w = WORDS.findall((text or "").lower())
+        for i, item in items:
+            v = WORDS.findall((item or "").lower())
+            k = min(5, len(v))
+            if not v:
+                continue
+            want = shingles(v, k)
+            for s in range(len(w) - len(v) + 1):
+                have = shingles(w[s : s + len(v)], k)
+                j = (have & want).total() / (have | want).total()
+                if j >= similarity and ((d, i) not in out or j > out[d, i][0]):
+                    out[d, i] = (j, s)
+    return out
+
+
+def quality(text: str | None) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    w = WORDS.findall(text)
+    where: dict = {}
+    for i in range(len(w) - 7):
+        where.setdefault(tuple(w[i : i + 8]), []).append(i)
+    hit = {i + k for at in where.values() if len(at) > 1 for i in at for k in range(8)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORDS.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(hit)
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def pii(t: str) -> list[tuple]:
+    out = [("email", *m.span()) for m in EMAIL.finditer(t)]
+    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in CARD.finditer(t):
+        d = re.sub("[^0-9]", "", m.group())
+        total = sum((int(c) * (1 + i % 2)) // 10 + (int(c) * (1 + i % 2)) % 10 for i, c in enumerate(reversed(d)))
+        out += [("card", *m.span())] * (14 <= len(d) <= 19 and total % 10 == 0)
+    out += [("phone", *m.span()) for m in PHONE.finditer(t) if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return sorted(out, key=lambda s: (s[1], ("email", "ip", "card", "phone").index(s[0])))
+
+
+def url_parts(url: str | None) -> tuple[str, str]:
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    return lower_az(host), re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+
+
+def url_rule(host: str, path: str, rules) -> tuple[str | None, str | None]:
+    fit = [(len(h + p), h + p, said) for said, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fit)[1:] if fit else (None, None)
