@@ -2,7 +2,7 @@
 
 The channel turns letters into look-alikes (1d10t), puts marks between them (i.d.i.o.t), spaces them (i d i o t) and repeats them
 (idiooot). A suspicious word is a lattice of what each character may stand for; a character trigram model, counted over all
-documents, picks the likeliest path. Scores are a logistic regression over starts of words (4 to 9 letters), starts that two or
+documents, picks the likeliest paths. Scores are a logistic regression over starts of words (4 to 9 letters), starts that two or
 more words of a text share, and whole words, in the text as it stands and as restored; so inflected and compound forms of an abusive
 stem count too.
 """
@@ -112,7 +112,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             options = [(c * k, -0.05)] if k < 3 else [(c, -0.7), (c * 2, -0.9)]
         elif c in LOOKALIKES:
-            options = [(x, -1.2 - 0.2 * n) for n, x in enumerate(LOOKALIKES[c])] + [(c, -4.0)]
+            options = [(x, -1.2 - 0.2 * n) for n, x in enumerate(LOOKALIKES[c])] + [(c, -8.0)]
             if c in "!|+" or k > 1:
                 options.append(("", -2.5))
         elif c in SEPARATORS:
@@ -124,31 +124,38 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(word: str, model: CharModel) -> str:
-    """The likeliest letters behind a lower-cased word (Viterbi over the last two letters)."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+#: Readings of a disguised word that are scored, likeliest first.
+READINGS = 3
+
+
+def readings(word: str, model: CharModel, n: int = READINGS) -> list[str]:
+    """The n likeliest texts behind a lower-cased word: list Viterbi over the last two letters."""
+    paths: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
     for options in [*lattice(word), [("\n", 0.0)]]:
-        grown: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, said) in paths.items():
+        grown: dict[tuple[int, int], list[tuple[float, str]]] = {}
+        for (a, b), best in paths.items():
             for text, cost in options:
-                x, y, total = a, b, score + cost
+                x, y, total = a, b, cost
                 for c in text:
                     z = _IDS.get(c, 1 if c.isalpha() else 0)
                     total += float(model.logp[x, y, z])
                     x, y = y, z
-                if (x, y) not in grown or grown[x, y][0] < total:
-                    grown[x, y] = (total, said + text)
-        paths = grown
-    return max(paths.values())[1].strip()
+                grown.setdefault((x, y), []).extend((score + total, said + text) for score, said in best)
+        paths = {k: sorted(v, reverse=True)[:n] for k, v in grown.items()}
+    return list(dict.fromkeys(said.strip() for _, said in sorted((p for v in paths.values() for p in v), reverse=True)))[:n]
+
+
+def restore(word: str, model: CharModel) -> str:
+    return readings(word, model, 1)[0]
 
 
 def forms(word: str, model: CharModel) -> list[str]:
-    """The letter runs of a word, and of what it was if it looks disguised."""
+    """The letter runs of a word, and of what it may have been if it looks disguised."""
     low = word.lower()
     core = _TRIM.sub("", low)
     found = _RUNS.findall(core)
     if _SUSPECT.search(core) and len(core) <= 64:
-        found += _RUNS.findall(restore(core, model))
+        found += [run for said in readings(core, model) for run in _RUNS.findall(said)]
     return found
 
 

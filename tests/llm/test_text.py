@@ -37,7 +37,7 @@ def chars(spark):
     return X.CharModel([tuple(r) for r in X.count_trigrams(spark.read.parquet(f"{SF2}/documents.parquet")).collect()])
 
 
-@pytest.mark.parametrize(("word", "plain"), [("1d10t", "idiot"), ("sc.u.m", "scum"), ("m0r0n", "moron"), ("$tupid", "stupid"), ("idiiiiot", "idiot"), ("tr@sh", "trash"), ("l0ser", "loser")])
+@pytest.mark.parametrize(("word", "plain"), [("1d10t", "idiot"), ("w0rth1ess", "worthless"), ("sc.u.m", "scum"), ("m0r0n", "moron"), ("$tupid", "stupid"), ("idiiiiot", "idiot"), ("tr@sh", "trash"), ("l0ser", "loser")])
 def test_disguised_words_are_restored(chars, word, plain):
     assert plain in X.forms(word, chars)
 
