@@ -36,9 +36,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
+def small_batches(spark: SparkSession, rows: int = 500, megabytes: int = 32) -> None:
     """Bound what one Arrow batch of whole texts can hold in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
 def words_of(text: Column) -> Column:
@@ -49,3 +50,17 @@ def words_of(text: Column) -> Column:
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df to be broadcast if it has at most so many rows, which is checked here; else as it is, for a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dict that lives as long as its Python worker, until a task of another operator needs the memory."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def drop_caches() -> None:
+    for c in _caches:
+        c.clear()

@@ -30,7 +30,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, drops_space: bool = True) -> DataFrame:
     """PIECES rows: each document's ids and its end id, cut every seq_len. Null texts count as empty and hold the end id alone."""
-    small_batches(docs.sparkSession, 2000)
+    small_batches(docs.sparkSession, 4000, 12)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import small_batches, stage
+from siftwell.llm.common import drop_caches, small_batches, stage
 
 RADIUS = 3
 SHINGLE = 3
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
 
     def run(batches):
+        drop_caches()
         for b in batches:
             fps = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=[id_col, "fp"])
@@ -215,12 +216,159 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component: that of the least id. Of rows that repeat an id, one stays.
+# --- copies that are looser than one fingerprint's radius reaches
+
+#: 64-bit words of a wide fingerprint, those of them that are searched by ball hashing, and the radius in a word.
+WORDS = 8
+SEARCHED = 5
+WORD_RADIUS = 5
+#: Wide fingerprints of texts with a 5-word Jaccard similarity of 0.8 differ in about 50 of 512 bits.
+WIDE_LIMIT = 56
+
+
+def wide_fingerprint(data: bytes | None, shingle: int = SHINGLE, words: int = WORDS) -> np.ndarray:
+    """Independent 64-bit SimHashes of one text, over remixed shingle hashes; zeros for a text without words."""
+    said = (data or b"").lower().split()
+    if not said:
+        return np.zeros(words, np.uint64)
+    grams = [b" ".join(said)] if len(said) <= shingle else map(b" ".join, zip(*(said[i:] for i in range(shingle))))
+    h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64)
+    ones = np.zeros((words, 64), np.int64)
+    for at in range(0, len(h), 1 << 15):
+        part = h[at : at + (1 << 15)]
+        for t in range(words):
+            z = part + np.uint64(t * 0x9E3779B97F4A7C15 % 2**64)
+            if t:  # a bijection of 64 bits that keeps nothing of the words before
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                z ^= z >> np.uint64(31)
+            ones[t] += np.unpackbits(z.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def near_links(words: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """(node, neighbour at most radius bits away): a spanning forest of one meeting group."""
+    left, out = np.arange(len(words)), []
+    while len(left) > 1:
+        frontier, rest = left[:1], left[1:]
+        while len(frontier) and len(rest):
+            grown = []
+            for f in frontier:
+                near = np.bitwise_count(words[rest] ^ words[f]) <= radius
+                out += [(int(nodes[i]), int(nodes[f])) for i in rest[near]]
+                grown.append(rest[near])
+                rest = rest[~near]
+                if not len(rest):
+                    break
+            frontier = np.concatenate(grown)
+        left = rest
+    return out
 
-    Rows with a null id can't be named as anyone's copy and stay. Columns are kept as they are, extra ones too.
+
+def _word_links(keyed: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links of bounded groups; keyed has (key, word, node) sorted by key within each partition."""
+
+    def run(batches):
+        key, held = None, []
+
+        def close() -> list[tuple[int, int]]:
+            if not held:
+                return []
+            w, n = (np.concatenate(x) for x in zip(*held))
+            links = near_links(w.view(np.uint64), n, radius)
+            # the first word's own radius needs no more, so its links must hold together by themselves
+            return links + near_links(w.view(np.uint64), n, RADIUS) if key >> 33 == 0 and len(n) > 2 else links
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, words, nodes = (b.column(i).to_numpy() for i in range(3))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+            edges: list[tuple[int, int]] = []
+            # groups of two that lie within the batch are most of all; they are done at once
+            lo = cuts[1:-2][np.diff(cuts[1:-1]) == 2] if len(cuts) > 3 else np.zeros(0, int)
+            near = np.bitwise_count((words[lo] ^ words[lo + 1]).view(np.uint64)) <= radius
+            pairs = np.stack([nodes[lo[near]], nodes[lo[near] + 1]], axis=1)
+            done = set(lo.tolist())
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if x in done or y - x == 1 and x and y < len(keys):
+                    continue
+                if keys[x] != key:
+                    edges += close()
+                    held, key = [], keys[x]
+                held.append((words[x:y], nodes[x:y]))
+            yield _edge_batch(np.concatenate([pairs, np.array(edges, np.int64).reshape(-1, 2)]))
+        yield _edge_batch(np.array(close(), np.int64))
+
+    return keyed.mapInArrow(run, "a long, b long")
+
+
+def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = WIDE_LIMIT, shingle: int = SHINGLE, group_bound: int = GROUP_BOUND) -> DataFrame:
+    """(id_col, component_id) for every row: texts link whose wide fingerprints differ in at most RADIUS bits of the first word (the
+    fingerprint of simhash_components), or in at most limit of all WORDS x 64 bits and at most WORD_RADIUS bits of a searched word.
+
+    Within a word, one half of two such fingerprints differs by at most 2, so both emit the half's variants within 1 and meet. Links
+    that meet are verified on the whole width. Meeting points of more than group_bound words go to the full ball, which finds all
+    links within RADIUS bits of a word there. Nulls and repeats are treated as in simhash_components.
     """
-    found = simhash_components(docs, id_col, text_col, radius, shingle)
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        drop_caches()
+        for b in batches:
+            fps = np.stack([wide_fingerprint(t, shingle) for t in b.column(1).to_pylist()]) if b.num_rows else np.zeros((0, WORDS), np.uint64)
+            lists = pa.ListArray.from_arrays(np.arange(0, fps.size + 1, WORDS, dtype=np.int32), pa.array(fps.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[id_col, "fps"])
+
+    picked = docs.select(id_col, F.col(text_col).cast("binary").alias("text"))
+    prints = stage(picked.mapInArrow(run, f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, fps array<long>"), "wide-prints")
+    nodes = prints.groupBy("fps").agg(F.min(id_col).alias("least_id")).withColumn("node", F.monotonically_increasing_id())
+    nodes = stage(nodes, "wide-nodes")  # numbers hold once they are written
+
+    def variants(t: int, side: int):
+        word = F.get("fps", F.lit(t))
+        half = F.shiftrightunsigned(word, 32) if side else word.bitwiseAND(F.lit(0xFFFFFFFF))
+        tag = F.lit((t * 2 + side) << 32)
+        near = F.transform(F.array(*[F.lit(1 << i) for i in range(32)]), lambda bit: half.bitwiseXOR(bit).bitwiseOR(tag))
+        return F.transform(F.concat(F.array(half.bitwiseOR(tag)), near), lambda k: F.struct(k.alias("key"), word.alias("word")))
+
+    every = F.concat(*[variants(t, side) for t in range(SEARCHED) for side in (0, 1)])
+    keyed = nodes.select("node", F.explode(every).alias("v")).select("v.key", "v.word", "node")
+    shared = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-meetings")
+    near = keyed.join(shared.where(F.col("n") <= group_bound).select("key"), "key").select("key", "word", "node")
+    links = _word_links(near.repartition("key").sortWithinPartitions("key"), WORD_RADIUS)
+    if shared.where(F.col("n") > group_bound).limit(1).count():
+        hot = keyed.join(shared.where(F.col("n") > group_bound).select("key"), "key", "left_semi").select("word", "node").distinct()
+        hot = stage(hot, "wide-swarm")
+        ball = _ball_edges(hot.select(F.col("word").alias("fp")).distinct(), RADIUS)
+        first = hot.groupBy("word").agg(F.min("node").alias("node"))
+        of = lambda c: first.select(F.col("word").alias(c), F.col("node").alias(f"{c}_node"))
+        links = links.union(ball.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+        links = links.union(hot.join(first.select("word", F.col("node").alias("b")), "word").select(F.col("node").alias("a"), "b"))
+    links = stage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "wide-links")
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("fps").alias(f"{c}_fps"))
+    apart = F.aggregate(F.zip_with("a_fps", "b_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    first_word = F.bit_count(F.get("a_fps", F.lit(0)).bitwiseXOR(F.get("b_fps", F.lit(0)))) <= RADIUS
+    stars = connected(links.join(of("a"), "a").join(of("b"), "b").where((apart <= limit) | first_word).select("a", "b"), "wide-stars")
+    rooted = nodes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select("fps", "least_id", F.coalesce("b", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return prints.join(rooted.join(least, "root").select("fps", "component_id"), "fps").select(id_col, "component_id")
+
+
+def drop_loose_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As drop_near_duplicates, by wide_components: near copies of a 5-word Jaccard similarity of about 0.8 or more go too."""
+    return _least_of_each(docs, wide_components(docs, id_col, text_col), id_col)
+
+
+def _least_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     stays = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stays")).distinct()
     kept = docs.join(stays, docs[id_col] == F.col("__stays"), "left_semi").dropDuplicates([id_col])
     return kept.unionAll(docs.where(F.col(id_col).isNull()))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """docs with one row of each component: that of the least id. Of rows that repeat an id, one stays.
+
+    Rows with a null id can't be named as anyone's copy and stay. Columns are kept as they are, extra ones too.
+    """
+    return _least_of_each(docs, simhash_components(docs, id_col, text_col, radius, shingle), id_col)

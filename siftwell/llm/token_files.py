@@ -22,14 +22,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import fresh_path, small_batches, stage
+from siftwell.llm.common import fresh_path, small_batches, stage, worker_cache
 
 SEQ_LEN = 2048
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_BPE_END = 2
 #: Memoized pieces of text per Python worker; beyond it the memo starts anew.
-MEMO_PIECES = 1_200_000
+MEMO_PIECES = 700_000
 
+#: Stands for a piece whose ids depend on its neighbours.
+ODD = 0
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -54,8 +56,8 @@ class Encoder:
         # pieces are encoded many at a time, told apart by a token of its own that they don't hold
         self.between = " \x01 " if drops_space else "\n"
         (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes | int] = self.first if drops_space else {}
+        self.first: dict[str, bytes] = worker_cache()
+        self.later: dict[str, bytes | int] = self.first if drops_space else worker_cache()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -97,9 +99,9 @@ class Encoder:
         if not self.drops_space:
             newline = self._ids("\n").tobytes()
             for p, c, t in joined:
-                memo[p] = 0 if memo[c] == 0 else memo[c] + (newline + self.first[t[1:]] if t[0] == "\n" else self.first[t])
-            if lead:  # next to other white space a cut could fall within a token; an int keeps such pieces from being joined
-                memo.update((p, 0) for p in pieces if not p or len(p.strip()) < len(p))
+                memo[p] = ODD if memo[c] is ODD else memo[c] + (newline + self.first[t[1:]] if t[0] == "\n" else self.first[t])
+            if lead:  # next to other white space a cut could fall within a token; such texts are encoded whole
+                memo.update((p, ODD) for p in pieces if not p or len(p.strip()) < len(p))
         else:
             memo.update((p, memo[c] + self.first[t]) for p, c, t in joined)
 
@@ -109,31 +111,32 @@ class Encoder:
             if len(memo) > MEMO_PIECES:
                 memo.clear()
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " ") if self.drops_space else texts, " ")
-        words, bounds = cut.flatten().dictionary_encode(), np.cumsum([0, *cut.value_lengths().to_numpy()])
-        at, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
-        odd = np.zeros(len(texts), bool)
+        bounds = np.cumsum([0, *cut.value_lengths().to_numpy()])
+        words = cut.flatten().dictionary_encode()
+        del cut
+        at, distinct = words.indices.to_numpy().copy(), words.dictionary.to_pylist()
+        del words
+        odd, heads = np.zeros(len(texts), bool), []
         if not self.drops_space:
             heads = [distinct[i] for i in at[bounds[:-1]]]
             self._learn(self.first, set(heads).difference(self.first), "")
-            used = np.zeros(len(distinct) + 1, bool)
-            inner = np.ones(len(at), bool)
-            inner[bounds[:-1]] = False
-            used[at[inner]] = True
             odd |= np.array([not h or h[-1].isspace() for h in heads], bool) & (np.diff(bounds) > 1)
             at[bounds[:-1]] = len(distinct) + np.arange(len(heads))
-        else:
-            heads, used = [], np.ones(len(distinct), bool)
-        self._learn(self.later, {p for p, u in zip(distinct, used) if u and p not in self.later}, "" if self.drops_space else " ")
-        known = [self.later[p] if u else b"" for p, u in zip(distinct, used)]
-        strange = [i for i, k in enumerate(known) if k == 0]
+        known = list(map(self.later.get, distinct))
+        new = [i for i, k in enumerate(known) if k is None]
+        self._learn(self.later, {distinct[i] for i in new}, "" if self.drops_space else " ")
+        for i in new:
+            known[i] = self.later[distinct[i]]
+        strange = [i for i, k in enumerate(known) if k is ODD]
         if strange:
-            known = [k or b"" for k in known]
             odd |= np.logical_or.reduceat(np.isin(at, strange), bounds[:-1])
+            for i in strange:
+                known[i] = b""
         known += [self.first[h] for h in heads]
-        taken = pa.array(known, pa.large_binary()).take(pa.array(at))
-        ends = np.frombuffer(taken.buffers()[1], np.int64, len(at) + 1, taken.offset * 8)
-        ids = np.frombuffer(taken.buffers()[2] or b"", self.kind, (ends[-1] - ends[0]) // self.kind.itemsize, ends[0])
-        counts = np.diff(ends[bounds]) // self.kind.itemsize
+        taken = pa.array(known, pa.large_binary() if texts.nbytes > 1 << 28 else pa.binary()).take(pa.array(at))
+        ends = np.frombuffer(taken.buffers()[1], np.int64 if taken.type == pa.large_binary() else np.int32, len(at) + 1)
+        ids = np.frombuffer(taken.buffers()[2] or b"", self.kind, ends[-1] // self.kind.itemsize)
+        counts = np.diff(ends[bounds]).astype(np.int64) // self.kind.itemsize
         if not odd.any():
             return ids, counts
         parts = np.split(ids, np.cumsum(counts)[:-1])
@@ -194,7 +197,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     A task writes under a name of its own and renames at its end, so a task that runs again leaves the same file.
     """
     spark = docs.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark, 4000, 12)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = picked.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import small_batches, stage
+from siftwell.llm.common import drop_caches, small_batches, stage
 
 #: Labelled rows that the classifier is fitted on, in expectation; the character model is counted over all rows.
 MAX_TRAIN_ROWS = 20_000
@@ -26,7 +26,7 @@ MAX_TRAIN_ROWS = 20_000
 MAX_FEATURES = 400
 #: Least z-score of a feature's log odds.
 MIN_Z = 3.5
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 STARTS = range(4, 10)
 
 # Letters of the character model, and what a character may stand for.
@@ -174,6 +174,7 @@ TWICE = "+2"
 
 def _reader(model: CharModel, index: dict[str, int] | None) -> Callable[[str], set]:
     """The features of a text: names, or numbers of those in index. Words are memoized."""
+    drop_caches()
     memo: dict[str, tuple] = {}
     wanted = None if index is None else {f.removesuffix(TWICE) for f in index}
 
@@ -212,7 +213,7 @@ class ToxicityModel:
         return lambda text: float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[list(read(text))].sum(), -30, 30))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[np.ndarray, float]:
     """Damped Newton steps on the ridge-penalized likelihood; the intercept isn't penalized."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x1.shape[1])

@@ -135,3 +135,44 @@ def url_parts(url: str | None) -> tuple[str, str]:
 def url_rule(host: str, path: str, rules) -> tuple[str | None, str | None]:
     fit = [(len(h + p), h + p, said) for said, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fit)[1:] if fit else (None, None)
+
+
+def wide_prints(text: str | None, words: int = 8) -> list[int]:
+    said = WORDS.findall(lower_az(text or ""))
+    if not said:
+        return [0] * words
+    h = [xxhash.xxh64_intdigest(" ".join(said[i : i + 3]).encode(), 42) for i in range(max(1, len(said) - 2))]
+    out = []
+    for t in range(words):
+        mixed = []
+        for x in h:
+            z = (x + t * 0x9E3779B97F4A7C15) % 2**64
+            if t:
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+                z ^= z >> 31
+            mixed.append(z)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed)))
+    return out
+
+
+def wide_components(ids: list, texts: list, limit: int = 56) -> list:
+    f = [wide_prints(t) for t in texts]
+    root = list(range(len(f)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(f)):
+        for j in range(i):
+            apart = [(a ^ b).bit_count() for a, b in zip(f[i], f[j])]
+            if apart[0] <= 3 or sum(apart) <= limit and min(apart[:5]) <= 5:
+                root[find(i)] = find(j)
+    least: dict = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [least.get(find(i)) for i in range(len(f))]

@@ -75,6 +75,34 @@ def _edited(text: str, at: int) -> str:
     return " ".join([*w[:at], "changed", *w[at + 1 :]])
 
 
+@pytest.mark.parametrize("bound", [4096, 40])
+def test_wide_components_equal_brute_force(spark, bound):
+    rnd = random.Random(9)
+    word = lambda: rnd.choice("abcdefghij") + str(rnd.randint(0, 300))
+    texts: list = [None, "", "one", "One", "a few words"]
+    for _ in range(12):
+        base = [word() for _ in range(rnd.randint(30, 160))]
+        for _ in range(rnd.randint(1, 14)):
+            copy = list(base)
+            for _ in range(rnd.randint(0, 7)):
+                copy[rnd.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    ids = list(range(10, 10 + len(texts)))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.wide_components(df, group_bound=bound).collect()}
+    want = brute.wide_components(ids, texts)
+    if bound == 4096:
+        assert [got[i] for i in ids] == want
+    assert len(set(want)) > 12 and len(set(got.values())) >= len(set(want))
+
+
+def test_loose_dedup_on_messy_rows(messy, none):
+    kept = S.drop_loose_duplicates(messy)
+    assert kept.columns == messy.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 6, 8, 9]
+    assert S.drop_loose_duplicates(none).count() == 0
+
+
 def test_op2_equals_brute_force(spark, docs):
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").limit(25)
     pairs = [(r.item_id, r.text) for r in items.collect()]

@@ -16,7 +16,7 @@ def test_run_equals_brute_force(spark, docs):
     score, spans = toxicity.fit(docs, labels).scorer(), pii.PiiModel().spans
     left = {r.doc_id: r.text for r in docs.collect() if score(r.text) < 0.5}
     ids = sorted(left)
-    group = brute.components(ids, [brute.simhash(left[i]) for i in ids])
+    group = brute.wide_components(ids, [left[i] for i in ids])
     left = {i: left[i] for i, g in zip(ids, group) if i == g}
     dirty = {d for d, t in left.items() if any(t_ in t for _, t_ in items)}
     exact = {d for d, _ in brute.leaks([(d, left[d]) for d in dirty], items)}
