@@ -29,11 +29,15 @@ def bucket_of(own: Column, default: Column | str) -> Column:
 
 def row_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
     """Running number from 0 over a pinned order, without sorting all rows in one task: sorted ranges are numbered each, and only
-    their sizes, one row a range, meet in one place."""
+    their sizes, one row a range, meet in one place. The ranges are written once, as drawing them again could cut them elsewhere."""
+    from siftwell.session import scratch
+
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    local = parts.withColumn("__nth", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
+    path = scratch(spark, "ranges")
+    parts.withColumn("__nth", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1).write.parquet(path)
+    local = spark.read.parquet(path)
     sizes = local.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(sizes.select("__part", before.alias("__before")))

@@ -591,6 +591,19 @@ def udf08(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.size("token_ids").cast("bigint").alias("n"))
 
 
+@query("UDF09", "SELECT n_nationkey AS k, CAST(length(n_name) + 1 AS BIGINT) AS n_bytes FROM nation WHERE n_regionkey = 1")
+def udf09(spark: SparkSession, sf: str) -> DataFrame:
+    """Files are read lazily: only those that wanted rows name."""
+    from siftwell.session import scratch
+    from siftwell.sources.records import read_binary
+
+    folder = scratch(spark, "udf09")
+    run(spark, sf, "SELECT n_nationkey AS k, n_name AS value FROM nation").write.partitionBy("k").text(folder)
+    files = read_binary(spark, f"{folder}/*/part-*").withColumn("path", F.regexp_extract("path", r"k=(\d+)", 1))
+    wanted = run(spark, sf, "SELECT n_nationkey AS k, CAST(n_nationkey AS STRING) AS path FROM nation WHERE n_regionkey = 1")
+    return J.with_bytes(wanted, files).where("NOT load_error").select("k", F.length("bytes").cast("bigint").alias("n_bytes"))
+
+
 @query("spike_top1_changes", "SELECT count(*) AS n, count(*) FILTER (list_position(a, list_max(a)) <> list_position(b, list_max(b))) AS n_changed FROM ser", ser=SER)
 def spike_top1_changes(spark: SparkSession, sf: str) -> DataFrame:
     return _series(spark, sf).agg(F.count("*").alias("n"), F.count_if(A.first_argmax(F.col("a")) != A.first_argmax(F.col("b"))).alias("n_changed"))
