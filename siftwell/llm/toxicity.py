@@ -24,8 +24,8 @@ from siftwell.llm.common import drop_caches, small_batches, stage
 MAX_TRAIN_ROWS = 20_000
 #: Features of the model, strongest first.
 MAX_FEATURES = 400
-#: Least z-score of a feature's log odds.
-MIN_Z = 3.5
+#: Least log odds ratio of a feature, two standard errors below its estimate.
+MIN_LOG_ODDS = 1.0
 MEMO_WORDS = 300_000
 STARTS = range(4, 10)
 
@@ -280,8 +280,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     a, b = np.array([n for _, n in common]) + 0.5, np.full(k, 0.5)
     for r in counted(0, index).collect() if k else []:
         b[r.f] += r.n
-    z = np.log(a / (n1 + 1 - a) * (n0 + 1 - b) / b) / np.sqrt(1 / a + 1 / (n1 + 1 - a) + 1 / b + 1 / (n0 + 1 - b))
-    best = [candidates[i] for i in np.lexsort((np.arange(k), -z)) if z[i] >= MIN_Z][:MAX_FEATURES]
+    # not the z-score: in long texts common words are surely, but only a little, more frequent
+    odds = np.log(a / (n1 + 1 - a) * (n0 + 1 - b) / b) - 2 * np.sqrt(1 / a + 1 / (n1 + 1 - a) + 1 / b + 1 / (n0 + 1 - b))
+    best = [candidates[i] for i in np.lexsort((np.arange(k), -odds)) if odds[i] >= MIN_LOG_ODDS][:MAX_FEATURES]
     if not best:
         return flat
     index = {f: i for i, f in enumerate(best)}
