@@ -220,7 +220,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 #: 64-bit words of a wide fingerprint, those of them that are searched by ball hashing, and the radius in a word.
 WORDS = 8
-SEARCHED = 5
+SEARCHED = 2
 WORD_RADIUS = 5
 #: Wide fingerprints of texts with a 5-word Jaccard similarity of 0.8 differ in about 50 of 512 bits.
 WIDE_LIMIT = 56
@@ -336,6 +336,7 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = nodes.select("node", F.explode(every).alias("v")).select("v.key", "v.word", "node")
     shared = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-meetings")
     near = keyed.join(shared.where(F.col("n") <= group_bound).select("key"), "key").select("key", "word", "node")
+    small_batches(docs.sparkSession, 10_000, 8)
     links = _word_links(near.repartition("key").sortWithinPartitions("key"), WORD_RADIUS)
     if shared.where(F.col("n") > group_bound).limit(1).count():
         hot = keyed.join(shared.where(F.col("n") > group_bound).select("key"), "key", "left_semi").select("word", "node").distinct()

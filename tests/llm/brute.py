@@ -169,7 +169,7 @@ def wide_components(ids: list, texts: list, limit: int = 56) -> list:
     for i in range(len(f)):
         for j in range(i):
             apart = [(a ^ b).bit_count() for a, b in zip(f[i], f[j])]
-            if apart[0] <= 3 or sum(apart) <= limit and min(apart[:5]) <= 5:
+            if apart[0] <= 3 or sum(apart) <= limit and min(apart[:2]) <= 5:
                 root[find(i)] = find(j)
     least: dict = {}
     for i, d in enumerate(ids):
