@@ -28,11 +28,11 @@ SEQ_LEN = 2048
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_BPE_END = 2
 #: Memoized pieces of text per Python worker; beyond it the memo starts anew.
-MEMO_PIECES = 700_000
+MEMO_PIECES = 1_000_000
 
 #: Stands for a piece whose ids depend on its neighbours.
 ODD = 0
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = worker_cache()
 
 
 class Encoder:
@@ -56,8 +56,8 @@ class Encoder:
         # pieces are encoded many at a time, told apart by a token of its own that they don't hold
         self.between = " \x01 " if drops_space else "\n"
         (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
-        self.first: dict[str, bytes] = worker_cache()
-        self.later: dict[str, bytes | int] = self.first if drops_space else worker_cache()
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes | int] = self.first if drops_space else {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -105,6 +105,20 @@ class Encoder:
         else:
             memo.update((p, memo[c] + self.first[t]) for p, c, t in joined)
 
+    def _without_marks(self, pieces: pa.Array) -> tuple[pa.DictionaryArray, list[str], np.ndarray]:
+        """Pieces without the marks that follow a closing letter, the distinct runs of such marks ('' first), and each piece's run."""
+        core = pc.utf8_rtrim(pieces, characters=self.MARKS)
+        size = pc.subtract(pc.binary_length(pieces), pc.binary_length(core)).to_numpy()
+        ends_well = pc.match_substring_regex(core, r"[A-Za-z\p{Ll}]$").to_numpy(zero_copy_only=False)
+        size = np.where(ends_well & (size <= 8), size, 0)
+        core = pc.if_else(pa.array(size > 0), core, pieces)
+        tails, at = {"": 0}, np.zeros(len(size), np.int32)
+        for k in np.unique(size[size > 0]).tolist():
+            runs = pc.utf8_slice_codeunits(pieces.filter(pa.array(size == k)), -k).dictionary_encode()
+            place = np.array([tails.setdefault(t, len(tails)) for t in runs.dictionary.to_pylist()], np.int32)
+            at[size == k] = place[runs.indices.to_numpy()]
+        return core.dictionary_encode(), list(tails), at
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow array of texts without nulls, and how many each text has."""
         for memo in (self.first, self.later):
@@ -114,27 +128,31 @@ class Encoder:
         bounds = np.cumsum([0, *cut.value_lengths().to_numpy()])
         words = cut.flatten().dictionary_encode()
         del cut
-        at, distinct = words.indices.to_numpy().copy(), words.dictionary.to_pylist()
+        at, distinct = words.indices.to_numpy().copy(), words.dictionary
         del words
+        cores, tails, tail_at = self._without_marks(distinct)
+        core_at, core = cores.indices, cores.dictionary.to_pylist()
         odd, heads = np.zeros(len(texts), bool), []
         if not self.drops_space:
-            heads = [distinct[i] for i in at[bounds[:-1]]]
+            heads = distinct.take(pa.array(at[bounds[:-1]])).to_pylist()
             self._learn(self.first, set(heads).difference(self.first), "")
             odd |= np.array([not h or h[-1].isspace() for h in heads], bool) & (np.diff(bounds) > 1)
             at[bounds[:-1]] = len(distinct) + np.arange(len(heads))
-        known = list(map(self.later.get, distinct))
+        known = list(map(self.later.get, core))
         new = [i for i, k in enumerate(known) if k is None]
-        self._learn(self.later, {distinct[i] for i in new}, "" if self.drops_space else " ")
+        self._learn(self.later, {core[i] for i in new}, "" if self.drops_space else " ")
         for i in new:
-            known[i] = self.later[distinct[i]]
+            known[i] = self.later[core[i]]
         strange = [i for i, k in enumerate(known) if k is ODD]
         if strange:
-            odd |= np.logical_or.reduceat(np.isin(at, strange), bounds[:-1])
+            odd |= np.logical_or.reduceat(np.isin(at, np.flatnonzero(np.isin(core_at.to_numpy(), strange))), bounds[:-1])
             for i in strange:
                 known[i] = b""
-        known += [self.first[h] for h in heads]
-        taken = pa.array(known, pa.large_binary() if texts.nbytes > 1 << 28 else pa.binary()).take(pa.array(at))
-        ends = np.frombuffer(taken.buffers()[1], np.int64 if taken.type == pa.large_binary() else np.int32, len(at) + 1)
+        self._learn(self.first, set(tails).difference(self.first), "")
+        kind = pa.large_binary() if texts.nbytes > 1 << 28 else pa.binary()
+        whole = pc.binary_join_element_wise(pa.array(known, kind).take(core_at), pa.array([self.first[t] for t in tails], kind).take(pa.array(tail_at)), pa.scalar(b"", kind))
+        taken = pa.concat_arrays([whole, pa.array([self.first[h] for h in heads], kind)]).take(pa.array(at))
+        ends = np.frombuffer(taken.buffers()[1], np.int64 if kind == pa.large_binary() else np.int32, len(at) + 1)
         ids = np.frombuffer(taken.buffers()[2] or b"", self.kind, ends[-1] // self.kind.itemsize)
         counts = np.diff(ends[bounds]).astype(np.int64) // self.kind.itemsize
         if not odd.any():
