@@ -269,6 +269,7 @@ def _word_links(keyed: DataFrame, radius: int) -> DataFrame:
     """(a, b): links of bounded groups; keyed has (key, word, node) sorted by key within each partition."""
 
     def run(batches):
+        drop_caches()
         key, held = None, []
 
         def close() -> list[tuple[int, int]]:

@@ -26,7 +26,7 @@ MAX_TRAIN_ROWS = 20_000
 MAX_FEATURES = 400
 #: Least log odds ratio of a feature, two standard errors below its estimate.
 MIN_LOG_ODDS = 1.0
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 STARTS = range(4, 10)
 
 # Letters of the character model, and what a character may stand for.
