@@ -46,6 +46,12 @@ def small_batches(spark: SparkSession, rows: int = 500, megabytes: int = 32) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete shuffle files that no plan refers to any more; it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words_of(text: Column) -> Column:
     """Array of words of a text; empty for null or blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")

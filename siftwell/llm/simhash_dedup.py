@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import drop_caches, small_batches, stage
+from siftwell.llm.common import drop_caches, release_shuffles, small_batches, stage
 
 RADIUS = 3
 SHINGLE = 3
@@ -220,7 +220,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 #: 64-bit words of a wide fingerprint, those of them that are searched by ball hashing, and the radius in a word.
 WORDS = 8
-SEARCHED = 2
+SEARCHED = 5
 WORD_RADIUS = 5
 #: Wide fingerprints of texts with a 5-word Jaccard similarity of 0.8 differ in about 50 of 512 bits.
 WIDE_LIMIT = 56
@@ -333,20 +333,27 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = F.transform(F.array(*[F.lit(1 << i) for i in range(32)]), lambda bit: half.bitwiseXOR(bit).bitwiseOR(tag))
         return F.transform(F.concat(F.array(half.bitwiseOR(tag)), near), lambda k: F.struct(k.alias("key"), word.alias("word")))
 
-    every = F.concat(*[variants(t, side) for t in range(SEARCHED) for side in (0, 1)])
-    keyed = nodes.select("node", F.explode(every).alias("v")).select("v.key", "v.word", "node")
-    shared = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-meetings")
-    near = keyed.join(shared.where(F.col("n") <= group_bound).select("key"), "key").select("key", "word", "node")
+    def linked(t: int) -> DataFrame:
+        keyed = nodes.select("node", F.explode(F.concat(variants(t, 0), variants(t, 1))).alias("v")).select("v.key", "v.word", "node")
+        shared = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-meetings")
+        near = keyed.join(shared.where(F.col("n") <= group_bound).select("key"), "key").select("key", "word", "node")
+        links = _word_links(near.repartition("key").sortWithinPartitions("key"), WORD_RADIUS)
+        if shared.where(F.col("n") > group_bound).limit(1).count():
+            hot = keyed.join(shared.where(F.col("n") > group_bound).select("key"), "key", "left_semi").select("word", "node").distinct()
+            hot = stage(hot, "wide-swarm")
+            ball = _ball_edges(hot.select(F.col("word").alias("fp")).distinct(), RADIUS)
+            first = hot.groupBy("word").agg(F.min("node").alias("node"))
+            of = lambda c: first.select(F.col("word").alias(c), F.col("node").alias(f"{c}_node"))
+            links = links.union(ball.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+            links = links.union(hot.join(first.select("word", F.col("node").alias("b")), "word").select(F.col("node").alias("a"), "b"))
+        return links
+
     small_batches(docs.sparkSession, 10_000, 8)
-    links = _word_links(near.repartition("key").sortWithinPartitions("key"), WORD_RADIUS)
-    if shared.where(F.col("n") > group_bound).limit(1).count():
-        hot = keyed.join(shared.where(F.col("n") > group_bound).select("key"), "key", "left_semi").select("word", "node").distinct()
-        hot = stage(hot, "wide-swarm")
-        ball = _ball_edges(hot.select(F.col("word").alias("fp")).distinct(), RADIUS)
-        first = hot.groupBy("word").agg(F.min("node").alias("node"))
-        of = lambda c: first.select(F.col("word").alias(c), F.col("node").alias(f"{c}_node"))
-        links = links.union(ball.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
-        links = links.union(hot.join(first.select("word", F.col("node").alias("b")), "word").select(F.col("node").alias("a"), "b"))
+    links = None
+    for t in range(SEARCHED):  # one word at a time: the next starts when the shuffles of the last can go
+        now = stage(linked(t), "wide-found")
+        links = now if links is None else links.union(now)
+        release_shuffles(docs.sparkSession)
     links = stage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "wide-links")
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("fps").alias(f"{c}_fps"))
     apart = F.aggregate(F.zip_with("a_fps", "b_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
