@@ -246,15 +246,22 @@ def wide_fingerprint(data: bytes | None, shingle: int = SHINGLE, words: int = WO
     return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def near_links(words: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(node, neighbour at most radius bits away): a spanning forest of one meeting group."""
-    left, out = np.arange(len(words)), []
+def _verified(x: np.ndarray, y: np.ndarray, word: int, limit: int) -> np.ndarray:
+    """Which rows of x and y (wide fingerprints; y may be one) link by this word."""
+    apart = np.bitwise_count(x ^ y)
+    near = (apart[:, word] <= WORD_RADIUS) & (apart.sum(axis=1, dtype=np.int64) <= limit)
+    return near | (apart[:, 0] <= RADIUS) if word == 0 else near
+
+
+def near_links(fps: np.ndarray, nodes: np.ndarray, word: int, limit: int) -> list[tuple[int, int]]:
+    """(node, neighbour that links by this word): a spanning forest of one meeting group."""
+    left, out = np.arange(len(fps)), []
     while len(left) > 1:
         frontier, rest = left[:1], left[1:]
         while len(frontier) and len(rest):
             grown = []
             for f in frontier:
-                near = np.bitwise_count(words[rest] ^ words[f]) <= radius
+                near = _verified(fps[rest], fps[f], word, limit)
                 out += [(int(nodes[i]), int(nodes[f])) for i in rest[near]]
                 grown.append(rest[near])
                 rest = rest[~near]
@@ -265,40 +272,42 @@ def near_links(words: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[
     return out
 
 
-def _word_links(keyed: DataFrame, radius: int) -> DataFrame:
-    """(a, b): links of bounded groups; keyed has (key, word, node) sorted by key within each partition."""
+#: Groups of at most so many that lie within an Arrow batch are compared pair by pair, all at once.
+SMALL_GROUP = 8
+
+
+def _word_links(keyed: DataFrame, word: int, limit: int) -> DataFrame:
+    """(a, b): verified links of bounded groups; keyed has (key, node, fps) sorted by key within each partition."""
 
     def run(batches):
         drop_caches()
         key, held = None, []
 
         def close() -> list[tuple[int, int]]:
-            if not held:
-                return []
-            w, n = (np.concatenate(x) for x in zip(*held))
-            links = near_links(w.view(np.uint64), n, radius)
-            # the first word's own radius needs no more, so its links must hold together by themselves
-            return links + near_links(w.view(np.uint64), n, RADIUS) if key >> 33 == 0 and len(n) > 2 else links
+            return near_links(*(np.concatenate(x) for x in zip(*held)), word, limit) if held else []
 
         for b in batches:
             if not b.num_rows:
                 continue
-            keys, words, nodes = (b.column(i).to_numpy() for i in range(3))
+            keys, nodes = (b.column(i).to_numpy() for i in range(2))
+            fps = b.column(2).flatten().to_numpy().view(np.uint64).reshape(len(keys), -1)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+            small = np.diff(cuts) <= SMALL_GROUP
+            small[0] = small[-1] = False  # these may go on in another batch
+            inner = np.repeat(small, np.diff(cuts))
+            pairs = [np.zeros((0, 2), np.int64)]
+            for d in range(1, min(SMALL_GROUP, len(keys))):
+                at = np.flatnonzero(inner[:-d] & (keys[:-d] == keys[d:]))
+                at = at[_verified(fps[at], fps[at + d], word, limit)]
+                pairs.append(np.stack([nodes[at], nodes[at + d]], axis=1))
             edges: list[tuple[int, int]] = []
-            # groups of two that lie within the batch are most of all; they are done at once
-            lo = cuts[1:-2][np.diff(cuts[1:-1]) == 2] if len(cuts) > 3 else np.zeros(0, int)
-            near = np.bitwise_count((words[lo] ^ words[lo + 1]).view(np.uint64)) <= radius
-            pairs = np.stack([nodes[lo[near]], nodes[lo[near] + 1]], axis=1)
-            done = set(lo.tolist())
-            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if x in done or y - x == 1 and x and y < len(keys):
-                    continue
+            for x, y in zip(cuts[:-1][~small].tolist(), cuts[1:][~small].tolist()):
                 if keys[x] != key:
                     edges += close()
                     held, key = [], keys[x]
-                held.append((words[x:y], nodes[x:y]))
-            yield _edge_batch(np.concatenate([pairs, np.array(edges, np.int64).reshape(-1, 2)]))
+                held.append((fps[x:y], nodes[x:y]))
+            found = np.concatenate([*pairs, np.array(edges, np.int64).reshape(-1, 2)])
+            yield _edge_batch(np.unique(np.sort(found, axis=1), axis=0))
         yield _edge_batch(np.array(close(), np.int64))
 
     return keyed.mapInArrow(run, "a long, b long")
@@ -308,9 +317,9 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id_col, component_id) for every row: texts link whose wide fingerprints differ in at most RADIUS bits of the first word (the
     fingerprint of simhash_components), or in at most limit of all WORDS x 64 bits and at most WORD_RADIUS bits of a searched word.
 
-    Within a word, one half of two such fingerprints differs by at most 2, so both emit the half's variants within 1 and meet. Links
-    that meet are verified on the whole width. Meeting points of more than group_bound words go to the full ball, which finds all
-    links within RADIUS bits of a word there. Nulls and repeats are treated as in simhash_components.
+    Within a word, one half of two such fingerprints differs by at most 2, so both emit the half's variants within 1 and meet. Whole
+    fingerprints are compared where they meet, so each group's forest is of real links. Meeting points of more than group_bound nodes
+    are dealt into parts, and each is linked. Nulls and repeats are treated as in simhash_components.
     """
     small_batches(docs.sparkSession)
 
@@ -331,34 +340,29 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         half = F.shiftrightunsigned(word, 32) if side else word.bitwiseAND(F.lit(0xFFFFFFFF))
         tag = F.lit((t * 2 + side) << 32)
         near = F.transform(F.array(*[F.lit(1 << i) for i in range(32)]), lambda bit: half.bitwiseXOR(bit).bitwiseOR(tag))
-        return F.transform(F.concat(F.array(half.bitwiseOR(tag)), near), lambda k: F.struct(k.alias("key"), word.alias("word")))
+        return F.concat(F.array(half.bitwiseOR(tag)), near)
 
-    def linked(t: int) -> DataFrame:
-        keyed = nodes.select("node", F.explode(F.concat(variants(t, 0), variants(t, 1))).alias("v")).select("v.key", "v.word", "node")
-        shared = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-meetings")
-        near = keyed.join(shared.where(F.col("n") <= group_bound).select("key"), "key").select("key", "word", "node")
-        links = _word_links(near.repartition("key").sortWithinPartitions("key"), WORD_RADIUS)
-        if shared.where(F.col("n") > group_bound).limit(1).count():
-            hot = keyed.join(shared.where(F.col("n") > group_bound).select("key"), "key", "left_semi").select("word", "node").distinct()
-            hot = stage(hot, "wide-swarm")
-            ball = _ball_edges(hot.select(F.col("word").alias("fp")).distinct(), RADIUS)
-            first = hot.groupBy("word").agg(F.min("node").alias("node"))
-            of = lambda c: first.select(F.col("word").alias(c), F.col("node").alias(f"{c}_node"))
-            links = links.union(ball.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
-            links = links.union(hot.join(first.select("word", F.col("node").alias("b")), "word").select(F.col("node").alias("a"), "b"))
-        return links
+    def links_of(t: int, met: DataFrame) -> DataFrame:
+        """Links by word t where rows of met (key, node) meet; fingerprints join only what meets."""
+        wide = met.join(nodes.select("node", "fps"), "node").select("key", "node", "fps")
+        return _word_links(wide.repartition("key").sortWithinPartitions("key"), t, limit).where("a <> b").distinct()
 
+    half_bound = max(1, group_bound // 2)
     small_batches(docs.sparkSession, 10_000, 8)
-    links = None
+    links, swarms = None, []
     for t in range(SEARCHED):  # one word at a time: the next starts when the shuffles of the last can go
-        now = stage(linked(t), "wide-found")
+        keyed = nodes.select("node", F.explode(F.concat(variants(t, 0), variants(t, 1))).alias("key"))
+        shared = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-meetings")
+        now = links_of(t, keyed.join(shared.where(F.col("n") <= group_bound).select("key"), "key").select("key", "node"))
+        if shared.where(F.col("n") > group_bound).limit(1).count():
+            parts = F.ceil(F.col("n") / half_bound)
+            big = keyed.join(shared.where(F.col("n") > group_bound), "key").select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part"))
+            swarms.append((t, stage(big, "wide-swarm")))
+            now = now.union(links_of(t, swarms[-1][1].select(F.xxhash64("key", "part").alias("key"), "node")))
+        now = stage(now, "wide-links")
         links = now if links is None else links.union(now)
         release_shuffles(docs.sparkSession)
-    links = stage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "wide-links")
-    of = lambda c: nodes.select(F.col("node").alias(c), F.col("fps").alias(f"{c}_fps"))
-    apart = F.aggregate(F.zip_with("a_fps", "b_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    first_word = F.bit_count(F.get("a_fps", F.lit(0)).bitwiseXOR(F.get("b_fps", F.lit(0)))) <= RADIUS
-    stars = connected(links.join(of("a"), "a").join(of("b"), "b").where((apart <= limit) | first_word).select("a", "b"), "wide-stars")
+    stars = connected(links, "wide-stars")
     rooted = nodes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select("fps", "least_id", F.coalesce("b", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return prints.join(rooted.join(least, "root").select("fps", "component_id"), "fps").select(id_col, "component_id")

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from siftwell.llm import simhash_dedup as S
 from tests.llm import brute
 
@@ -51,3 +54,19 @@ def test_loose_dedup_searches_five_words(spark):
     want = _wide_brute(ids, texts, 5)
     assert want != _wide_brute(ids, texts, 2)
     assert sorted(r.doc_id for r in S.drop_loose_duplicates(_table(spark, texts)).collect()) == sorted(set(want))
+
+
+def test_links_of_a_group_are_verified_before_nodes_are_absorbed():
+    """By the word alone 1 and 2 both go to 0, which is too far on the whole width; they link with each other."""
+    fps = np.zeros((3, S.WORDS), np.uint64)
+    fps[0, 2:] = 0xFFFFFFFF
+    fps[1, 1], fps[2, 1] = 1, 3
+    assert S.near_links(fps, np.array([0, 1, 2]), 1, S.WIDE_LIMIT) == [(2, 1)]
+
+
+@pytest.mark.parametrize("bound", [4096])
+def test_wide_components_equal_brute_force_at_any_bound(spark, bound):
+    texts = _copies(5, 6, 40, 9, 120)
+    ids = list(range(10, 10 + len(texts)))
+    got = {r.doc_id: r.component_id for r in S.wide_components(_table(spark, texts), group_bound=bound).collect()}
+    assert [got[i] for i in ids] == _wide_brute(ids, texts, S.SEARCHED)
