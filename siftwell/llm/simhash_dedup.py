@@ -313,13 +313,31 @@ def _word_links(keyed: DataFrame, word: int, limit: int) -> DataFrame:
     return keyed.mapInArrow(run, "a long, b long")
 
 
+def _across(big: DataFrame, stars: DataFrame, bound: int) -> DataFrame:
+    """(key, node): groups of about twice bound in which all of a large meeting point that isn't linked yet meets.
+
+    big has (key, node, parts, part), and the parts have been linked, to stars. Of two nodes that aren't linked, one at least is
+    outside the point's largest component; so those, cut up into runs of about bound, meet every part.
+    """
+    of = big.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    main = of.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
+    main = stage(main.where("rest > 0").select("key", "main", F.ceil(F.col("rest") / bound).alias("runs")), "wide-rest")
+    of = of.join(main, "key")
+    every = of.select("key", "node", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"))
+    rest = of.where("root <> main").withColumn("run", F.pmod(F.xxhash64("node", F.lit(1)), F.col("runs")))
+    rest = rest.select("key", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "run")
+    return every.unionByName(rest).select(F.xxhash64("key", "part", "run").alias("key"), "node").distinct()
+
+
 def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = WIDE_LIMIT, shingle: int = SHINGLE, group_bound: int = GROUP_BOUND) -> DataFrame:
     """(id_col, component_id) for every row: texts link whose wide fingerprints differ in at most RADIUS bits of the first word (the
     fingerprint of simhash_components), or in at most limit of all WORDS x 64 bits and at most WORD_RADIUS bits of a searched word.
 
     Within a word, one half of two such fingerprints differs by at most 2, so both emit the half's variants within 1 and meet. Whole
     fingerprints are compared where they meet, so each group's forest is of real links. Meeting points of more than group_bound nodes
-    are dealt into parts, and each is linked. Nulls and repeats are treated as in simhash_components.
+    are dealt into parts, each is linked, and what then lies outside the point's largest component meets all parts: nothing is lost,
+    and only a point that stays in many components costs more than in proportion. Nulls and repeats are treated as in
+    simhash_components.
     """
     small_batches(docs.sparkSession)
 
@@ -363,6 +381,11 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = now if links is None else links.union(now)
         release_shuffles(docs.sparkSession)
     stars = connected(links, "wide-stars")
+    if swarms:
+        for t, big in swarms:
+            links = links.union(stage(links_of(t, _across(big, stars, half_bound)), "wide-links"))
+            release_shuffles(docs.sparkSession)
+        stars = connected(links, "wide-stars")
     rooted = nodes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select("fps", "least_id", F.coalesce("b", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return prints.join(rooted.join(least, "root").select("fps", "component_id"), "fps").select(id_col, "component_id")

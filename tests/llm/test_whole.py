@@ -64,7 +64,7 @@ def test_links_of_a_group_are_verified_before_nodes_are_absorbed():
     assert S.near_links(fps, np.array([0, 1, 2]), 1, S.WIDE_LIMIT) == [(2, 1)]
 
 
-@pytest.mark.parametrize("bound", [4096])
+@pytest.mark.parametrize("bound", [4096, 40, 4])
 def test_wide_components_equal_brute_force_at_any_bound(spark, bound):
     texts = _copies(5, 6, 40, 9, 120)
     ids = list(range(10, 10 + len(texts)))
