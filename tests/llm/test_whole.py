@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from siftwell.llm import html_extract as H
 from siftwell.llm import pii
 from siftwell.llm import simhash_dedup as S
 from tests.llm import brute
@@ -91,3 +92,20 @@ def test_a_card_late_in_a_table_of_numbers_is_proposed():
     assert ("card", 160, 177) in set(pii.candidates(text, dropped))
     rnd = random.Random(1)
     pii.PiiModel().spans(" ".join(str(rnd.randint(0, 9)) for _ in range(100_000)))  # stays linear
+
+
+def _extract(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in H.extract_text(df).orderBy("page_id").collect()]
+
+
+def test_a_template_node_with_a_text_of_its_own_stays(spark):
+    page = lambda head, i: f"<body><div>{head}</div><p>Story number {i}</p></body>"
+    got = _extract(spark, [*(page("Welcome to our site", i) for i in range(19)), page("Closed on Monday", 19)])
+    assert got == [*(f"Story number {i}" for i in range(19)), "Closed on Monday\n\nStory number 19"]
+
+
+def test_copies_of_a_page_count_once(spark):
+    page = lambda i, more="": f"<body><p>First of {i}</p><p>Second of {i}</p>{more}</body>"
+    got = _extract(spark, [page(0)] * 60 + [page(1, "<ul><li>A note</li></ul>")])
+    assert got[-2:] == ["First of 0\n\nSecond of 0", "First of 1\n\nSecond of 1\n\nA note"]
