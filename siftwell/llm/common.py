@@ -19,11 +19,13 @@ _own_root: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset, as tests do."""
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_root is None:
         _own_root = "file://" + tempfile.mkdtemp(prefix="siftwell-")
     return _own_root
@@ -37,7 +39,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df once and read it back: cuts lineage, survives lost executors, keeps later passes from recomputing."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._staged_at = path
+    return back
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a staged table that no plan will read again."""
+    path = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(staged._staged_at)
+    path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 500, megabytes: int = 32) -> None:

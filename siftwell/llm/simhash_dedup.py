@@ -22,11 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import drop_caches, release_shuffles, small_batches, stage
+from siftwell.llm.common import bounded, discard, drop_caches, release_shuffles, small_batches, stage
 
 RADIUS = 3
 SHINGLE = 3
 GROUP_BOUND = 4096
+#: A node of more edges than HUB (and than 2 in HUBS of all) has its label broadcast.
+HUB = 256
+HUBS = 200_000
+#: Shared keys (one long each) are broadcast up to so many; beyond, the join shuffles by key.
+BROADCAST_KEYS = 500_000
 
 
 def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
@@ -163,25 +168,38 @@ def _ball_edges(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def connected(edges: DataFrame, label: str = "stars") -> DataFrame:
-    """(a, b): every node of the edges but the least of its component, with that least node. Nodes are longs."""
+    """(a, b): every node of the edges but the least of its component, with that least node. Nodes are longs.
 
-    def large(e: DataFrame) -> DataFrame:
+    Labels of hubs (nodes with so many edges that only HUBS of them can exist) are broadcast, so the rows of a hub stay where they
+    are; its own minimum is aggregated by task before the shuffle.
+    """
+
+    def labelled(e: DataFrame, low: DataFrame, hub: int) -> DataFrame:
+        hubs = low.where(F.col("n") > hub).select(F.col("a").alias("hub"), F.col("m").alias("hub_m"))  # at most 2 * HUBS + 1 rows
+        tried = e.join(F.broadcast(hubs), e["a"] == F.col("hub"), "left")
+        rest = tried.where("hub IS NULL").select("a", "b").join(low.where(F.col("n") <= hub).select("a", "m"), "a")
+        return tried.where("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")).unionByName(rest)
+
+    def large(e: DataFrame, hub: int) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        return labelled(both.where("b > a"), low, hub).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
-    def small(e: DataFrame) -> DataFrame:
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        return e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+    def small(e: DataFrame, hub: int) -> DataFrame:
+        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        return labelled(e, low, hub).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
 
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    seen = None
+    seen, size = None, now.count()
     while True:
-        now = stage(small(large(now)).where("a <> b").distinct(), label)
+        hub = max(HUB, 2 * size // HUBS)
+        before = now
+        now = stage(small(large(now, hub), hub).where("a <> b").distinct(), label)
+        discard(before)
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if mark == seen:
             return now
-        seen = mark
+        seen, size = mark, mark[0]
 
 
 def components(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, group_bound: int = GROUP_BOUND) -> DataFrame:
@@ -222,6 +240,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 WORDS = 8
 SEARCHED = 5
 WORD_RADIUS = 5
+HALF_RADIUS = WORD_RADIUS // 2
 #: Wide fingerprints of texts with a 5-word Jaccard similarity of 0.8 differ in about 50 of 512 bits.
 WIDE_LIMIT = 56
 
@@ -253,8 +272,31 @@ def _verified(x: np.ndarray, y: np.ndarray, word: int, limit: int) -> np.ndarray
     return near | (apart[:, 0] <= RADIUS) if word == 0 else near
 
 
-def near_links(fps: np.ndarray, nodes: np.ndarray, word: int, limit: int) -> list[tuple[int, int]]:
-    """(node, neighbour that links by this word): a spanning forest of one meeting group."""
+def _met_first(x: np.ndarray, y: np.ndarray, word: int, side: int, key: np.ndarray | int, limit: int) -> np.ndarray:
+    """Which of the linking rows of x and y (y may be one) meet at key for the first time, in the order of words, halves and keys.
+
+    Two halves at most 2 apart share every variant (equal ones), their own values (1 apart) or the two between them; the least is the
+    first. A link is only given where it is met first, as the group there joins the two in any case.
+    """
+    later = np.zeros(len(x), bool)
+    for t in range(word):
+        later |= _verified(x, y, t, limit)
+    u, v = (z[..., word] >> np.uint64(32 * side) & np.uint64(0xFFFFFFFF) for z in (x, y))
+    if side:
+        low = np.uint64(0xFFFFFFFF)
+        later |= np.bitwise_count((x[..., word] ^ y[..., word]) & low) <= HALF_RADIUS
+    apart = u ^ v
+    one = apart & (~apart + np.uint64(1))
+    between = np.minimum(u ^ one, u ^ (apart ^ one))
+    top = u.copy()
+    for k in (1, 2, 4, 8, 16):
+        top |= top >> np.uint64(k)
+    first = np.where(apart == 0, u ^ (top ^ (top >> np.uint64(1))), np.where(apart == one, np.minimum(u, v), between))
+    return ~later & (first == key)
+
+
+def near_links(fps: np.ndarray, nodes: np.ndarray, word: int, side: int, key: int, limit: int) -> list[tuple[int, int]]:
+    """(node, neighbour that links by this word and meets here first), of a spanning forest of one meeting group."""
     left, out = np.arange(len(fps)), []
     while len(left) > 1:
         frontier, rest = left[:1], left[1:]
@@ -262,8 +304,10 @@ def near_links(fps: np.ndarray, nodes: np.ndarray, word: int, limit: int) -> lis
             grown = []
             for f in frontier:
                 near = _verified(fps[rest], fps[f], word, limit)
-                out += [(int(nodes[i]), int(nodes[f])) for i in rest[near]]
-                grown.append(rest[near])
+                new = rest[near]
+                if len(new):
+                    out += [(int(nodes[i]), int(nodes[f])) for i in new[_met_first(fps[new], fps[f], word, side, np.uint64(key), limit)]]
+                grown.append(new)
                 rest = rest[~near]
                 if not len(rest):
                     break
@@ -276,45 +320,48 @@ def near_links(fps: np.ndarray, nodes: np.ndarray, word: int, limit: int) -> lis
 SMALL_GROUP = 8
 
 
-def _word_links(keyed: DataFrame, word: int, limit: int) -> DataFrame:
-    """(a, b): verified links of bounded groups; keyed has (key, node, fps) sorted by key within each partition."""
+def _word_links(keyed: DataFrame, word: int, side: int, limit: int) -> DataFrame:
+    """(a, b): verified links of bounded groups; keyed has (group, key, node, fps) sorted by group within each partition."""
 
     def run(batches):
         drop_caches()
-        key, held = None, []
+        held: list[tuple] = []
+        at_group = at_key = None
 
         def close() -> list[tuple[int, int]]:
-            return near_links(*(np.concatenate(x) for x in zip(*held)), word, limit) if held else []
+            return near_links(*(np.concatenate(x) for x in zip(*held)), word, side, at_key, limit) if held else []
 
         for b in batches:
             if not b.num_rows:
                 continue
-            keys, nodes = (b.column(i).to_numpy() for i in range(2))
-            fps = b.column(2).flatten().to_numpy().view(np.uint64).reshape(len(keys), -1)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+            groups, keys, nodes = (b.column(i).to_numpy() for i in range(3))
+            keys = keys.astype(np.uint64)
+            fps = b.column(3).flatten().to_numpy().view(np.uint64).reshape(len(keys), -1)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [len(keys)]])
             small = np.diff(cuts) <= SMALL_GROUP
             small[0] = small[-1] = False  # these may go on in another batch
             inner = np.repeat(small, np.diff(cuts))
             pairs = [np.zeros((0, 2), np.int64)]
             for d in range(1, min(SMALL_GROUP, len(keys))):
-                at = np.flatnonzero(inner[:-d] & (keys[:-d] == keys[d:]))
+                at = np.flatnonzero(inner[:-d] & (groups[:-d] == groups[d:]))
                 at = at[_verified(fps[at], fps[at + d], word, limit)]
+                at = at[_met_first(fps[at], fps[at + d], word, side, keys[at], limit)]
                 pairs.append(np.stack([nodes[at], nodes[at + d]], axis=1))
             edges: list[tuple[int, int]] = []
             for x, y in zip(cuts[:-1][~small].tolist(), cuts[1:][~small].tolist()):
-                if keys[x] != key:
+                if groups[x] != at_group:
                     edges += close()
-                    held, key = [], keys[x]
+                    held, at_group, at_key = [], groups[x], int(keys[x])
                 held.append((fps[x:y], nodes[x:y]))
             found = np.concatenate([*pairs, np.array(edges, np.int64).reshape(-1, 2)])
             yield _edge_batch(np.unique(np.sort(found, axis=1), axis=0))
         yield _edge_batch(np.array(close(), np.int64))
 
-    return keyed.mapInArrow(run, "a long, b long")
+    return keyed.select("group", "key", "node", "fps").mapInArrow(run, "a long, b long")
 
 
 def _across(big: DataFrame, stars: DataFrame, bound: int) -> DataFrame:
-    """(key, node): groups of about twice bound in which all of a large meeting point that isn't linked yet meets.
+    """(group, key, node): groups of about twice bound in which all of a large meeting point that isn't linked yet meets.
 
     big has (key, node, parts, part), and the parts have been linked, to stars. Of two nodes that aren't linked, one at least is
     outside the point's largest component; so those, cut up into runs of about bound, meet every part.
@@ -326,20 +373,22 @@ def _across(big: DataFrame, stars: DataFrame, bound: int) -> DataFrame:
     every = of.select("key", "node", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"))
     rest = of.where("root <> main").withColumn("run", F.pmod(F.xxhash64("node", F.lit(1)), F.col("runs")))
     rest = rest.select("key", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "run")
-    return every.unionByName(rest).select(F.xxhash64("key", "part", "run").alias("key"), "node").distinct()
+    return every.unionByName(rest).select(F.xxhash64("key", "part", "run").alias("group"), "key", "node").distinct()
 
 
 def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = WIDE_LIMIT, shingle: int = SHINGLE, group_bound: int = GROUP_BOUND) -> DataFrame:
     """(id_col, component_id) for every row: texts link whose wide fingerprints differ in at most RADIUS bits of the first word (the
     fingerprint of simhash_components), or in at most limit of all WORDS x 64 bits and at most WORD_RADIUS bits of a searched word.
 
-    Within a word, one half of two such fingerprints differs by at most 2, so both emit the half's variants within 1 and meet. Whole
-    fingerprints are compared where they meet, so each group's forest is of real links. Meeting points of more than group_bound nodes
+    Within a word, one half of two such fingerprints differs by at most 2, so both emit the half's variants within 1 and meet. Halves
+    are searched one after the other, so disk and memory are those of one. Whole fingerprints are compared where they meet, so each
+    group's forest is of real links; a link is given once, where the two meet first. Meeting points of more than group_bound nodes
     are dealt into parts, each is linked, and what then lies outside the point's largest component meets all parts: nothing is lost,
     and only a point that stays in many components costs more than in proportion. Nulls and repeats are treated as in
     simhash_components.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
 
     def run(batches):
         drop_caches()
@@ -352,39 +401,45 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = stage(picked.mapInArrow(run, f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, fps array<long>"), "wide-prints")
     nodes = prints.groupBy("fps").agg(F.min(id_col).alias("least_id")).withColumn("node", F.monotonically_increasing_id())
     nodes = stage(nodes, "wide-nodes")  # numbers hold once they are written
+    half_bound = max(1, group_bound // 2)
+    small_batches(spark, 10_000, 8)
+
+    def links_of(t: int, side: int, met: DataFrame) -> DataFrame:
+        """Links by half side of word t where rows of met (group, key, node) meet; fingerprints join only what meets."""
+        wide = met.join(nodes.select("node", "fps"), "node").select("group", "key", "node", "fps")
+        return _word_links(wide.repartition("group").sortWithinPartitions("group"), t, side, limit)
 
-    def variants(t: int, side: int):
+    def search(t: int, side: int) -> tuple[DataFrame, DataFrame | None]:
+        """Links by one half of a word, and what its large meeting points hold. What they took up on disk can go when this returns."""
         word = F.get("fps", F.lit(t))
         half = F.shiftrightunsigned(word, 32) if side else word.bitwiseAND(F.lit(0xFFFFFFFF))
-        tag = F.lit((t * 2 + side) << 32)
-        near = F.transform(F.array(*[F.lit(1 << i) for i in range(32)]), lambda bit: half.bitwiseXOR(bit).bitwiseOR(tag))
-        return F.concat(F.array(half.bitwiseOR(tag)), near)
-
-    def links_of(t: int, met: DataFrame) -> DataFrame:
-        """Links by word t where rows of met (key, node) meet; fingerprints join only what meets."""
-        wide = met.join(nodes.select("node", "fps"), "node").select("key", "node", "fps")
-        return _word_links(wide.repartition("key").sortWithinPartitions("key"), t, limit).where("a <> b").distinct()
-
-    half_bound = max(1, group_bound // 2)
-    small_batches(docs.sparkSession, 10_000, 8)
-    links, swarms = None, []
-    for t in range(SEARCHED):  # one word at a time: the next starts when the shuffles of the last can go
-        keyed = nodes.select("node", F.explode(F.concat(variants(t, 0), variants(t, 1))).alias("key"))
+        near = F.transform(F.array(*[F.lit(1 << i) for i in range(32)]), lambda bit: half.bitwiseXOR(bit))
+        keyed = nodes.select("node", F.explode(F.concat(F.array(half), near)).alias("key"))
         shared = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-meetings")
-        now = links_of(t, keyed.join(shared.where(F.col("n") <= group_bound).select("key"), "key").select("key", "node"))
+        plain = bounded(shared.where(F.col("n") <= group_bound).select("key"), BROADCAST_KEYS)
+        now = links_of(t, side, keyed.join(plain, "key").select(F.col("key").alias("group"), "key", "node"))
+        big = None
         if shared.where(F.col("n") > group_bound).limit(1).count():
             parts = F.ceil(F.col("n") / half_bound)
-            big = keyed.join(shared.where(F.col("n") > group_bound), "key").select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part"))
-            swarms.append((t, stage(big, "wide-swarm")))
-            now = now.union(links_of(t, swarms[-1][1].select(F.xxhash64("key", "part").alias("key"), "node")))
-        now = stage(now, "wide-links")
-        links = now if links is None else links.union(now)
-        release_shuffles(docs.sparkSession)
+            large = bounded(shared.where(F.col("n") > group_bound), BROADCAST_KEYS)
+            big = stage(keyed.join(large, "key").select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part")), "wide-swarm")
+            now = now.union(links_of(t, side, big.select(F.xxhash64("key", "part").alias("group"), "key", "node")))
+        now = stage(now.where("a <> b").distinct(), "wide-links")
+        discard(shared)
+        return now, big
+
+    links, swarms = None, []
+    for t in range(SEARCHED):
+        for side in range(2):
+            now, big = search(t, side)
+            links = now if links is None else links.union(now)
+            swarms += [(t, side, big)] if big is not None else []
+            release_shuffles(spark)
     stars = connected(links, "wide-stars")
     if swarms:
-        for t, big in swarms:
-            links = links.union(stage(links_of(t, _across(big, stars, half_bound)), "wide-links"))
-            release_shuffles(docs.sparkSession)
+        for t, side, big in swarms:
+            links = links.union(stage(links_of(t, side, _across(big, stars, half_bound)).where("a <> b").distinct(), "wide-links"))
+            release_shuffles(spark)
         stars = connected(links, "wide-stars")
     rooted = nodes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select("fps", "least_id", F.coalesce("b", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -397,8 +452,15 @@ def drop_loose_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _least_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    stays = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stays")).distinct()
-    kept = docs.join(stays, docs[id_col] == F.col("__stays"), "left_semi").dropDuplicates([id_col])
+    """Rows whose id names a component, and those without an id. Of different rows that repeat an id the least as JSON stays."""
+    stays = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__stays")).agg(F.count("*").alias("n"))
+    stays = stage(stays, "stays")
+    same = docs[id_col] == F.col("__stays")
+    kept = docs.join(stays.where("n = 1").select("__stays"), same, "left_semi")
+    if stays.where("n > 1").limit(1).count():
+        row = F.struct(*[docs[c] for c in docs.columns])
+        again = docs.join(stays.where("n > 1").select("__stays"), same, "left_semi")
+        kept = kept.unionAll(again.groupBy(id_col).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*"))
     return kept.unionAll(docs.where(F.col(id_col).isNull()))
 
 

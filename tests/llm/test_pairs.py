@@ -91,9 +91,22 @@ def test_wide_components_equal_brute_force(spark, bound):
     df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in S.wide_components(df, group_bound=bound).collect()}
     want = brute.wide_components(ids, texts)
-    if bound == 4096:
-        assert [got[i] for i in ids] == want
-    assert len(set(want)) > 12 and len(set(got.values())) >= len(set(want))
+    assert [got[i] for i in ids] == want and len(set(want)) > 12
+
+
+def test_of_rows_that_repeat_an_id_the_same_one_stays(spark):
+    rows = [(1, "b text of its own here"), (1, "a text of its own here"), (2, "quite another one of four or more"), (None, "x")]
+    for part in (rows, rows[::-1]):
+        kept = S.drop_loose_duplicates(spark.createDataFrame(part, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "x"), (1, "a text of its own here"), (2, "quite another one of four or more")]
+
+
+def test_hubs_keep_their_component(spark, monkeypatch):
+    monkeypatch.setattr(S, "HUB", 5)
+    monkeypatch.setattr(S, "HUBS", 10_000)
+    edges = [(i, i % 3) for i in range(10, 100)] + [(200, 99), (0, 1000), (1000, 1)]
+    got = {r.a: r.b for r in S.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {0, 2} and len(got) == 93 and got[200] == 0 and got[1] == 0
 
 
 def test_loose_dedup_on_messy_rows(messy, none):
