@@ -303,3 +303,59 @@ def test_alignment_is_a_largest_tree_matching():
 def test_deep_and_wide_pages(spark):
     assert _extract(spark, "<div>" * 3000 + "deep") == ["deep"]
     assert _extract(spark, "<article>" + "<p>x</p>" * 5000 + "</article>", "<article>" + "<p>y</p>" * 3000)[1].count("y") == 3000
+
+
+MENUS = [[f"Menu {k} entry {i}" for i in range(4)] for k in range(12)]
+
+
+def _site_page(i: int, plain: bool) -> str:
+    """A page of a site that draws its menus and adverts from pools; without helpful elements and names if plain."""
+    menu = "".join(f"<li>{x}</li>" for x in MENUS[i * 7 % 12])
+    ad = f"<{{0}} {'' if plain else 'class=ad'}>Buy product {i * 5 % 9} today</{{0}}>".format("div")
+    story = f"<h1>Title {i}</h1><p>First of {i}, a longer paragraph</p>" + f"<p>Second of {i}</p>" * (i % 3)
+    nav, art, foot = ("div", "div", "div") if plain else ("nav", "article", "footer")
+    return f"<body><{nav}><ul>{menu}</ul></{nav}>{ad}<{art}>{story}</{art}><{foot}>Terms {i * 11 % 8}</{foot}></body>"
+
+
+def _story(i: int) -> str:
+    return "\n\n".join([f"Title {i}", f"First of {i}, a longer paragraph", *[f"Second of {i}"] * (i % 3)])
+
+
+@pytest.mark.parametrize("hosts", [1, 40])
+def test_pools_of_menus_are_template_without_helpful_markup(spark, hosts):
+    """With 40 hosts none has evidence of its own; their domain has."""
+    df = spark.createDataFrame([(i, f"http://h{i % hosts}.site.example/{i}", _site_page(i, True)) for i in range(240)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_text(df).collect()}
+    assert got == {i: _story(i) for i in range(240)}
+
+
+def test_template_agrees_with_markup(spark):
+    pages = spark.createDataFrame([(i, f"http://h.site.example/{i}", _site_page(i, False)) for i in range(240)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract_text(pages).collect()} == {i: _story(i) for i in range(240)}
+    judged = H.judged_blocks(H.page_blocks(pages))
+    assert judged.where("size(hits) >= 6").count() == 240
+
+
+def test_names_within_an_article_are_not_read_word_by_word(spark):
+    kept = ["<p class=share-price>a</p>", "<section class=login-guide>b</section>", "<p class='story alert'>c</p>", "<div class=related-work>d</div>", "<h1 class=notice-of-death>e</h1>"]
+    gone = ["<div class=ad>x</div>", "<section id=comments>y</section>", "<aside>z</aside>", "<form>w</form>", "<div class='share-buttons social'>v</div>"]
+    assert _extract(spark, "<article>" + "".join(kept + gone) + "</article>") == ["a\n\nb\n\nc\n\nd\n\ne"]
+
+
+def test_deep_menus_and_wide_lists_are_quick(spark):
+    deep = "<nav>" + "<div>" * 250 + "menu inside" + "</div>" * 250 + "</nav><article>" + "<div>" * 250 + "<p>deep</p></article>"
+    assert _extract(spark, deep) == ["deep"]
+    rnd = random.Random(5)
+    wide = ["<body>" + "".join(f"<div><{rnd.choice('bi')}>{i}</div>" + "<p>x" * rnd.randint(0, 2) for i in range(4000)) for _ in range(2)]
+    a, b = map(H.parse, wide)
+    pairs = H.align(H.from_skeleton(H.skeleton(a)), b)
+    assert len(pairs) > 4000 and len(set(pairs.values())) == len(pairs)
+
+
+def test_op10_on_messy_rows(spark):
+    rows = [(1, None, None), (2, "http://a.example/x", ""), (2, "http://a.example/x", "<p>one"), (2, "http://a.example/x", "<p>one"), (None, "no host", " <p>two"), (3, "http://A.example:80/", "<p>" + "word " * 200_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    clash = df.withColumns({c: F.lit("clash") for c in ("text", "host", "domain", "blocks", "hits", "site", "trees", "key", "at", "id")})
+    got = sorted((r.page_id or 0, r.text[:9], r.n_chars) for r in H.extract_text(clash).collect())
+    assert got == [(0, "two", 3), (1, "", 0), (2, "", 0), (2, "one", 3), (2, "one", 3), (3, "word word", 999_999)]
+    assert H.extract_text(clash.limit(0)).count() == 0
