@@ -1,8 +1,8 @@
 """Document quality rules with a verdict by host, in DataFrame functions only.
 
 Per document the base counts; per host (the ``source`` column) the failures of each rule; the hosts' failure rates, shrunk
-towards a beta prior that is estimated from all hosts; hosts whose shrunk rate of any rule is above REJECT_RATE are rejected, and
-the verdict is joined back to their documents.
+towards a beta prior that is estimated from all hosts. A host is rejected where, for some rule, its failure rate is all but surely
+(a posterior chance of about 95 %) above FACTOR times that of all documents and above FLOOR. The verdict is joined back to its documents.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import stage, words_of
 
-#: A host goes when more than this share of its documents, after shrinkage, fails one rule.
-REJECT_RATE = 0.5
+#: A host goes when its failure rate of a rule is this many times that of all documents, and this high, ...
+FACTOR = 2.0
+FLOOR = 0.2
+#: ... with so many posterior standard deviations to spare (95 % of a normal distribution lie above the mean less these).
+SURE = 1.645
 WINDOW = 8
 MAX_PRIOR = 1e6
 
 
-
 def _rules() -> dict[str, Column]:
     return {
         "short": F.col("n_words") < 20,
@@ -66,11 +68,12 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return by_value.select(*kept, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def host_verdicts(measured: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
+def host_verdicts(measured: DataFrame, factor: float = FACTOR, floor: float = FLOOR, sure: float = SURE) -> DataFrame:
     """(host, rejected) from measured rows: empirical-Bayes shrinkage of each rule's failure rate.
 
     The prior's mean is the rate over all documents; its strength comes from the spread of the hosts' rates beyond what
-    sampling explains. Where they don't spread, every host is shrunk to the mean.
+    sampling explains. Where they don't spread, every host is shrunk to the mean. Of the beta posterior its mean less sure standard
+    deviations is compared.
     """
     rules = _rules()
     hosts = measured.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(rule.cast("long")).alias(name) for name, rule in rules.items()])
@@ -85,11 +88,13 @@ def host_verdicts(measured: DataFrame, reject_rate: float = REJECT_RATE) -> Data
     for name in rules:
         m, v = mean[name], spread[name]
         strength = min(MAX_PRIOR, max(1.0, m * (1 - m) / v - 1)) if v > 0 else MAX_PRIOR
-        rejected = rejected | ((F.col(name) + m * strength) / (F.col("n") + strength) > reject_rate)
+        rate = (F.col(name) + m * strength) / (F.col("n") + strength)
+        spare = sure * F.sqrt(rate * (1 - rate) / (F.col("n") + strength + 1))
+        rejected = rejected | (rate - spare > max(factor * m, floor))
     return hosts.select("host", rejected.alias("rejected"))
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", reject_rate: float = REJECT_RATE) -> DataFrame:
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", factor: float = FACTOR, floor: float = FLOOR) -> DataFrame:
     """One row for every row of docs: id_col, the base counts, base_failed and kept.
 
     Null and blank texts have no words and fail; null hosts are one host; repeated rows count and are returned each; an empty
@@ -97,7 +102,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     measured = stage(base_counts(docs, id_col, text_col, host_col), "quality")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = measured.join(host_verdicts(measured, reject_rate), "host", "left")
+    judged = measured.join(host_verdicts(measured, factor, floor), "host", "left")
     return judged.select(
         id_col,
         "n_words",
@@ -133,7 +138,8 @@ f AS (SELECT host, rule, count(*) AS n, sum(CAST(bad AS BIGINT)) AS k FROM (
 mean AS (SELECT rule, sum(k) / sum(n) AS mu FROM f GROUP BY rule),
 prior AS (SELECT rule, mu, avg(pow(k / n - mu, 2)) - avg(mu * (1 - mu) / n) AS v FROM f JOIN mean USING (rule) GROUP BY rule, mu),
 s AS (SELECT rule, mu, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, mu * (1 - mu) / v - 1)) ELSE 1e6 END AS strength FROM prior),
-verdict AS (SELECT host, bool_or((k + mu * strength) / (n + strength) > 0.5) AS rejected FROM f JOIN s USING (rule) GROUP BY host)
+post AS (SELECT host, rule, mu, n + strength AS weight, (k + mu * strength) / (n + strength) AS rate FROM f JOIN s USING (rule)),
+verdict AS (SELECT host, bool_or(rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > greatest(2.0 * mu, 0.2)) AS rejected FROM post GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT rejected AS kept
