@@ -1,8 +1,8 @@
 """Preference formatting: chosen and rejected conversations as one prompt and two masked completions.
 
-The longest common turn prefix of a pair is found without gathering a conversation anywhere: equal turns are counted by
-(pair, turn), the first turn that differs is a minimum by pair, and every turn then knows which segment it belongs to. The result
-has a row for each rendered turn, so a conversation of any length stays spread over tasks.
+The longest common turn prefix of a pair is found turn by turn: equal turns are counted by (pair, turn), the first turn that differs
+is a minimum by pair, and every turn then knows which segment it belongs to (``preference_turns``). ``format_preferences`` joins the
+turns of each pair to one row, the training example: its prompt once, both completions, and the spans of each that a loss should see.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ def render_turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit(TURN_OPEN), role, F.lit("\n"), safe, F.lit(TURN_CLOSE + "\n"))
 
 
-def format_preferences(turns: DataFrame) -> DataFrame:
+def preference_turns(turns: DataFrame) -> DataFrame:
     """Rows (pair_id, segment, turn, role, rendered, trained, paired) from turns (pair_id, chosen, turn, role, text).
 
     segment is 'prompt' for the turns before the first that differs (rendered once for both sides), else 'chosen' or
@@ -55,28 +55,74 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     )
 
 
-def neighbour_pairs(conversations: DataFrame) -> DataFrame:
-    """The turns of conversations as pairs for want of stated preferences: 2k is the chosen and 2k + 1 the rejected of pair k."""
-    return conversations.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"), "turn", "role", "text")
+def format_preferences(turns: DataFrame) -> DataFrame:
+    """(pair_id, paired, prompt, chosen, rejected, chosen_mask, rejected_mask), one row for each pair of turns (pair_id, chosen, turn,
+    role, text).
+
+    A mask lists what a loss should see of its completion, the assistant's words and their end marks, as start:end in code points,
+    comma-joined; a side without any, or without turns, has an empty one. Nulls, repeats and missing sides are treated as in
+    preference_turns; an empty table gives no rows.
+    """
+    head = F.length(F.lit(TURN_OPEN)) + F.length("role") + 1
+    said = F.struct("turn", "rendered", F.when(F.col("trained"), head).alias("head"))
+    rows = preference_turns(turns).groupBy("pair_id").agg(
+        F.max("paired").alias("paired"), *[F.sort_array(F.collect_list(F.when(F.col("segment") == name, said))).alias(name) for name in ("prompt", "chosen", "rejected")]
+    )
+
+    def whole(name: str) -> Column:
+        return F.array_join(F.transform(name, lambda t: t["rendered"]), "").alias(name)
+
+    def mask(name: str) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("spans"))
+
+        def add(a: Column, t: Column) -> Column:
+            end = a["at"] + F.length(t["rendered"])
+            span = F.concat(F.when(a["spans"] == "", "").otherwise(F.lit(",")), (a["at"] + t["head"]).cast("string"), F.lit(":"), (end - 1).cast("string"))
+            return F.struct(end.alias("at"), F.concat(a["spans"], F.coalesce(span, F.lit(""))).alias("spans"))
+
+        return F.aggregate(name, start, add, lambda a: a["spans"]).alias(f"{name}_mask")
+
+    return rows.select("pair_id", "paired", whole("prompt"), whole("chosen"), whole("rejected"), mask("chosen"), mask("rejected"))
+
+
+def swapped_answers(conversations: DataFrame) -> DataFrame:
+    """Turns (pair_id, chosen, turn, role, text) for want of stated preferences: the chosen side of pair k is conversation k, the
+    rejected one the same with its last assistant turn taken from conversation k xor 1.
+
+    Of rows that repeat a (conversation, turn) the least (role, text) counts. Where either has no assistant turn, pair k has a chosen
+    side alone. Rows without a conversation or turn give none.
+    """
+    said = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy(F.col("conv_id").cast("long").alias("pair_id"), "turn").agg(F.min(said).alias("said"))
+    turns = turns.select("pair_id", "turn", "said.role", "said.text")
+    last = turns.where("role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("last"), F.max_by("text", "turn").alias("answer"))
+    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("answer").alias("donated"))
+    spoilt = turns.join(last.join(other, "pair_id").select("pair_id", "last", "donated"), "pair_id")
+    rejected = spoilt.select("pair_id", F.lit(False).alias("chosen"), "turn", "role", F.when(F.col("turn") == F.col("last"), F.col("donated")).otherwise(F.col("text")).alias("text"))
+    return turns.select("pair_id", F.lit(True).alias("chosen"), "turn", "role", "text").unionByName(rejected)
 
 
 ORACLE_SQL = """
 WITH t AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS chosen, turn,
-    min(row(coalesce(role, ''), coalesce(text, ''))) AS said
+  SELECT conv_id AS pair_id, turn, min(row(coalesce(role, ''), coalesce(text, ''))) AS c
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-b AS (
-  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn, c.said AS c, r.said AS r
-  FROM (FROM t WHERE chosen) c FULL JOIN (FROM t WHERE NOT chosen) r ON c.pair_id = r.pair_id AND c.turn = r.turn),
-p AS (
-  SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM r) AS first_diff,
-    bool_or(c IS NOT NULL) AND bool_or(r IS NOT NULL) AS paired FROM b GROUP BY pair_id),
+last AS (SELECT pair_id, max(turn) AS turn, max_by(c[2], turn) AS answer FROM t WHERE c[1] = 'assistant' GROUP BY pair_id),
+swap AS (SELECT a.pair_id, a.turn, b.answer FROM last a JOIN last b ON xor(a.pair_id, 1) = b.pair_id),
+d AS (
+  SELECT t.pair_id, t.turn, c, CASE WHEN swap.pair_id IS NULL THEN NULL WHEN t.turn = swap.turn THEN row(c[1], answer) ELSE c END AS r
+  FROM t LEFT JOIN swap USING (pair_id)),
+p AS (SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM r) AS first_diff, bool_or(r IS NOT NULL) AS paired FROM d GROUP BY pair_id),
 s AS (
-  SELECT pair_id, turn, paired, 'prompt' AS segment, c AS said FROM b JOIN p USING (pair_id) WHERE first_diff IS NULL OR turn < first_diff
-  UNION ALL SELECT pair_id, turn, paired, 'chosen', c FROM b JOIN p USING (pair_id) WHERE turn >= first_diff AND c IS NOT NULL
-  UNION ALL SELECT pair_id, turn, paired, 'rejected', r FROM b JOIN p USING (pair_id) WHERE turn >= first_diff AND r IS NOT NULL)
-SELECT pair_id, segment, turn, said[1] AS role,
-  '<|im_start|>' || said[1] || chr(10) || replace(said[2], '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS rendered,
-  segment <> 'prompt' AND said[1] = 'assistant' AS trained, paired
-FROM s
+  SELECT pair_id, turn, 'prompt' AS segment, c AS said FROM d JOIN p USING (pair_id) WHERE first_diff IS NULL OR turn < first_diff
+  UNION ALL SELECT pair_id, turn, 'chosen', c FROM d JOIN p USING (pair_id) WHERE turn >= first_diff
+  UNION ALL SELECT pair_id, turn, 'rejected', r FROM d JOIN p USING (pair_id) WHERE turn >= first_diff AND r IS NOT NULL),
+o AS (SELECT *, '<|im_start|>' || said[1] || chr(10) || replace(said[2], '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS x FROM s),
+e AS (SELECT *, CAST(sum(length(x)) OVER (PARTITION BY pair_id, segment ORDER BY turn) AS BIGINT) AS ends FROM o)
+SELECT pair_id, any_value(paired) AS paired,
+  coalesce(string_agg(x, '' ORDER BY turn) FILTER (segment = 'prompt'), '') AS prompt,
+  coalesce(string_agg(x, '' ORDER BY turn) FILTER (segment = 'chosen'), '') AS chosen,
+  coalesce(string_agg(x, '' ORDER BY turn) FILTER (segment = 'rejected'), '') AS rejected,
+  coalesce(string_agg((ends - length(x) + 13 + length(said[1])) || ':' || (ends - 1), ',' ORDER BY turn) FILTER (segment = 'chosen' AND said[1] = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((ends - length(x) + 13 + length(said[1])) || ':' || (ends - 1), ',' ORDER BY turn) FILTER (segment = 'rejected' AND said[1] = 'assistant'), '') AS rejected_mask
+FROM e JOIN p USING (pair_id) GROUP BY pair_id
 """

@@ -123,6 +123,16 @@ def test_host_verdicts_shrink_small_hosts(spark):
     assert got[1000].kept and got[9001].kept and got[9000].base_failed
 
 
+def test_hosts_far_above_the_rate_of_all_are_rejected(spark):
+    """A rate of 0.4 is far from a majority, yet many times the others'; one of 0.1, or of three documents, is not enough."""
+    good, bad = " ".join(f"w{i}" for i in range(40)), "too short"
+    made = [(i, bad if i % 5 < 2 else good, "worse") for i in range(300)] + [(1000 + i, bad if i % 10 == 0 else good, "middling") for i in range(300)]
+    made += [(5000 + i, bad if i % 50 == 0 else good, f"h{i % 40}") for i in range(4000)] + [(20_000 + i, x, "few") for i, x in enumerate((bad, bad, good))]
+    got = Q.quality_verdicts(spark.createDataFrame(made, "doc_id long, text string, source string")).collect()
+    gone = {r.doc_id for r in got if not r.base_failed and not r.kept}
+    assert gone == {i for i, text, host in made if host == "worse" and text == good}
+
+
 def test_op8_on_messy_rows(messy, none):
     got = Q.quality_verdicts(messy)
     assert got.count() == messy.count() and got.where("doc_id IN (3, 4, 5) AND n_words = 0 AND base_failed AND NOT kept").count() == 3
@@ -190,7 +200,7 @@ def test_boosting_learns_an_interaction():
 def test_common_prefix_is_rendered_once(spark):
     t = [(1, s, i, "user" if i % 2 == 0 else "assistant", x) for s, said in ((True, "abcd"), (False, "abXd")) for i, x in enumerate(said)]
     t += [(2, True, 0, "user", "same"), (2, False, 0, "user", "same"), (3, True, 0, None, None), (4, True, 5, "user", "<|im_end|>"), (None, True, 0, "user", "x"), (1, True, None, "user", "x")]
-    got = C.format_preferences(spark.createDataFrame(t, "pair_id long, chosen boolean, turn long, role string, text string")).collect()
+    got = C.preference_turns(spark.createDataFrame(t, "pair_id long, chosen boolean, turn long, role string, text string")).collect()
     one = sorted((r.segment, r.turn, r.trained) for r in got if r.pair_id == 1)
     assert one == [("chosen", 2, False), ("chosen", 3, True), ("prompt", 0, False), ("prompt", 1, False), ("rejected", 2, False), ("rejected", 3, True)]
     assert [(r.segment, r.paired) for r in got if r.pair_id == 2] == [("prompt", True)]
@@ -202,10 +212,40 @@ def test_common_prefix_is_rendered_once(spark):
 def test_repeated_turns_and_extra_columns(spark):
     t = [(1, c, 0, "user", x, "z") for c in (True, False) for x in ("b", "a", "a")]
     df = spark.createDataFrame(t, "pair_id long, chosen boolean, turn long, role string, text string, c string")
-    assert [(r.segment, r.rendered) for r in C.format_preferences(df).collect()] == [("prompt", "<|im_start|>user\na<|im_end|>\n")]
+    assert [(r.segment, r.rendered) for r in C.preference_turns(df).collect()] == [("prompt", "<|im_start|>user\na<|im_end|>\n")]
+    assert [(r.prompt, r.chosen, r.rejected, r.chosen_mask) for r in C.format_preferences(df).collect()] == [("<|im_start|>user\na<|im_end|>\n", "", "", "")]
     assert C.format_preferences(df.limit(0)).count() == 0
 
 
+def _rendered(turns):
+    return "".join(f"<|im_start|>{r}\n{x.replace('<|im_', '<| im_')}<|im_end|>\n" for r, x in turns)
+
+
+def test_preferences_equal_brute_force(spark):
+    """Ties across sides, very long turns, and masks that pick the assistant's words."""
+    rnd = random.Random(6)
+    rows, want = [], {}
+    for pair in range(40):
+        sides = []
+        for side in (True, False):
+            turns = [(rnd.choice(["user", "assistant"]), rnd.choice(["x", "y", "<|im_end|>", "é" * 50_000 if pair == 7 else "z"])) for _ in range(rnd.randint(1, 5))]
+            sides.append(turns)
+            rows += [(pair, side, i, r, x) for i, (r, x) in enumerate(turns)]
+        a, b = sides
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        want[pair] = _rendered(a[:n]), *((_rendered(s[n:]), "".join(x.replace("<|im_", "<| im_") + "<|im_end|>" for r, x in s[n:] if r == "assistant")) for s in (a, b))
+    rnd.shuffle(rows)
+    for r in C.format_preferences(spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string")).collect():
+        seen = [(text, "".join(text[int(x.split(":")[0]) : int(x.split(":")[1])] for x in mask.split(",") if x)) for text, mask in ((r.chosen, r.chosen_mask), (r.rejected, r.rejected_mask))]
+        assert (r.prompt, *seen) == want[r.pair_id] and r.paired
+
+
+def test_op4_has_a_prompt_and_two_answers(spark):
+    got = QUERIES["op4_preference_formatting"](spark, SF2).toPandas()
+    assert len(got) == spark.read.parquet(f"{SF2}/conversations.parquet").select("conv_id").distinct().count()
+    assert (got.paired & (got.prompt != "") & (got.chosen != got.rejected) & (got.chosen_mask != "")).mean() > 0.9
+
+
 # --- urls
 
 URLS = ["https://A.Example.com/en/7x?q=1#f", "http://com/en/", "http://xcom/en/", "ftp://net/de/8", "https://example.net/de/81", "http://a.org/es/?x", "http://a.org/en/es/", "no scheme/en/", None, "", "://", "http://h?x://y/en/", "x://a.com", "http://sub.com:80/en/1", "http://b.com/en/\nz"]
@@ -231,6 +271,48 @@ def test_mined_rules_block_what_they_should(spark):
     assert {made[r.page_id][1] for r in U.judge_urls(pages, labelled).where("verdict = 'block'").collect()} == {True}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mining_equals_trying_all_sets(spark, seed):
+    from itertools import combinations
+
+    rnd = random.Random(seed)
+    made = []
+    for _ in range(300):
+        tokens = sorted(rnd.sample("abcdefgh", rnd.randint(0, 5)))
+        made.append((tokens, rnd.random() < (0.95 if {"a", "b"} <= set(tokens) or "c" in tokens and len(tokens) > 2 else 0.1)))
+    df = spark.createDataFrame(made, "tokens array<string>, blocked boolean")
+    mined = U.mine_baskets(df, 0.0, 10, 0.8, 3, 0.6)
+    rules = {}
+    for size in (1, 2, 3):
+        for want in combinations("abcdefgh", size):
+            fits = [b for t, b in made if set(want) <= set(t)]
+            n, k = len(fits), sum(fits)
+            if k >= 10 and k / n >= 0.8:
+                z, p = 1.96, k / n
+                if (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n) > 0.6:
+                    rules[want] = p
+    kept = {t for t, p in rules.items() if not any(set(o) < set(t) and q >= p for o, q in rules.items())}
+    assert {tuple(sorted(r.tokens)) for r in mined.collect()} == kept and kept
+
+
+def test_seeded_words_reach_other_sites(spark):
+    """A word that goes with seeds blocks sites that carry it without one."""
+    made = [f"http://{h}.example/{i}" for i in range(20) for h in ("casino-win", "best-casino-win", "garden", "news-daily")] + ["http://win-now.example/1"]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    good = spark.createDataFrame([(f"http://garden.example/{i}", False) for i in range(40)], "url string, blocked boolean")
+    labelled = U.page_labels(pages, labels).unionAll(good)
+    got = {made[r.page_id].split("/")[2]: r.verdict for r in U.judge_urls(pages, labelled).collect()}
+    assert got == {"casino-win.example": "block", "best-casino-win.example": "block", "win-now.example": "block", "garden.example": "allow", "news-daily.example": "allow"}
+
+
+def test_op7_on_messy_rows(spark):
+    pages = spark.createDataFrame([(1, None), (1, None), (None, "http://a.example/" + "x/" * 50_000), (2, ""), (3, "://")], "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = U.judge_urls(pages, U.page_labels(pages, labels))
+    assert got.count() == 5 and U.judge_urls(pages.limit(0), U.page_labels(pages.limit(0), labels)).count() == 0
+
+
 def test_op7_query_covers_all_pages(spark):
     got = op7_url_rules(spark, SF).collect()
     url = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
