@@ -83,7 +83,7 @@ def leaks(docs: list[tuple], items: list[tuple], similarity: float = 0.8) -> dic
             if not v:
                 continue
             want = shingles(v, k)
-            for s in range(len(w) - len(v) + 1):
+            for s in range(max(1, len(w) - len(v) + 1)):  # a text shorter than the item is one window
                 have = shingles(w[s : s + len(v)], k)
                 j = (have & want).total() / (have | want).total()
                 if j >= similarity and ((d, i) not in out or j > out[d, i][0]):

@@ -129,6 +129,44 @@ def test_op2_equals_brute_force(spark, docs):
     assert got == want and len(want) > 20
 
 
+def test_texts_shorter_than_the_item(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    w = item.split()
+    rows = [(n, " ".join(w[:n])) for n in range(25, 41)] + [(100 + n, " ".join(w[n:])) for n in range(15)] + [(200, " ".join([*w[:20], "x", *w[20:39]]))]
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in D.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {k: (round(j, 9), s) for k, (j, s) in brute.leaks(rows, [(1, item)]).items()} and len(got) > 10
+
+
+@pytest.mark.parametrize(("words", "share", "recall"), [(14, 0.02, 1.0), (36, 0.03, 1.0), (59, 0.04, 0.99), (300, 0.06, 0.99)])
+def test_blocks_prune_and_keep_what_is_similar(spark, words, share, recall):
+    """Windows that share as few shingles with their item as a similarity of 0.8 allows, against many other items."""
+    rnd = random.Random(words)
+    n = words - 4
+    lost = int(n * 0.2 / 1.8 + 1e-9)
+    rows = []
+    for i in range(150):
+        grams = [rnd.getrandbits(64) - 2**63 for _ in range(n)]
+        window = grams[lost:] + [rnd.getrandbits(64) - 2**63 for _ in range(lost)]
+        rows.append((i, words, n, grams, window))
+    df = spark.createDataFrame(rows, "item_id long, n_words int, n int, grams array<long>, win array<long>")
+    items = D.with_votes(df, "grams").withColumn("fp", D.block_values("counts", "n")).select("item_id", "n_words", "n", "counts", "fp")
+    keys = D.item_keys(items, 0.8)
+    windows = D.with_votes(df, "win").select(F.col("item_id").alias("w"), F.posexplode(D.block_values("counts", "n")).alias("block", "value"))
+    met = windows.join(keys, ["block", "value"]).select("w", "item_id").collect()
+    assert len(met) <= share * 150 * 150 + 150 and len(met) == len(set(met))
+    assert sum(a == b for a, b in met) >= recall * 150
+    assert max(r["count"] for r in keys.groupBy("item_id").count().collect()) <= 2**14
+
+
+def test_votes_are_those_of_a_simhash(spark):
+    rnd = random.Random(2)
+    grams = [rnd.getrandbits(64) - 2**63 for _ in range(33)]
+    r = D.with_votes(spark.createDataFrame([(grams, 33)], "g array<long>, n int"), "g").select(F.col("counts").alias("c"), D.block_values("counts", "n").alias("b")).first()
+    assert r.c[:64] == [sum((x >> i) & 1 for x in grams) for i in range(64)] and len(r.c) == D.BITS
+    assert r.b == [sum(1 << i for i in range(16) if 2 * r.c[16 * j + i] > 33) for j in range(D.BITS // D.BLOCK)]
+
+
 def test_op2_query_finds_whole_passages(spark):
     got = {r.doc_id for r in op2_decontamination(spark, "/root/testdata/sf0.01").collect()}
     head = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").crossJoin(spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select(F.col("text").alias("item"))).where("contains(text, item)")
