@@ -1,8 +1,9 @@
 """Toxicity by a noisy channel: obfuscated words are restored by Viterbi, then restored text is scored.
 
 The channel turns letters into look-alikes (1d10t), puts marks between them (i.d.i.o.t), spaces them (i d i o t) and repeats them
-(idiooot). A suspicious word is a lattice of what each character may stand for; a character trigram model, counted over all
-documents, picks the likeliest paths. Scores are a logistic regression over starts of words (4 to 9 letters), starts that two or
+(idiooot). A suspicious word, or run of single characters between blanks of any kind, is a lattice of what each character may stand
+for, blanks and marks as nothing or as a word's end; a character trigram model, counted over all documents, picks the likeliest
+paths. Words cut up by blanks into longer pieces are put together where that gives a word of the model. Scores are a logistic regression over starts of words (4 to 9 letters), starts that two or
 more words of a text share, and whole words, in the text as it stands and as restored; so inflected and compound forms of an abusive
 stem count too.
 """
@@ -10,6 +11,7 @@ stem count too.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable
 
@@ -48,7 +50,11 @@ LOOKALIKES = {
     "€": "e",
     "¢": "c",
 }
-SEPARATORS = ".-_*'~"
+# Letters of other scripts that look like Latin ones; they stand for them in words that hold Latin letters, too.
+HOMOGLYPHS = dict(zip("авеёіјкмнорсԁѕтухһӏԛԝαβεικνορτυχ", "abeeijkmhopcdstyxhlqwabeikvoptux"))
+SEPARATORS = ".-_*'~,/:;·•\u200b\u200c\u200d\u2060\ufeff\u00ad"
+#: Letters and marks of a disguised word are decoded in pieces of so many, which overlap by half of that.
+PIECE = 128
 
 SIZE = 64
 _IDS = {c: i for i, c in enumerate(LETTERS, 2)}
@@ -60,8 +66,16 @@ for _c, _i in _IDS.items():
 
 _RUNS = re.compile(r"[^\W\d_]+")
 _TRIM = re.compile(r"^[^\w@$!|+€¢]+|[^\w]+$")
-_SUSPECT = re.compile(r"[^\W\d_][0134578 9@$!|+€¢.\-_*'~]+[^\W\d_]|^[0134579@$!|+€¢]+[^\W\d_]{2}|[^\W\d_][0134579$]$|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+_SUSPECT = re.compile(
+    r"[^\W\d_][0134578 9@$!|+€¢.\-_*'~\u200b-\u200d\u2060\ufeff\u00ad]+[^\W\d_]|^[0134579@$!|+€¢]+[^\W\d_]{2}|[^\W\d_][0134579$]$|([^\W\d_])\1\1"
+    r"|(?:[^\W\d_][,/:;·•]){3}[^\W\d_]"
+)
+_FOREIGN = re.compile(f"[{''.join(HOMOGLYPHS)}]")
+_LATIN = re.compile("[a-z]")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s{1,4}\S){2,}(?!\S)")
+_LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
+_STYLED = re.compile("[\uff01-\uff5e\U0001d400-\U0001d7ff]")
+_MARKS = re.compile("[\u0300-\u036f\u0489]+")
 
 
 def char_ids(text: str) -> np.ndarray:
@@ -109,7 +123,11 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         c, k = word[i], 1
         while i + k < len(word) and word[i + k] == c:
             k += 1
-        if c.isalpha():
+        if c.isspace():
+            options = [("", -0.5), (" ", -1.5)]
+        elif c in HOMOGLYPHS:
+            options = [(HOMOGLYPHS[c] * min(k, 2), -0.3), (c, -4.0)]
+        elif c.isalpha():
             options = [(c * k, -0.05)] if k < 3 else [(c, -0.7), (c * 2, -0.9)]
         elif c in LOOKALIKES:
             options = [(x, -1.2 - 0.2 * n) for n, x in enumerate(LOOKALIKES[c])] + [(c, -8.0)]
@@ -149,13 +167,28 @@ def restore(word: str, model: CharModel) -> str:
     return readings(word, model, 1)[0]
 
 
+def pieces(core: str) -> list[str]:
+    """A disguised word in pieces that overlap, each repeated character at most three times: the work is linear in its length."""
+    short = _LONG_RUN.sub(r"\1\1\1", core)
+    return [short[at : at + PIECE] for at in range(0, max(1, len(short) - PIECE // 2), PIECE // 2)]
+
+
+def plain_letters(word: str) -> str:
+    """A lower-cased word without styles of letters (full width, bold) and marks that cross letters out."""
+    if word.isascii():
+        return word
+    if _STYLED.search(word):
+        word = unicodedata.normalize("NFKC", word).lower()
+    return _MARKS.sub("", word)
+
+
 def forms(word: str, model: CharModel) -> list[str]:
-    """The letter runs of a word, and of what it may have been if it looks disguised."""
-    low = word.lower()
+    """The letter runs of a word, or of single characters between blanks, and of what it may have been if it looks disguised."""
+    low = plain_letters(word.lower())
     core = _TRIM.sub("", low)
     found = _RUNS.findall(core)
-    if _SUSPECT.search(core) and len(core) <= 64:
-        found += [run for said in readings(core, model) for run in _RUNS.findall(said)]
+    if _SUSPECT.search(core) or (not core.isascii() and _FOREIGN.search(core) and _LATIN.search(core)) or any(map(str.isspace, core)):
+        found += [run for piece in pieces(core) for said in readings(piece, model) for run in _RUNS.findall(said)]
     return found
 
 
@@ -177,6 +210,8 @@ def _reader(model: CharModel, index: dict[str, int] | None) -> Callable[[str], s
     drop_caches()
     memo: dict[str, tuple] = {}
     wanted = None if index is None else {f.removesuffix(TWICE) for f in index}
+    whole = {f[1:-1] for f in wanted or () if f[-1] == "$" and len(f) > 5}
+    starts = {w[:n] for w in whole for n in range(1, len(w))}
 
     def learn(word: str) -> tuple:
         if len(memo) > MEMO_WORDS:
@@ -185,10 +220,27 @@ def _reader(model: CharModel, index: dict[str, int] | None) -> Callable[[str], s
         memo[word] = out = tuple(got if wanted is None else got & wanted)
         return out
 
+    def cut_up(said: list[str], words: set) -> None:
+        """Add the model's words that stand in up to six pieces between blanks."""
+        for i, piece in enumerate(said):
+            if piece in starts or piece.lower() in starts:
+                joined = piece.lower()
+                for more in said[i + 1 : i + 6]:
+                    joined += more.lower()
+                    if joined in starts:
+                        continue
+                    core = joined.rstrip(".,;:!?")
+                    if core in whole:
+                        words.add(core)
+                    break
+
     def read(text: str | None) -> set:
         text = text or ""
-        words = set(text.split())
-        words.update("".join(m.group().split(" ")) for m in _SPACED.finditer(text))
+        said = text.split()
+        words = set(said)
+        words.update(" ".join(m.group().split()) for m in _SPACED.finditer(text))
+        if starts:
+            cut_up(said, words)
         found: Counter = Counter()
         for w in words:
             got = memo.get(w)
@@ -248,8 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     said = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fold = stage(said.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), "fold")
     n = fold.count()
-    share = int(min(1.0, max_train_rows / max(n, 1)) * 1_000_000)
-    sample = fold.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    share = min(1.0, max_train_rows / max(n, 1)) * 2.0**53
+    sample = fold.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**53)).cast("double") < share)
     rows = stage(docs.select("doc_id", "text").join(sample, "doc_id").select(F.col("toxic").cast("long").alias("toxic"), "text"), "train")
     kinds = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = kinds.get(1, 0), sum(kinds.values()) - kinds.get(1, 0)
@@ -327,7 +379,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that score threshold or more; columns stay as they are."""
+    """docs without the rows that score threshold or more; columns stay as they are.
+
+    Null and empty texts are scored as texts without words, so they stay unless most labelled rows are toxic; repeated rows and rows
+    without an id are scored each; an empty table gives no rows.
+    """
     model = fit(docs, labels)
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")

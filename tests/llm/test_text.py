@@ -62,6 +62,36 @@ def test_viterbi_equals_trying_all_paths(chars):
         assert X.restore(w, chars) == best(w)
 
 
+@pytest.fixture(scope="module")
+def clown(spark):
+    """A model that knows one abusive word, fitted on plain texts of the corpus."""
+    base = spark.read.parquet(f"{SF2}/documents.parquet").where("length(text) < 4000").select("doc_id", F.lower(F.regexp_replace("text", "clown", "")).alias("text"))
+    made = base.withColumn("toxic", (F.xxhash64("doc_id") % 4 == 0).cast("int")).withColumn("text", F.when(F.col("toxic") == 1, F.concat("text", F.lit(" you clown"))).otherwise(F.col("text")))
+    model = X.fit(made, made.select("doc_id", "toxic"))
+    return model, model.scorer()
+
+
+@pytest.mark.parametrize("said", ["you clown", "you c l o w n", "c  l  o  w  n", "c\nl\no\nw\nn", "c\tl\to\tw\tn", "c\u00a0l\u00a0o\u00a0w\u00a0n", "cl own", "cl ow n", "y o u c l o w n", "\u0441l\u043ewn", "cl0wn", "c.l.o.w.n", "c/l/o/w/n", "clo" + "o" * 80 + "wn", "c\u200blown", "\uff43\uff4c\uff4f\uff57\uff4e", "C L O W N!"])
+def test_spaced_and_lookalike_words_score_as_plain_ones(clown, said):
+    _, score = clown
+    assert score(f"the ered {said} of that") > 0.5 > score("the ered of that")
+    assert score("some x" + "y" * 500 + " words of an other kind in it") < 0.5
+
+
+def test_scores_equal_a_plain_scorer(clown, docs):
+    """Weights summed over the features of every word and reading, found without memos, sets or indexes."""
+    model, score = clown
+    weight = dict(zip(model.names, model.weights))
+    for text in ["", "you clown", "a cl0wn and c.l.o.w.n", *[r.text[:600] for r in docs.limit(25).collect()]]:
+        words = dict.fromkeys(text.split() + [" ".join(m.group().split()) for m in X._SPACED.finditer(text)])
+        count: dict = {}
+        for w in words:
+            for f in {f"^{run}$" for run in X.forms(w, model.chars) if len(run) > 2} | {f"^{run[:n]}" for run in X.forms(w, model.chars) for n in range(4, 10) if len(run) >= n}:
+                count[f] = count.get(f, 0) + 1
+        z = model.intercept + sum(weight.get(f, 0) for f in count) + sum(weight.get(f + X.TWICE, 0) for f, n in count.items() if n > 1 and f[-1] != "$")
+        assert abs(score(text) - 1 / (1 + 2.718281828459045 ** -z)) < 1e-9
+
+
 def test_trigrams_follow_the_texts(spark, docs):
     n = {r.code: r.n for r in X.count_trigrams(docs).collect()}
     assert sum(n.values()) == sum(len(r.text.lower()) for r in docs.collect())
