@@ -5,6 +5,7 @@ import html
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,36 @@ def test_method_adds_what_the_patterns_miss():
         assert model.spans(clean)[1] == []
 
 
+def test_the_tightest_card_is_found_in_a_row_of_digits():
+    model = pii.PiiModel()
+    text = "9 9 9 9 9 4111 1111 1111 1111"
+    assert model.spans(text) == ([], [("card", 10, 29)])
+    many = " ".join(f"9 9 9 {i % 10} 4111 1111 1111 1111, {i}" for i in range(20_000))
+    assert sum(s[0] == "card" for s in model.spans(many)[1]) > 15_000
+
+
+def test_added_spans_equal_a_plain_choice(docs):
+    """Candidates rated one by one, and the surest taken while it touches none taken before."""
+    model = pii.PiiModel()
+    for text in [r.text[:3000] for r in docs.limit(60).collect()] + ["at +1 (269) 555-3296 4524132264652876 and a@b.co or john (at) mail (dot) com", "9 9 9 4111 1111 1111 1111 10 . 0 . 0 . 1"]:
+        found = list(pii.base_matches(text))
+        taken = [(k, a, b) for k, a, b, good in found if good]
+        rated = [(round(float(model.trees.predict(np.array([pii.describe(text, c)]))[0]), 3), c) for c in set(pii.candidates(text, [(k, a, b) for k, a, b, good in found if not good]))]
+        for score, c in sorted(rated, key=lambda x: (-x[0], x[1][2] - x[1][1], x[1][1], x[1][0])):
+            if score >= model.thresholds[c[0]] and all(c[2] <= a or b <= c[1] for _, a, b in taken):
+                taken.append(c)
+        assert sorted(taken) == sorted(model.spans(text)[1])
+
+
+def test_examples_of_documents(spark, docs):
+    x, y, k = pii.real_examples(docs)
+    assert len(x) == len(y) == len(k) > 20 and set(y) == {0.0, 1.0} and x.shape[1] == pii.generate(8)[0].shape[1]
+    again = pii.real_examples(docs.repartition(5))
+    assert (again[0] == x).all() and len(pii.real_examples(docs.limit(0))[1]) == 0
+    model = pii.PiiModel(real=(x, y, k))
+    assert all(0.5 <= t < 1 for t in model.thresholds.values())
+
+
 def test_op9_digest(spark, docs):
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in op9_pii(spark, SF).collect():
