@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +40,29 @@ def hash_images(files: DataFrame, fn: Callable[[bytes], int] | None = None) -> D
     return files.select("path", "bytes").mapInArrow(run, "path string, h bigint, failed boolean")
 
 
+def dct_hash(gray: np.ndarray, size: int = 8, over: int = 4) -> int:
+    """A perceptual hash of a gray image (rows of numbers) as a signed long: its mean over a grid of size * over cells a side, of that
+    grid's cosine transform the size x size lowest frequencies, of those which lie above their median."""
+    gray, n = np.asarray(gray, float), size * over
+    if gray.ndim != 2 or 0 in gray.shape:
+        raise ValueError("a gray image has rows and columns")
+
+    def shrink(length: int) -> np.ndarray:
+        """Weights of each pixel in each of n cells."""
+        edges, at = np.arange(n + 1) * length / n, np.arange(length)
+        return np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None) * n / length
+
+    wave = np.cos(np.pi * np.arange(size)[:, None] * (2 * np.arange(n) + 1) / (2 * n))
+    low = wave @ (shrink(gray.shape[0]) @ gray @ shrink(gray.shape[1]).T) @ wave.T
+    bits = (low > np.median(low)).ravel()
+    return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
+
+
+def image_hasher(decode: Callable[[bytes], np.ndarray]) -> Callable[[bytes], int]:
+    """A function for hash_images from any decoder of bytes to gray rows."""
+    return lambda data: dct_hash(decode(data))
+
+
 def embed(rows: DataFrame, fn: Callable[[list], list], key: str, value: str, batch: int = 64) -> DataFrame:
     """(key, v): an embedding of every row's value, fn getting at most ``batch`` at a time."""
     kind = rows.schema[key].dataType.simpleString()

@@ -381,10 +381,10 @@ def mth02(spark: SparkSession, sf: str) -> DataFrame:
     return T.delta_weights(run(spark, sf, TOK), "batch_id").select("sample_id", "t", F.round("weight", 6).alias("weight"))
 
 
-@query("MTH03", "SELECT doc_id, list_transform(a, lambda x: CASE WHEN doc_id % 2 = 0 THEN round(-x * x, 9) ELSE 0.0 END) AS w FROM ser", ser=SER)
+@query("MTH03", "SELECT doc_id, list_transform(a, lambda x: CASE WHEN doc_id % 2 = 0 THEN round(-x * x, 9) + 0.0 ELSE 0.0 END) AS w FROM ser", ser=SER)
 def mth03(spark: SparkSession, sf: str) -> DataFrame:
     terms = T.weighted_nll(F.col("a"), F.col("a"), F.col("doc_id") % 2 == 0)
-    return _series(spark, sf).select("doc_id", F.transform(terms, lambda x: F.round(x, 9)).alias("w"))
+    return _series(spark, sf).select("doc_id", F.transform(terms, lambda x: F.round(x, 9) + 0.0).alias("w"))  # + 0.0: no negative zero
 
 
 @query("MTH04", "SELECT sample_id, t, round(CASE WHEN loss_branch = 'ce' THEN -log_prob * coalesce(beta, 0.1) ELSE raw_kl END, 6) AS loss FROM tok", tok=TOK)

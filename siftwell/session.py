@@ -24,9 +24,11 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path under spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """A fresh path under spark.checkpoint.dir. Only a local master may leave it unset, as tests do; it gets a folder of its own."""
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         _own_root = _own_root or "file://" + tempfile.mkdtemp(prefix="siftwell-")
         root = _own_root

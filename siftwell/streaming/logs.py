@@ -41,17 +41,22 @@ def last_by_step(series: DataFrame) -> DataFrame:
 
 
 def follow_ranges(spark: SparkSession, folder: str, table: str):
-    """A started stream over a folder of logs: each micro-batch appends its (step, metric, value), metric_ranges reads them."""
+    """A started stream over a folder of logs: each micro-batch writes its (step, metric, value, line_no), followed_ranges reads them.
+
+    A micro-batch that runs again overwrites what it wrote.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         rows = batch.select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-        log_series(rows).select("step", "metric", "value").write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
+        log_series(rows).write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
 
     return spark.readStream.text(folder).writeStream.foreachBatch(write).option("checkpointLocation", f"{table}-state").start()
 
 
 def followed_ranges(spark: SparkSession, table: str) -> DataFrame:
-    return metric_ranges(spark.read.schema("step bigint, metric string, value double, epoch bigint").parquet(table))
+    """As for a log read as one batch: of a step logged twice the later line counts, in the order of micro-batches and lines."""
+    series = spark.read.schema("step bigint, metric string, value double, line_no bigint, epoch bigint").parquet(table)
+    return metric_ranges(keep_last(series, ["step", "metric"], ["epoch", "line_no"]).drop("epoch", "line_no"))
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", size: str = "6 hours") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from siftwell.operators import filters as P
 from siftwell.operators import joins as J
 from siftwell.operators import sampling as M
 from siftwell.operators import windows as W
-from siftwell.plans import config, gates
+from siftwell.plans import config, gates, pluggable
 from siftwell.plans import tokens as T
 from siftwell.session import scratch
 from siftwell.sources import records as R
@@ -171,3 +172,61 @@ def test_log_stream(spark, tmp_path):
     q.stop()
     got = {r.metric: (r.min, r.max, r.last) for r in logs.followed_ranges(spark, table).collect()}
     assert got["actor/loss"] == (2.0, 4.0, 4.0)
+
+
+@pytest.mark.parametrize("limit", [1, 2, 5, 6, 9])
+def test_hamming_pairs_equal_all_pairs(spark, limit):
+    rnd = random.Random(limit)
+    base = [rnd.getrandbits(64) for _ in range(40)]
+
+    def near(x):
+        for b in rnd.sample(range(64), rnd.randint(0, 9)):
+            x ^= 1 << b
+        return x
+
+    sides = [[near(x) for x in base for _ in range(3)] for _ in range(2)]
+    left, right = (spark.createDataFrame([(i, h - 2**64 if h >= 2**63 else h) for i, h in enumerate(s)], f"{name} long, h long") for s, name in zip(sides, ("lid", "rid")))
+    got = sorted(map(tuple, J.hamming_pairs(left, right, limit).collect()))
+    assert got == sorted((i, j, (a ^ b).bit_count()) for i, a in enumerate(sides[0]) for j, b in enumerate(sides[1]) if (a ^ b).bit_count() < limit)
+
+
+def test_containing_equals_all_pairs(spark):
+    rnd = random.Random(3)
+    word = lambda: rnd.choice("abc")
+    texts = ["".join(word() + rnd.choice(["", " ", "  ", "\n"]) for _ in range(60)) for _ in range(60)] + [None, "", " "]
+    items = [t[i : i + n] for t in texts[:30] for i, n in ((3, 25), (0, 60), (7, 4), (11, 33))] + [None]
+    docs, found = spark.createDataFrame(list(enumerate(texts)), "d long, text string"), spark.createDataFrame(list(enumerate(items)), "i long, item string")
+    got = sorted((r.d, r.i) for r in J.containing(docs, found, "text", "item").collect())
+    assert got == [(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if t is not None and x is not None and x in t]
+
+
+def test_dct_hash_keeps_under_scaling_and_noise():
+    rnd = np.random.default_rng(1)
+    images = [np.kron(rnd.random((8, 8)), np.ones((20, 26))) for _ in range(6)]
+    hashes = [pluggable.dct_hash(x) for x in images]
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert all(-(2**63) <= h < 2**63 for h in hashes)
+    for x, h in zip(images, hashes):
+        assert apart(pluggable.dct_hash(x[::2, ::2]), h) < 5 and apart(pluggable.dct_hash(x * 0.8 + 0.02 * rnd.random(x.shape)), h) < 5
+    assert min(apart(a, b) for i, a in enumerate(hashes) for b in hashes[:i]) > 10
+    wave = np.cos(np.pi * np.arange(32) * 3 / 32 + np.pi * 3 / 64)
+    bits = pluggable.dct_hash(np.ones((32, 1)) * wave) & (2**64 - 1)
+    assert bits >> 60 & 1  # the frequency that is there, third of the first row
+    with pytest.raises(ValueError):
+        pluggable.dct_hash(np.zeros((0, 4)))
+
+
+def test_a_followed_log_has_the_ranges_of_the_whole(spark, tmp_path):
+    from siftwell.operators.aggregates import metric_ranges
+
+    lines = [f"step {i % 30} training/global_step: {i % 30} actor/loss={i * 7 % 13}.5" for i in range(90)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.log").write_text("\n".join(lines[30 * k : 30 * k + 30]) + "\n")
+        q = logs.follow_ranges(spark, str(folder), str(tmp_path / "table"))
+        q.processAllAvailable()
+        q.stop()
+    whole = spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
+    want = metric_ranges(logs.last_by_step(logs.log_series(whole)))
+    assert sorted(map(tuple, logs.followed_ranges(spark, str(tmp_path / "table")).collect())) == sorted(map(tuple, want.collect())) != []
