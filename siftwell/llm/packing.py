@@ -22,8 +22,10 @@ from siftwell.llm.token_files import encoder
 SEQ_LEN = 2048
 WORD_BPE = "word_bpe_49k.json"
 WORD_BPE_END = 1
-#: Ranks within one length are counted in so many independent runs, so that one very common length is not one task's work.
+#: Ranks within one length are counted in at least so many independent runs where it is common, and in runs of at most about RUN
+#: pieces, so that one very common length is not one task's work at any size.
 SALTS = 64
+RUN = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -90,7 +92,9 @@ def plan_packs(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[
 def pack_pieces(pieces: DataFrame, seq_len: int = SEQ_LEN, salts: int = SALTS) -> DataFrame:
     """pieces (PIECES, written once: they are read twice) with sequence_id and offset; offsets are gapless from 0."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    sizes = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most seq_len
+    often = F.create_map(*[F.lit(x) for length, n in sizes.items() if n > RUN * salts for x in (length, -(-n // RUN))] or [F.lit(-1).cast("long"), F.lit(1)])
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.coalesce(F.try_element_at(often, F.col("length")), F.lit(salts)).cast("long")))
     counts = sorted(tuple(r) for r in salted.groupBy("length", "salt").count().collect())
     histogram: dict[int, int] = {}
     base = []
@@ -98,7 +102,7 @@ def pack_pieces(pieces: DataFrame, seq_len: int = SEQ_LEN, salts: int = SALTS) -
         base.append((length, salt, histogram.get(length, 0)))
         histogram[length] = histogram.get(length, 0) + n
     slots = plan_packs(histogram, seq_len)
-    # both tables are bounded by the histogram: at most seq_len x salts and a few x seq_len rows
+    # both tables are bounded by the histogram: at most seq_len x salts, one for each RUN pieces, and a few x seq_len rows
     base_df = F.broadcast(spark.createDataFrame(base, "length long, salt long, base long"))
     slots_df = F.broadcast(spark.createDataFrame(slots, "slot_length long, first_rank long, n long, each long, first_sequence long, at long"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")

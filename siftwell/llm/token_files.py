@@ -205,6 +205,9 @@ class _StreamWriter:
         self.out.close()
 
 
+#: Bytes of the documents' own files that go to one token file at most, by the plan's estimate.
+FILE_BYTES = 512 << 20
+
 INDEX = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -217,7 +220,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     spark = docs.sparkSession
     small_batches(spark, 4000, 12)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, by the plan; nothing is read
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES) if size < 1 << 60 else 0)
     ordered = picked.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches):
