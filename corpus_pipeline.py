@@ -1,7 +1,9 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet and read again as
-the next one's docs. All but the last return the columns of documents.
+the next one's docs. All but the last return the columns of documents, extra ones too. Null and empty texts pass through the first four
+(near-duplicates keep one of them, as they are copies of each other) and pack as their end id; rows without an id stay; an empty table
+gives no rows. Of rows that repeat an id near-dedup keeps one, the least as JSON where they differ.
 """
 
 from __future__ import annotations
