@@ -1,8 +1,8 @@
 """Preference formatting: chosen and rejected conversations as one prompt and two masked completions.
 
-The longest common turn prefix of a pair is found turn by turn: equal turns are counted by (pair, turn), the first turn that differs
-is a minimum by pair, and every turn then knows which segment it belongs to (``preference_turns``). ``format_preferences`` joins the
-turns of each pair to one row, the training example: its prompt once, both completions, and the spans of each that a loss should see.
+The turns of each pair are gathered once, in one shuffle, to its training example (``format_preferences``): the longest common turn
+prefix is rendered as the prompt, and what follows on either side as its completion, with the spans that a loss should see.
+``preference_turns`` gives the same as a row for each rendered turn, without gathering a conversation anywhere.
 """
 
 from __future__ import annotations
@@ -55,51 +55,75 @@ def preference_turns(turns: DataFrame) -> DataFrame:
     )
 
 
-def format_preferences(turns: DataFrame) -> DataFrame:
-    """(pair_id, paired, prompt, chosen, rejected, chosen_mask, rejected_mask), one row for each pair of turns (pair_id, chosen, turn,
-    role, text).
+def _in_turn(said: str) -> Column:
+    """Sorted turns (turn, role, text) without those that repeat a turn's number: the least (role, text) of each."""
+    return F.filter(said, lambda x, i: (i == 0) | (x["turn"] != F.get(said, F.greatest(i - 1, F.lit(0)))["turn"]))
 
-    A mask lists what a loss should see of its completion, the assistant's words and their end marks, as start:end in code points,
-    comma-joined; a side without any, or without turns, has an empty one. Nulls, repeats and missing sides are treated as in
-    preference_turns; an empty table gives no rows.
-    """
-    head = F.length(F.lit(TURN_OPEN)) + F.length("role") + 1
-    said = F.struct("turn", "rendered", F.when(F.col("trained"), head).alias("head"))
-    rows = preference_turns(turns).groupBy("pair_id").agg(
-        F.max("paired").alias("paired"), *[F.sort_array(F.collect_list(F.when(F.col("segment") == name, said))).alias(name) for name in ("prompt", "chosen", "rejected")]
+
+def _said() -> Column:
+    return F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def render_pairs(pairs: DataFrame) -> DataFrame:
+    """The result of format_preferences from pairs (pair_id, c, r) of sorted turns (turn, role, text)."""
+    same = F.least(F.size("c"), F.size("r"))
+    apart = F.filter(F.sequence(F.lit(0), same), lambda i: (i == same) | ~F.get("c", i).eqNullSafe(F.get("r", i)))
+    cut = pairs.withColumn("n", F.array_min(apart)).select(
+        "pair_id",
+        ((F.size("c") > 0) & (F.size("r") > 0)).alias("paired"),
+        F.slice("c", 1, F.col("n")).alias("prompt"),
+        F.slice("c", F.col("n") + 1, F.size("c")).alias("chosen"),
+        F.slice("r", F.col("n") + 1, F.size("r")).alias("rejected"),
     )
 
-    def whole(name: str) -> Column:
-        return F.array_join(F.transform(name, lambda t: t["rendered"]), "").alias(name)
+    def rendered(name: str) -> Column:
+        head = F.length(F.lit(TURN_OPEN)) + 1
+        return F.transform(name, lambda t: F.struct(render_turn(t["role"], t["text"]).alias("said"), F.when(t["role"] == "assistant", head + F.length(t["role"])).alias("head")))
 
     def mask(name: str) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("spans"))
 
         def add(a: Column, t: Column) -> Column:
-            end = a["at"] + F.length(t["rendered"])
+            end = a["at"] + F.length(t["said"])
             span = F.concat(F.when(a["spans"] == "", "").otherwise(F.lit(",")), (a["at"] + t["head"]).cast("string"), F.lit(":"), (end - 1).cast("string"))
             return F.struct(end.alias("at"), F.concat(a["spans"], F.coalesce(span, F.lit(""))).alias("spans"))
 
         return F.aggregate(name, start, add, lambda a: a["spans"]).alias(f"{name}_mask")
 
-    return rows.select("pair_id", "paired", whole("prompt"), whole("chosen"), whole("rejected"), mask("chosen"), mask("rejected"))
+    names = ("prompt", "chosen", "rejected")
+    told = cut.select("pair_id", "paired", *[rendered(name).alias(name) for name in names])
+    whole = [F.array_join(F.transform(name, lambda t: t["said"]), "").alias(name) for name in names]
+    return told.select("pair_id", "paired", *whole, mask("chosen"), mask("rejected"))
+
+
+def format_preferences(turns: DataFrame) -> DataFrame:
+    """(pair_id, paired, prompt, chosen, rejected, chosen_mask, rejected_mask), one row for each pair of turns (pair_id, chosen, turn,
+    role, text).
+
+    A mask lists what a loss should see of its completion, the assistant's words and their end marks, as start:end in code points,
+    comma-joined; a side without any, or without turns, has an empty one. Nulls, repeats and missing sides are treated as in
+    preference_turns; an empty table gives no rows. A conversation is one row, as it is for whoever trains on it.
+    """
+    placed = turns.where("pair_id IS NOT NULL AND chosen IS NOT NULL AND turn IS NOT NULL")
+    sides = [F.sort_array(F.collect_list(F.when(side, _said()))).alias(name) for name, side in (("c", F.col("chosen")), ("r", ~F.col("chosen")))]
+    return render_pairs(placed.groupBy("pair_id").agg(*sides).select("pair_id", _in_turn("c").alias("c"), _in_turn("r").alias("r")))
 
 
 def swapped_answers(conversations: DataFrame) -> DataFrame:
-    """Turns (pair_id, chosen, turn, role, text) for want of stated preferences: the chosen side of pair k is conversation k, the
-    rejected one the same with its last assistant turn taken from conversation k xor 1.
+    """Pairs (pair_id, c, r) for want of stated preferences: the chosen side of pair k is conversation k, the rejected one the same
+    with its last assistant turn taken from conversation k xor 1.
 
     Of rows that repeat a (conversation, turn) the least (role, text) counts. Where either has no assistant turn, pair k has a chosen
     side alone. Rows without a conversation or turn give none.
     """
-    said = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy(F.col("conv_id").cast("long").alias("pair_id"), "turn").agg(F.min(said).alias("said"))
-    turns = turns.select("pair_id", "turn", "said.role", "said.text")
-    last = turns.where("role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("last"), F.max_by("text", "turn").alias("answer"))
-    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("answer").alias("donated"))
-    spoilt = turns.join(last.join(other, "pair_id").select("pair_id", "last", "donated"), "pair_id")
-    rejected = spoilt.select("pair_id", F.lit(False).alias("chosen"), "turn", "role", F.when(F.col("turn") == F.col("last"), F.col("donated")).otherwise(F.col("text")).alias("text"))
-    return turns.select("pair_id", F.lit(True).alias("chosen"), "turn", "role", "text").unionByName(rejected)
+    placed = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    whole = placed.groupBy(F.col("conv_id").cast("long").alias("pair_id")).agg(F.sort_array(F.collect_list(_said())).alias("said")).select("pair_id", _in_turn("said").alias("c"))
+    last = F.array_max(F.transform("c", lambda x, i: F.when(x["role"] == "assistant", i)))
+    whole = whole.withColumn("last", last)
+    donors = whole.where("last IS NOT NULL").select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.get("c", F.col("last"))["text"].alias("donated"))
+    swapped = F.transform("c", lambda x, i: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), F.when(i == F.col("last"), F.col("donated")).otherwise(x["text"]).alias("text")))
+    able = F.col("last").isNotNull() & F.col("donated").isNotNull()
+    return whole.join(donors, "pair_id", "left").select("pair_id", "c", F.when(able, swapped).otherwise(F.slice("c", 1, 0)).alias("r"))
 
 
 ORACLE_SQL = """

@@ -28,7 +28,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_format.format_preferences(preference_format.swapped_answers(_table(spark, sf_dir, "conversations")))
+    return preference_format.render_pairs(preference_format.swapped_answers(_table(spark, sf_dir, "conversations")))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
