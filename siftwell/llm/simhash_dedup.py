@@ -236,13 +236,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 # --- copies that are looser than one fingerprint's radius reaches
 
-#: 64-bit words of a wide fingerprint, those of them that are searched by ball hashing, and the radius in a word.
+#: 64-bit words of a wide fingerprint, those of them whose halves are searched by ball hashing, and the radius in a half.
 WORDS = 8
 SEARCHED = 5
-WORD_RADIUS = 5
-HALF_RADIUS = WORD_RADIUS // 2
-#: Wide fingerprints of texts with a 5-word Jaccard similarity of 0.8 differ in about 50 of 512 bits.
-WIDE_LIMIT = 56
+HALF_RADIUS = 2
+#: Wide fingerprints of texts with a 5-word Jaccard similarity of 0.8 differ in about 60 of 512 bits.
+WIDE_LIMIT = 64
 
 
 def wide_fingerprint(data: bytes | None, shingle: int = SHINGLE, words: int = WORDS) -> np.ndarray:
@@ -266,9 +265,9 @@ def wide_fingerprint(data: bytes | None, shingle: int = SHINGLE, words: int = WO
 
 
 def _verified(x: np.ndarray, y: np.ndarray, word: int, limit: int) -> np.ndarray:
-    """Which rows of x and y (wide fingerprints; y may be one) link by this word."""
+    """Which rows of x and y (wide fingerprints; y may be one) that meet by a half of this word link."""
     apart = np.bitwise_count(x ^ y)
-    near = (apart[:, word] <= WORD_RADIUS) & (apart.sum(axis=1, dtype=np.int64) <= limit)
+    near = apart.sum(axis=1, dtype=np.int64) <= limit
     return near | (apart[:, 0] <= RADIUS) if word == 0 else near
 
 
@@ -278,12 +277,11 @@ def _met_first(x: np.ndarray, y: np.ndarray, word: int, side: int, key: np.ndarr
     Two halves at most 2 apart share every variant (equal ones), their own values (1 apart) or the two between them; the least is the
     first. A link is only given where it is met first, as the group there joins the two in any case.
     """
-    later = np.zeros(len(x), bool)
-    for t in range(word):
-        later |= _verified(x, y, t, limit)
+    low = np.uint64(0xFFFFFFFF)
+    before = (x ^ y)[:, :word]
+    later = ((np.bitwise_count(before & low) <= HALF_RADIUS) | (np.bitwise_count(before >> np.uint64(32)) <= HALF_RADIUS)).any(axis=1)
     u, v = (z[..., word] >> np.uint64(32 * side) & np.uint64(0xFFFFFFFF) for z in (x, y))
     if side:
-        low = np.uint64(0xFFFFFFFF)
         later |= np.bitwise_count((x[..., word] ^ y[..., word]) & low) <= HALF_RADIUS
     apart = u ^ v
     one = apart & (~apart + np.uint64(1))
@@ -378,10 +376,9 @@ def _across(big: DataFrame, stars: DataFrame, bound: int) -> DataFrame:
 
 def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = WIDE_LIMIT, shingle: int = SHINGLE, group_bound: int = GROUP_BOUND) -> DataFrame:
     """(id_col, component_id) for every row: texts link whose wide fingerprints differ in at most RADIUS bits of the first word (the
-    fingerprint of simhash_components), or in at most limit of all WORDS x 64 bits and at most WORD_RADIUS bits of a searched word.
+    fingerprint of simhash_components), or in at most limit of all WORDS x 64 bits and at most HALF_RADIUS of a half of a searched word.
 
-    Within a word, one half of two such fingerprints differs by at most 2, so both emit the half's variants within 1 and meet. Halves
-    are searched one after the other, so disk and memory are those of one. Whole fingerprints are compared where they meet, so each
+    Both sides emit a half's variants within half that radius, 1, and meet at a common one. Halves are searched one after the other, so disk and memory are those of one. Whole fingerprints are compared where they meet, so each
     group's forest is of real links; a link is given once, where the two meet first. Meeting points of more than group_bound nodes
     are dealt into parts, each is linked, and what then lies outside the point's largest component meets all parts: nothing is lost,
     and only a point that stays in many components costs more than in proportion. Nulls and repeats are treated as in

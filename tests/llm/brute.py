@@ -156,7 +156,7 @@ def wide_prints(text: str | None, words: int = 8) -> list[int]:
     return out
 
 
-def wide_components(ids: list, texts: list, limit: int = 56) -> list:
+def wide_components(ids: list, texts: list, limit: int = 64) -> list:
     f = [wide_prints(t) for t in texts]
     root = list(range(len(f)))
 
@@ -169,7 +169,7 @@ def wide_components(ids: list, texts: list, limit: int = 56) -> list:
     for i in range(len(f)):
         for j in range(i):
             apart = [(a ^ b).bit_count() for a, b in zip(f[i], f[j])]
-            if apart[0] <= 3 or sum(apart) <= limit and min(apart[:5]) <= 5:
+            if apart[0] <= 3 or sum(apart) <= limit and any(((a ^ b) >> s & 0xFFFFFFFF).bit_count() <= 2 for a, b in zip(f[i][:5], f[j]) for s in (0, 32)):
                 root[find(i)] = find(j)
     least: dict = {}
     for i, d in enumerate(ids):

@@ -10,7 +10,7 @@ from siftwell.llm import simhash_dedup as S
 from tests.llm import brute
 
 
-def _wide_brute(ids: list, texts: list, searched: int, limit: int = 56) -> list:
+def _wide_brute(ids: list, texts: list, searched: int, limit: int = 64) -> list:
     """Least id reachable over links of the wide fingerprints, by trying all pairs."""
     f = [brute.wide_prints(t) for t in texts]
     root = list(range(len(f)))
@@ -23,7 +23,7 @@ def _wide_brute(ids: list, texts: list, searched: int, limit: int = 56) -> list:
     for i in range(len(f)):
         for j in range(i):
             apart = [(a ^ b).bit_count() for a, b in zip(f[i], f[j])]
-            if apart[0] <= 3 or sum(apart) <= limit and min(apart[:searched]) <= 5:
+            if apart[0] <= 3 or sum(apart) <= limit and any(((a ^ b) >> s & 0xFFFFFFFF).bit_count() <= 2 for a, b in zip(f[i][:searched], f[j]) for s in (0, 32)):
                 root[find(i)] = find(j)
     least: dict = {}
     for i, d in enumerate(ids):
@@ -65,7 +65,7 @@ def test_links_of_a_group_are_verified_before_nodes_are_absorbed(spark):
     texts: list = []
     for k in range(300):
         own = list(base)
-        for at in rnd.sample(range(400), 6):
+        for at in rnd.sample(range(400), 10):
             own[at] = word()
         texts.append(" ".join(own))
         if k % 3 == 2:
