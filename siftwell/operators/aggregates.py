@@ -77,12 +77,12 @@ def inheritance(joined: DataFrame, *by: str) -> DataFrame:
     """Error inheritance of three-way rows (correct, answer, s_answer, s_correct, b_answer, b_correct).
 
     Over teacher-wrong rows with a student row: inherited is any non-empty student answer equal to the teacher's, right or not; a
-    base answer counts only where the base is wrong; escaped is inherited by the base and no longer by the student.
+    base answer counts only where the base is wrong; escaped is inherited by the base where the student is now right.
     """
     wrong = joined.where(~F.col("correct"))
     same = (F.col("s_answer") == F.col("answer")) & (F.col("s_answer") != "")
     base = F.coalesce((F.col("b_answer") == F.col("answer")) & (F.col("b_answer") != "") & ~F.col("b_correct"), F.lit(False))
-    out = wrong.groupBy(*by).agg(F.count("*").alias("n"), rate(F.col("s_correct")).alias("acc_given_wrong"), F.count_if(same).alias("inherited"), F.count_if(base).alias("base_inherited"), F.count_if(base & ~same).alias("escaped"))
+    out = wrong.groupBy(*by).agg(F.count("*").alias("n"), rate(F.col("s_correct")).alias("acc_given_wrong"), F.count_if(same).alias("inherited"), F.count_if(base).alias("base_inherited"), F.count_if(base & F.coalesce("s_correct", F.lit(False))).alias("escaped"))
     return out.withColumn("tei_rate", F.try_divide("inherited", "n")).withColumn("escape_rate", F.try_divide("escaped", "base_inherited"))
 
 

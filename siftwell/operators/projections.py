@@ -44,23 +44,39 @@ def row_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
     return local.join(starts, "__part").withColumn(name, F.col("__before") + F.col("__nth")).drop("__part", "__nth", "__before")
 
 
-def train_rows(df: DataFrame) -> DataFrame:
-    """Nested training rows from (bucket, sample_id, question, gold, image bytes, category, source, trajectory_pass, correct_I)."""
+# The training format.
+ABILITY = "vl_distill"
+ANSWER_FORMAT = "final_answer_boxed_v1"
+BUCKETS = ("virl39k", "pope_style", "tallyqa", "synthetic")
+
+
+def train_rows(df: DataFrame, tokenizer: str = "", template: str = "qwen2_5_vl_default") -> DataFrame:
+    """Nested training rows of (bucket, sample_id, question, gold, image bytes, category, source, trajectory_pass, correct_I).
+
+    pass_rate_32b, gold_token_ids and index come along where df has them (0, none and null else); a null verdict counts as failed.
+    """
+    gold = X.strip(F.col("gold"))
     prompt = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("<image>\n"), "question").alias("content")))
+    own = lambda c, kind: F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
+    ids = F.coalesce(own("gold_token_ids", "array<int>"), F.array().cast("array<int>"))
+    info = {"index": own("index", "bigint"), "answer": gold, "question": F.col("question"), "tokenizer_name": F.lit(tokenizer), "chat_template_version": F.lit(template), "answer_format": F.lit(ANSWER_FORMAT)}
     return df.select(
         F.concat(F.lit("e1_"), "bucket").alias("data_source"),
         prompt.alias("prompt"),
         F.array(F.struct(F.col("image").alias("bytes"))).alias("images"),
-        F.lit("vqa").alias("ability"),
+        F.lit(ABILITY).alias("ability"),
         "bucket",
-        F.coalesce("trajectory_pass", "correct_I").alias("trajectory_pass"),
-        F.col("gold").alias("gold_text"),
-        X.gold_response(F.col("gold")).alias("gold_response_text"),
+        F.coalesce("trajectory_pass", "correct_I", F.lit(False)).alias("trajectory_pass"),
+        gold.alias("gold_text"),
+        X.gold_response(gold).alias("gold_response_text"),
+        ids.alias("gold_token_ids"),
+        F.size(ids).cast("bigint").alias("gold_token_len"),
         "sample_id",
-        "category",
-        "source",
-        F.struct(F.lit("rule").alias("style"), F.col("gold").alias("ground_truth")).alias("reward_model"),
-        F.struct(F.col("gold").alias("answer"), F.col("question").alias("question")).alias("extra_info"),
+        F.coalesce("category", F.lit("")).alias("category"),
+        F.coalesce("source", F.lit("")).alias("source"),
+        F.coalesce(own("pass_rate_32b", "double"), F.lit(0.0)).alias("pass_rate_32b"),
+        F.struct(F.lit("rule").alias("style"), gold.alias("ground_truth")).alias("reward_model"),
+        F.struct(*[c.alias(k) for k, c in info.items()]).alias("extra_info"),
     )
 
 

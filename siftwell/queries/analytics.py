@@ -221,7 +221,7 @@ def agg13(spark: SparkSession, sf: str) -> DataFrame:
     return _round(out, "acc_i", "acc_null").withColumn("grp", F.coalesce("grp", F.lit("")))
 
 
-@query("AGG14", "SELECT *, round(inherited / n, 6) AS tei_rate, round(escaped / base_inherited, 6) AS escape_rate FROM (SELECT topic, count(*) AS n, round(avg(s_correct::INT), 6) AS acc_given_wrong, count(*) FILTER (s_answer = answer AND s_answer <> '') AS inherited, count(*) FILTER (b) AS base_inherited, count(*) FILTER (b AND NOT (s_answer = answer AND s_answer <> '')) AS escaped FROM (SELECT *, doc_id % 3 <> 0 AND b_answer = answer AND NOT b_correct AS b FROM rec WHERE doc_id % 10 <> 0 AND NOT correct) GROUP BY topic)", rec=REC)
+@query("AGG14", "SELECT *, round(inherited / n, 6) AS tei_rate, round(escaped / base_inherited, 6) AS escape_rate FROM (SELECT topic, count(*) AS n, round(avg(s_correct::INT), 6) AS acc_given_wrong, count(*) FILTER (s_answer = answer AND s_answer <> '') AS inherited, count(*) FILTER (b) AS base_inherited, count(*) FILTER (b AND s_correct) AS escaped FROM (SELECT *, doc_id % 3 <> 0 AND b_answer = answer AND NOT b_correct AS b FROM rec WHERE doc_id % 10 <> 0 AND NOT correct) GROUP BY topic)", rec=REC)
 def agg14(spark: SparkSession, sf: str) -> DataFrame:
     return _round(G.inheritance(_three(spark, sf), "topic"), "acc_given_wrong", "tei_rate", "escape_rate")
 
