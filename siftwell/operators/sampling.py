@@ -100,6 +100,18 @@ def allocate(weights: dict[str, float], n: int) -> dict[str, int]:
     return out | {names[-1]: n - sum(out.values())}
 
 
+def negative_candidates(pairs: DataFrame, categories: DataFrame, images: DataFrame) -> DataFrame:
+    """images (image_id, cats) with what quota_sampler needs: all categories by popularity, and those that stand most often beside the
+    image's first category. Categories are a bounded vocabulary: one row, and one for each category."""
+    from siftwell.operators.joins import bounded, cooccurrence
+
+    counts = pairs.groupBy("cat").agg(F.count("*").alias("n"))
+    listed = popularity(counts, categories).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "cat"))), lambda s: s["cat"]).alias("popular"))
+    near = cooccurrence_ranking(cooccurrence(pairs, "image_id", "cat"))
+    ranked = images.join(bounded(near.withColumnRenamed("ranked", "near"), 100_000), F.col("a") == F.get("cats", F.lit(0)), "left").drop("a")
+    return ranked.join(F.broadcast(listed))
+
+
 def hard_negative(kind: Column, ranked_popular: Column, ranked_near: Column, have: Column, shuffled: Column) -> Column:
     """A category an image lacks: of a shuffled list ('random'), the most popular, or the most co-occurrent with one it has
     (the most popular if there is none)."""

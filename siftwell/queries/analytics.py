@@ -467,12 +467,8 @@ def top12(spark: SparkSession, sf: str) -> DataFrame:
 
 def _image_rows(spark: SparkSession, sf: str) -> DataFrame:
     ann = run(spark, sf, "SELECT l_orderkey AS image_id, p_brand AS cat FROM lineitem JOIN part ON l_partkey = p_partkey")
-    popular = P.popularity(G.count_by(ann, "cat"), ann.select("cat").distinct())
-    listed = popular.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "cat"))), lambda s: s["cat"]).alias("popular"))  # the vocabulary, one row
-    near = P.cooccurrence_ranking(J.cooccurrence(ann, "image_id", "cat"))
     sets_ = ann.groupBy("image_id").agg(F.sort_array(F.collect_set("cat")).alias("cats"))
-    ranked = sets_.join(J.bounded(near.withColumnRenamed("ranked", "near")), F.col("a") == F.get("cats", F.lit(0)), "left").drop("a")
-    return ranked.join(F.broadcast(listed))
+    return P.negative_candidates(ann, ann.select("cat").distinct(), sets_)
 
 
 @query("TOP13", "SELECT * FROM (VALUES ('no', 'cooccur', CAST(10 AS BIGINT)), ('no', 'popular', CAST(10 AS BIGINT)), ('no', 'random', CAST(20 AS BIGINT)), ('yes', '-', CAST(40 AS BIGINT))) AS v(gold, neg_type, n)")
