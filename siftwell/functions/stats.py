@@ -37,20 +37,68 @@ def chance(k: Column) -> Column:
     return F.when(k >= 2, F.lit(1.0) / (k - 1))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """(by..., n, rho) with average ranks for ties; null below three pairs or without variance. Pairs with a null are left out.
+RANGES = 256
+
+
+def range_cuts(df: DataFrame, *values: str) -> list[list[float]]:
+    """For each column values that cut its rows into about equal ranges, one for each shuffle partition and RANGES at most."""
+    n = min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if n < 2:
+        return [[] for _ in values]
+    shares = [i / n for i in range(1, n)]
+    return [sorted(set(c or [])) for c in df.agg(*[F.percentile_approx(F.col(v).cast("double"), shares, 4 * RANGES).alias(f"c{i}") for i, v in enumerate(values)]).first()]
 
-    Ranks are windows over (by, value): give a column that splits the data; without one a single task ranks all.
+
+def average_ranks(df: DataFrame, value: str, by: list[str], cuts: list[float] | None = None) -> DataFrame:
+    """(by..., value, rank): the average rank from 1 of each distinct value of a group, nulls left out; value becomes a double.
+
+    Values are counted first, so that ties are one row. Groups are cut into ranges (range_cuts if none are given, one small job), and
+    a range's rows are numbered by themselves, after the counts of the ranges before it: no task sorts a whole group.
     """
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value))
+    edges = F.array(*[F.lit(c) for c in (range_cuts(known, value)[0] if cuts is None else cuts)]).cast("array<double>")
+    cell = known.groupBy(*by, value).agg(F.count("*").alias("__n")).withColumn("__range", F.size(F.filter(edges, lambda e: e < F.col(value))))
+    keys = [*by, "__range"]
+    within = cell.withColumn("__before", _sum_before(Window.partitionBy(*keys).orderBy(value)))
+    sizes = cell.groupBy(*keys).agg(F.sum("__n").alias("__n")).withColumn("__start", _sum_before(Window.partitionBy(*by).orderBy("__range")))
+    starts = sizes.select(*[F.col(k).alias(f"{k}__") for k in keys], "__start")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
+    rank = F.col("__start") + F.col("__before") + (F.col("__n") + 1) / 2
+    return within.join(starts, same).select(*by, value, rank.alias("rank"))
+
+
+def _sum_before(w) -> Column:
+    return F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    def ranked(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
 
-    r = pairs.select(*by, ranked("x").alias("rx"), ranked("y").alias("ry"))
+def with_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
+    """df with the average rank of its value in its group; rows without a value are left out. Adaptive execution broadcasts the ranks
+    of few distinct values, and splits hot ones."""
+    return _placed(df, average_ranks(df, value, by), value, by, name)
+
+
+def _placed(df: DataFrame, ranks: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    side = ranks.select(*[F.col(c).alias(f"__{c}") for c in (*by, value)], F.col("rank").alias(name))
+    same = F.col(value).cast("double") == F.col(f"__{value}")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return df.join(side, same).drop(*[f"__{c}" for c in (*by, value)])
+
+
+def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """(by..., n, rho) with average ranks for ties; null below three pairs or without variance. Pairs with a null are left out.
+
+    Ranks come from average_ranks, so that no task sorts a whole group.
+    """
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = known.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    cuts = range_cuts(pairs, "x", "y")
+    ranked = _placed(_placed(pairs, average_ranks(pairs, "x", by, cuts[0]), "x", by, "rx"), average_ranks(pairs, "y", by, cuts[1]), "y", by, "ry")
     n = F.count("*")
     sx, sy, sxy, sxx, syy = F.sum("rx"), F.sum("ry"), F.sum(F.col("rx") * F.col("ry")), F.sum(F.col("rx") ** 2), F.sum(F.col("ry") ** 2)
-    out = r.groupBy(*by).agg(n.alias("n"), (n * sxy - sx * sy).alias("cov"), ((n * sxx - sx**2) * (n * syy - sy**2)).alias("var"))
+    out = ranked.groupBy(*by).agg(n.alias("n"), (n * sxy - sx * sy).alias("cov"), ((n * sxx - sx**2) * (n * syy - sy**2)).alias("var"))
     return out.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("var") > 0), F.try_divide("cov", F.sqrt("var"))).alias("rho"))
 
 

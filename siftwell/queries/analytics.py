@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import arrays as A
@@ -333,8 +333,7 @@ def agg30(spark: SparkSession, sf: str) -> DataFrame:
 @query("WIN01", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY v) + (count(*) OVER (PARTITION BY event_type, v) - 1) / 2 AS r FROM (SELECT event_id, event_type, floor(value) AS v FROM events)")
 def win01(spark: SparkSession, sf: str) -> DataFrame:
     rows = run(spark, sf, "SELECT event_id, event_type, floor(value) AS v FROM events")
-    tied = F.count("*").over(Window.partitionBy("event_type", "v")) - 1
-    return rows.select("event_id", (F.rank().over(Window.partitionBy("event_type").orderBy("v")) + tied / 2).alias("r"))
+    return S.with_ranks(rows, "v", ["event_type"], "r").select("event_id", "r")
 
 
 @query("WIN02", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import arrays as A
@@ -125,3 +126,14 @@ def test_confusion_null_on_zero_denominators(spark):
 def test_histogram_closes_its_last_bin(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (1.1,)], "x double")
     assert {r.bin: r.n for r in S.histogram(df, "x", 0.0, 1.0, 2).collect()} == {1: 1, 2: 2}
+
+
+def test_average_ranks_equal_windows(spark):
+    rows = [(None if i % 5 == 0 else f"g{i % 3}", None if i % 11 == 0 else float(i * 37 % 29)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ties = F.count("*").over(Window.partitionBy("g", "v")) - 1
+    want = df.where("v IS NOT NULL").select("g", "v", (F.rank().over(Window.partitionBy("g").orderBy("v")) + ties / 2).alias("rank"))
+    assert sorted(map(repr, S.average_ranks(df, "v", ["g"]).collect())) == sorted(map(repr, want.distinct().collect()))
+    assert sorted(map(repr, S.with_ranks(df, "v", ["g"]).collect())) == sorted(map(repr, want.collect()))
+    assert S.average_ranks(df.limit(0), "v", ["g"]).count() == 0
+    assert [r["rank"] for r in S.average_ranks(spark.createDataFrame([(2.0,), (2.0,), (1.0,)], "v double"), "v", []).orderBy("v").collect()] == [1.0, 2.5]
