@@ -233,7 +233,7 @@ def synth_sanity(spark: SparkSession, a) -> int:
 
 def parser() -> argparse.ArgumentParser:
     root = argparse.ArgumentParser(prog="siftwell", description="Evaluation of model outputs and curation of training data")
-    root.add_argument("--master", help="Spark master; left to the environment if not given")
+    root.add_argument("--master", help="Spark master; what the job is submitted with if not given")
     sub = root.add_subparsers(dest="command", required=True)
 
     def command(name: str, run: Callable, *options: tuple) -> None:
@@ -280,7 +280,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if spark is None:
         from siftwell.session import build_session
 
-        spark = build_session(a.master or "local[*]")
+        spark = build_session(a.master, None)
     return a.run(spark, a)
 
 

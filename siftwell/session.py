@@ -10,17 +10,20 @@ from pyspark.sql import SparkSession
 _own_root: str | None = None
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """ANSI on, last value wins on repeated map keys, UTC, adaptive execution."""
+def build_session(master: str | None = "local[*]", shuffle_partitions: int | None = 8, **conf: str) -> SparkSession:
+    """ANSI on, last value wins on repeated map keys, UTC, adaptive execution. None leaves the master, or the number of shuffle
+    partitions, to what the session is submitted with."""
     settings = {
         "spark.sql.ansi.enabled": "true",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
     }
-    return SparkSession.builder.master(master).config(map=settings | conf).getOrCreate()
+    if shuffle_partitions is not None:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    builder = SparkSession.builder if master is None else SparkSession.builder.master(master)
+    return builder.config(map=settings | conf).getOrCreate()
 
 
 def scratch(spark: SparkSession, label: str) -> str:
