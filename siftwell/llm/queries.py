@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import decontaminate, host_rules, html_extract, packing, pii, preference_format, simhash_dedup, token_files, toxicity, url_rules
+from siftwell.llm import conversation_repair, decontaminate, host_rules, html_extract, packing, pii, preference_format, simhash_dedup, token_files, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
         op8_host_quality,
         op9_pii,
         op10_html_extraction,
+        op11_conversation_repair,
     )
 }
 #: SQL for DuckDB where it can express the whole query.
