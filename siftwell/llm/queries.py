@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import conversation_repair, decontaminate, host_rules, html_extract, packing, pii, preference_format, simhash_dedup, token_files, toxicity, url_rules
+from siftwell.llm import conversation_repair, decontaminate, host_rules, html_extract, language_id, lexical_search, packing, pii, preference_format, simhash_dedup, token_files, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digests(_table(spark, sf_dir, "conversations"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -74,10 +82,13 @@ QUERIES: dict[str, Query] = {
         op9_pii,
         op10_html_extraction,
         op11_conversation_repair,
+        op12_language_id,
+        op13_lexical_search,
     )
 }
 #: SQL for DuckDB where it can express the whole query.
 ORACLES: dict[str, str] = {
     "op4_preference_formatting": preference_format.ORACLE_SQL,
     "op8_host_quality": host_rules.ORACLE_SQL,
+    "op13_lexical_search": lexical_search.ORACLE_SQL,
 }
