@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import bounded, small_batches
 
 #: Bytes of a window, and states in a direction.
 WINDOW, HIDDEN = 64, 8
-#: The sample that a model is fitted on: so many documents of a language, so many windows of a document.
+#: The sample that a model is fitted on: so many documents of a language in expectation, so many windows of a document.
 DOCS_PER_LANG, WINDOWS_PER_DOC = 1000, 8
 #: Training: steps, windows in a step, rate of the optimizer at the start.
 STEPS, BATCH, RATE = 300, 256, 0.02
@@ -196,11 +196,10 @@ def _held_out() -> Column:
 
 
 def training_windows(docs: DataFrame) -> DataFrame:
-    """(lang, windows): evenly spread windows of up to DOCS_PER_LANG documents of a language, picked by a hash of doc_id, none of them held out."""
-    known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(~_held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.groupBy("lang", "doc_id").agg(F.lit(1).alias("one")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= DOCS_PER_LANG)
-    texts = known.select("lang", "doc_id", "text").join(bounded(ids.select("lang", "doc_id"), 200_000), ["lang", "doc_id"])
+    """(lang, doc_id, windows): evenly spread windows of DOCS_PER_LANG documents of a language in expectation, picked by a hash of doc_id, none of them held out."""
+    known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(~_held_out()).select("lang", "doc_id", "text")
+    share = known.groupBy("lang").agg((F.lit(DOCS_PER_LANG) / F.count("*") * 2.0**53).alias("share"))
+    texts = known.join(bounded(share, 100_000), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(2**53)) < F.col("share")).drop("share")
 
     def run(batches):
         for b in batches:
