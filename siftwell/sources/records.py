@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as X
 from siftwell.schemas import COCO, MIXTURE, SYNTHETIC
+from siftwell.sources.arrow_files import read_arrow  # noqa: F401
+from siftwell.sources.json_arrays import JsonDocument, document_kind
+from siftwell.sources.storage import by_ranges, file_sizes
 
 
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
@@ -47,9 +49,23 @@ def glob_pair(spark: SparkSession, folder: str, teacher: str, student: str, sche
 
 
 def read_json_any(spark: SparkSession, path: str, row: str) -> DataFrame:
-    """Rows of JSON lines (.jsonl), of one top-level list, or of {"data": [...]}; anything else raises."""
+    """Rows of JSON lines (.jsonl), of one top-level list, or of {"data": [...]}; anything else raises. Lists are read by many tasks."""
     if path.rstrip("/").endswith(".jsonl"):
         return read_jsonl(spark, path, row)
+    first = file_sizes(spark, path).where("length > 0").first()
+    if first and by_ranges(first.path):
+        kind = document_kind(first.path)
+        if kind in "[{":
+            doc = JsonDocument(spark, path)
+            if kind == "[" or "data" in doc.keys():
+                return doc.rows("" if kind == "[" else "data", row)
+    elif first:
+        return _read_whole_json(spark, path, row)
+    raise ValueError(f"{path} holds neither lines, a list nor data")
+
+
+def _read_whole_json(spark: SparkSession, path: str, row: str) -> DataFrame:
+    """The same for a store that only Spark reads: a document a task."""
     head = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
     if head and head.c == "[":
         return spark.read.schema(row).json(path, multiLine=True)
@@ -71,21 +87,14 @@ def _fields(ddl: str) -> list[str]:
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(categories, annotations, images) of an instances file."""
-    doc = spark.read.schema(COCO).json(path, multiLine=True)
-    return tuple(doc.select(F.explode(c).alias("x")).select("x.*") for c in ("categories", "annotations", "images"))
-
-
-def read_arrow(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of Arrow files (file or stream format), a file a task, batch by batch."""
-
-    def run(batches):
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                opened = pa.ipc.open_file(data) if data[:6] == b"ARROW1" else pa.ipc.open_stream(data)
-                yield from opened if hasattr(opened, "read_next_batch") else (opened.get_batch(i) for i in range(opened.num_record_batches))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    """(categories, annotations, images) of an instances file, each read by as many tasks as it has ranges."""
+    kinds = {f.name: f.dataType.elementType.simpleString() for f in spark.createDataFrame([], COCO).schema}
+    first = file_sizes(spark, path).where("length > 0").first()
+    if first and not by_ranges(first.path):
+        whole = spark.read.schema(COCO).json(path, multiLine=True)
+        return tuple(whole.select(F.explode(c).alias("x")).select("x.*") for c in ("categories", "annotations", "images"))
+    doc = JsonDocument(spark, path)
+    return tuple(doc.rows(c, kinds[c]) for c in ("categories", "annotations", "images"))
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
