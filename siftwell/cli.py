@@ -82,13 +82,16 @@ def self_test(spark: SparkSession, a) -> int:
 
 
 def produce(spark: SparkSession, a) -> int:
-    """Records of a model given as module:function, over a shard of the samples or all of them."""
+    """Records of a model given as module:function, over a shard of the samples or all of them; with --resume into a folder of appends."""
     samples = R.read_jsonl(spark, a.samples, a.schema).drop("extras")
     if a.limit is not None:
         samples = samples.orderBy("sample_id").limit(a.limit)
     if a.num_shards > 1:
         samples = round_robin(samples, a.num_shards, "sample_id").where(F.col("shard") == a.shard_index).drop("shard")
-    K.write_jsonl(evaluation.produce(samples, load(a.model), a.record_schema), a.output)
+    if a.resume:
+        evaluation.produce_resumably(samples, load(a.model), a.output)
+    else:
+        K.write_jsonl(evaluation.produce(samples, load(a.model), a.record_schema), a.output)
     return 0
 
 
@@ -258,7 +261,7 @@ def parser() -> argparse.ArgumentParser:
     )
     command("self-test", self_test, o("--results-dir", "results"), need("--teacher-prefix"), need("--student-prefix"))
     sharded = (number("--shard-index", 0), number("--num-shards", 1), number("--limit"))
-    command("produce", produce, need("--samples", **many), need("--model", help="module:function from a sample's dict to a record's"), o("--schema", SAMPLE), need("--record-schema"), need("--output"), *sharded)
+    command("produce", produce, need("--samples", **many), need("--model", help="module:function from a sample's dict to a record's"), o("--schema", SAMPLE), need("--record-schema"), need("--output"), o("--resume", action="store_true", help="append to the output, whatever runs before left there"), *sharded)
     command(
         "mixture", mixture, need("--output"), number("--seed", DEFAULTS.seed), o("--virl39k-root"), o("--coco-images-root"), o("--coco-annotations"), eval_ids, o("--tallyqa-json"), o("--tallyqa-images-root"), o("--synth-dir"),
         switch("--build-synth"), o("--topics"), number("--n-virl39k", DEFAULTS.n_virl), number("--n-pope-style", DEFAULTS.n_pope_style), number("--n-tallyqa", DEFAULTS.n_tally), number("--n-synthetic", DEFAULTS.n_synthetic), o("--skip", [], nargs="*"),

@@ -14,6 +14,7 @@ from siftwell.lifecycles.diagnosis import gains
 from siftwell.lifecycles.records import FILE_ORDER, RECOGNITION, with_lengths
 from siftwell.operators import aggregates as G
 from siftwell.operators.joins import three_way
+from siftwell.sources.appends import append_jsonl
 
 
 def recognition(records: DataFrame, count: Callable[[str], int] | None = None) -> DataFrame:
@@ -97,21 +98,36 @@ def produce(samples: DataFrame, fn: Callable[[dict], dict], schema: str, keys: t
 
     Partitions take the place of shards; a lost executor's samples are produced again.
     """
-    names = [f.split()[0] for f in _names(schema)]
+    names, make = [f.split()[0] for f in _names(schema)], telling_errors(fn, keys)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for row in part.to_dict("records"):
-                try:
-                    out.append({"error": None} | fn(row))
-                except Exception as e:  # a sample that fails is told in its record
-                    out.append({k: row[k] for k in keys} | {"error": f"{type(e).__name__}: {e}"})
+            out = [make(row) for row in part.to_dict("records")]
             yield pd.DataFrame([[r.get(n) for n in names] for r in out], columns=names, dtype=object)
 
     return samples.mapInPandas(run, schema)
 
 
+def telling_errors(fn: Callable[[dict], dict], keys: tuple[str, ...] = ("sample_id",)) -> Callable[[dict], dict]:
+    """fn, but where it raises, the record has the sample's keys and the error."""
+
+    def make(row: dict) -> dict:
+        try:
+            return {"error": None} | fn(row)
+        except Exception as e:  # a sample that fails is told in its record
+            return {k: row[k] for k in keys} | {"error": f"{type(e).__name__}: {e}"}
+
+    return make
+
+
+def produce_resumably(samples: DataFrame, fn: Callable[[dict], dict], path: str, keys: tuple[str, ...] = ("sample_id",), flush: int = 1) -> int:
+    """Append the records of samples to path, flushing as they are made; a run after one that died makes only what that one left.
+
+    Samples are told by the first key. Failed samples have a record with the error, and count as done. The number of runs that had died.
+    """
+    return append_jsonl(samples, path, keys[0], telling_errors(fn, keys), flush, samples.sparkSession.sparkContext.defaultParallelism)
+
+
 def _names(schema: str) -> list[str]:
     from siftwell.sources.records import _fields
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import stats as S
 from siftwell.functions import text as X
+from siftwell.lifecycles import evaluation
 from siftwell.operators import sets
 from siftwell.plans.config import read_settings
 from siftwell.queries.base import LOG, REC, SERIES, query, run
@@ -15,6 +16,7 @@ from siftwell.session import scratch
 from siftwell.sources import datasets as D
 from siftwell.sources import records as R
 from siftwell.sources import sinks as K
+from siftwell.sources.appends import append_jsonl, read_appended
 from siftwell.streaming.logs import last_by_step, log_series
 
 RECORD = "sample_id string, dataset string, topic string, n_chars bigint, mean_delta double, error string"
@@ -258,12 +260,26 @@ def src25(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SNK01", f"SELECT {_PLAIN} FROM rec", rec=REC)
 def snk01(spark: SparkSession, sf: str) -> DataFrame:
-    return R.read_jsonl(spark, _jsonl(_rec(spark, sf).select("sample_id", "dataset", "topic", "n_chars", "mean_delta"), "snk01"), RECORD).drop("error")
+    """Appended in two jobs, the second of which gets all rows but works only on those that aren't there."""
+    path = scratch(spark, "snk01")
+    rows = _rec(spark, sf).select("sample_id", "dataset", "topic", "n_chars", "mean_delta")
+    append_jsonl(rows.where("n_chars % 2 = 0"), path, "sample_id", flush=50)
+    append_jsonl(rows, path, "sample_id", flush=50)
+    return read_appended(spark, path, RECORD).drop("error")
 
 
-@query("SNK02", "SELECT sample_id, error FROM rec", rec=REC)
+@query("SNK02", "SELECT sample_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'ValueError: ' || error END AS error FROM rec", rec=REC)
 def snk02(spark: SparkSession, sf: str) -> DataFrame:
-    return R.read_jsonl(spark, _jsonl(_rec(spark, sf).select("sample_id", "error"), "snk02"), "sample_id string, error string")
+    """Records are made in the writing task and flushed one by one; where a sample fails, its record tells."""
+    path = scratch(spark, "snk02")
+
+    def model(sample: dict) -> dict:
+        if sample["error"] is not None:
+            raise ValueError(sample["error"])
+        return {"sample_id": sample["sample_id"], "error": "ok"}
+
+    evaluation.produce_resumably(_rec(spark, sf).select("sample_id", "error"), model, path)
+    return read_appended(spark, path, "sample_id string, error string")
 
 
 @query("SNK03", "SELECT topic AS bucket, count(*) AS n FROM rec GROUP BY topic", rec=REC)

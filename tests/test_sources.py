@@ -193,3 +193,104 @@ def test_json_lists_and_other_documents(spark, tmp_path):
     both = J.JsonDocument(spark, str(tmp_path / "more"), 64)
     assert sorted(r.k for r in both.rows("images", "k int").collect()) == list(range(30))
     assert both.rows("absent", "k int").count() == 0
+
+
+# --- appends
+
+
+def noting(calls, dies_at=None):
+    """A record of a sample; each call is noted. The worker dies at some samples, once each."""
+
+    def fn(sample):
+        i = sample["id"]
+        if dies_at and i in dies_at and not os.path.exists(f"{calls}-{i}"):
+            open(f"{calls}-{i}", "w").close()
+            os._exit(9)
+        with open(calls, "a") as f:
+            f.write(f"{i}\n")
+        return {"id": i, "name": sample["name"], "n": len(sample["name"])}
+
+    return fn
+
+
+def samples(spark, n=400):
+    return spark.createDataFrame([(i, f"näme {i}\n") for i in range(n)], "id bigint, name string").repartition(4, "id")
+
+
+FIELDS = "id bigint, name string, n bigint"
+
+
+def test_a_job_that_dies_is_resumed(spark, tmp_path):
+    from siftwell.sources import appends as P
+
+    path, calls = str(tmp_path / "out"), str(tmp_path / "calls")
+    with pytest.raises(Exception, match="(?i)crash|exit|abort"):
+        P.append_jsonl(samples(spark), path, "id", noting(calls, {130, 131, 132, 133, 134, 135}), flush=1)
+    before = open(calls).read().split()
+    assert P.read_appended(spark, path, FIELDS).count() == 0  # nothing counts before the next job has taken it over
+    with pytest.raises(Exception, match="(?i)crash|exit|abort"):  # dies again elsewhere
+        P.append_jsonl(samples(spark), path, "id", noting(calls, {300, 301, 302, 303, 304, 305}), flush=1)
+    assert P.append_jsonl(samples(spark), path, "id", noting(calls), flush=1) == 1
+    got = P.read_appended(spark, path, FIELDS).collect()
+    assert sorted(map(tuple, got)) == [(i, f"näme {i}\n", len(f"näme {i}\n")) for i in range(400)]
+    made = open(calls).read().split()
+    assert 0 < len(before) < 400 and len(made) <= 400 + 8  # no more than a line in flight for each task that died
+    more = spark.createDataFrame([(5, "again"), (1000, "new")], "id bigint, name string")
+    assert P.append_jsonl(more, path, "id", noting(calls)) == 0
+    assert sorted(r.id for r in P.read_appended(spark, path, FIELDS).collect()) == [*range(400), 1000]
+
+
+RETRY = """
+import sys
+sys.path.insert(0, {root!r})
+from siftwell.session import build_session
+from siftwell.sources import appends as P
+from tests.test_sources import FIELDS, noting
+spark = build_session("local[2,4]", 2, **{{"spark.ui.showConsoleProgress": "false"}})
+rows = spark.createDataFrame([(i, f"name {{i}}") for i in range(300)], "id bigint, name string").repartition(3, "id")
+P.append_jsonl(rows, {path!r}, "id", noting({calls!r}, {{50, 120, 200}}), flush=1)
+got = sorted(r.id for r in P.read_appended(spark, {path!r}, FIELDS).collect())
+print("GOT", got == list(range(300)))
+"""
+
+
+def test_a_task_that_dies_goes_on(tmp_path):
+    """Within a job, the next attempt takes over what the last one flushed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path, calls = str(tmp_path / "out"), str(tmp_path / "calls")
+    ran = subprocess.run([sys.executable, "-c", RETRY.format(root=root, path=path, calls=calls)], capture_output=True, text=True, timeout=200, cwd=root)
+    assert "GOT True" in ran.stdout, ran.stderr[-2000:]
+    made = open(calls).read().split()
+    assert len(made) == 300 and len(set(made)) == 300
+    assert len([f for f in os.listdir(f"{path}/data/{os.listdir(path + '/data')[0]}") if f.endswith(".jsonl")]) > 3
+
+
+def test_marks_cut_what_a_lost_attempt_wrote_later(spark, tmp_path):
+    from siftwell.sources import appends as P
+
+    folder = tmp_path / "data" / "job"
+    folder.mkdir(parents=True)
+    (folder / "00000-3.from").write_text("[]")
+    (folder / "00000-3.jsonl").write_text('{"id":1}\n{"id":2}\n{"id":3}\n')
+    (folder / "00000-7.from").write_text('[["data/job/00000-3.jsonl", 18]]')  # taken over before the third line was there
+    (folder / "00000-7.jsonl").write_text('{"id":3,"name":"own"}\n{"id":4}\n{"id":5, "na')
+    (folder / "00001-4.from").write_text("[]")
+    (folder / "00002-5.jsonl").write_text("")
+    assert P.recover(spark, str(tmp_path)) == 1 and P.recover(spark, str(tmp_path)) == 0
+    got = sorted((r.id, r.name) for r in P.read_appended(spark, str(tmp_path), FIELDS).collect())
+    assert got == [(1, None), (2, None), (3, "own"), (4, None)]
+    with open(folder / "00000-7.jsonl", "a") as f:
+        f.write('me":"late"}\n')
+    assert sorted(r.id for r in P.read_appended(spark, str(tmp_path), FIELDS).collect()) == [1, 2, 3, 4]
+
+
+def test_append_rows_as_they_are_and_without_a_key(spark, tmp_path):
+    from siftwell.sources import appends as P
+
+    path = str(tmp_path / "out")
+    rows = spark.createDataFrame([("a", 1, [1.0, None]), ("b", None, None)], "id string, n bigint, v array<double>")
+    assert P.append_jsonl(rows, path, "id") == 0
+    assert P.append_jsonl(rows.limit(0), path, "id") == 0
+    assert sorted(map(tuple, P.read_appended(spark, path, "id string, n bigint, v array<double>").collect())) == [("a", 1, [1.0, None]), ("b", None, None)]
+    with pytest.raises(Exception, match="without id"):
+        P.append_jsonl(rows.withColumn("id", F.lit(None).cast("string")), path, "id")
