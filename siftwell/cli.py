@@ -15,6 +15,7 @@ from siftwell.lifecycles import curation, diagnosis, evaluation, runs
 from siftwell.lifecycles.records import scan, token_counter
 from siftwell.operators.sampling import allocate
 from siftwell.operators.windows import round_robin
+from siftwell.plans import generators
 from siftwell.plans.config import Settings
 from siftwell.schemas import PRECOMPUTE, SAMPLE, TALLY, VIRL
 from siftwell.sources import records as R
@@ -164,23 +165,29 @@ def token_encoder(path: str) -> Callable[[str], list[int]]:
     return encode
 
 
-def _synthesize(spark: SparkSession, out: str, topics: str, n: int, seed: int, weights: dict[str, float] | None) -> None:
-    """A manifest of n questions: topics is module:name of a dict from a topic to a function of (seed, idx) columns giving question and
-    gold. Images are drawn elsewhere, at <topic>/<topic>_<idx>.png."""
-    known: dict[str, Callable] = load(topics)
+def _synthesize(spark: SparkSession, out: str, topics: str | None, n: int, seed: int, weights: dict[str, float] | None) -> None:
+    """A manifest of n questions by the built-in generators, or by those of topics: module:name of a dict from a topic to a function of
+    (seed, idx) columns giving question and gold. Images are drawn elsewhere, at <topic>/<topic>_<idx>.png."""
+    from siftwell.plans.pluggable import topic_seed
+
+    known: dict[str, Callable] = load(topics) if topics else generators.GENERATORS
     shares = weights or dict.fromkeys(known, 1.0)
     if set(shares) - set(known):
         raise KeyError(f"{sorted(set(shares) - set(known))} are none of {sorted(known)}")
-    from siftwell.plans.pluggable import topic_seed
-
-    rows = None
-    for topic, count in allocate({t: shares.get(t, 0.0) for t in known}, n).items():
-        base = spark.range(count).withColumnRenamed("id", "idx").withColumns({"topic": F.lit(topic), "seed": topic_seed(seed, F.lit(topic))})
-        question, gold = known[topic](F.col("seed") + F.col("idx"), F.col("idx"))
-        name = F.concat(F.lit(f"{topic}_"), F.lpad(F.col("idx").cast("string"), 5, "0"))
-        part = base.select(F.concat(F.lit("synth_"), name).alias("sample_id"), "topic", F.concat(F.lit(f"{topic}/"), name, F.lit(".png")).alias("image_path"), question.alias("question"), gold.alias("gold"), F.parse_json(F.to_json(F.struct("topic"))).alias("extras"))
-        rows = part if rows is None else rows.unionByName(part)
-    K.write_jsonl(rows, f"{out}/manifest.jsonl")
+    counts = allocate({t: shares.get(t, 0.0) for t in known}, n)
+    if topics:
+        rows = None
+        for topic, count in counts.items():
+            base = spark.range(count).withColumnRenamed("id", "idx").withColumns({"topic": F.lit(topic), "seed": topic_seed(seed, F.lit(topic))})
+            question, gold = known[topic](F.col("seed") + F.col("idx"), F.col("idx"))
+            part = base.select("idx", "topic", question.alias("question"), gold.alias("gold"), F.to_json(F.struct("topic")).alias("extras"))
+            rows = part if rows is None else rows.unionByName(part)
+    else:
+        asking = spark.createDataFrame(list(counts.items()), "topic string, n bigint").withColumn("seed", topic_seed(seed, F.col("topic")))
+        rows = generators.ask(asking)
+    name = F.concat(F.col("topic"), F.lit("_"), F.lpad(F.col("idx").cast("string"), 5, "0"))
+    path = F.concat(F.col("topic"), F.lit("/"), name, F.lit(".png"))
+    K.write_jsonl(rows.select(F.concat(F.lit("synth_"), name).alias("sample_id"), "topic", path.alias("image_path"), "question", "gold", F.parse_json("extras").alias("extras")), f"{out}/manifest.jsonl")
 
 
 def synthesize(spark: SparkSession, a) -> int:
@@ -271,7 +278,7 @@ def parser() -> argparse.ArgumentParser:
         number("--phash-max-hamming", DEFAULTS.max_hamming), real("--clip-threshold", DEFAULTS.cosine_threshold), switch("--skip-clip"),
     )
     command("train-parquet", train_parquet, need("--jsonl", **many), need("--images", help="folder or glob of image files"), o("--virl39k-root"), o("--student-tokenizer"), need("--output"), number("--limit"), o("--chat-template-version", "qwen2_5_vl_default"))
-    command("synthesize", synthesize, need("--out-dir"), need("--topics", help="module:name of the topics' generators"), number("--n-samples", DEFAULTS.n_synthetic), number("--seed", DEFAULTS.seed), o("--topic-weights"), number("--n-show", 0))
+    command("synthesize", synthesize, need("--out-dir"), o("--topics", help="module:name of generators; the built-in ones without it"), number("--n-samples", DEFAULTS.n_synthetic), number("--seed", DEFAULTS.seed), o("--topic-weights"), number("--n-show", 0))
     command("load", load_bucket, ("bucket", {"choices": ["virl39k", "pope_style", "tallyqa"]}), need("--path"), eval_ids, number("--n-samples", 900), number("--seed", DEFAULTS.seed), number("--n-show", 5), switch("--no-pass-rate-filter"))
     command("train-log", train_log, ("log", {}), need("--out"), o("--config", choices=list("ABCD")), o("--config-name"), o("--include-prefix", list(PREFIXES), nargs="*"), o("--kl-ce-band", list(DEFAULTS.kl_ce_band), nargs=2, type=float))
     command("synth-sanity", synth_sanity, ("jsonl", {}), need("--out"), real("--acc-cf-threshold", DEFAULTS.acc_cf_threshold), real("--prior-rate-threshold", DEFAULTS.prior_rate_threshold))

@@ -84,19 +84,6 @@ def tokenize(df: DataFrame, column: str, fn: Callable[[str], list[int]], name: s
     return df.withColumn(name, call(column))
 
 
-def generate_questions(spark, n: int, topics: dict[str, Callable], seed: int = 42) -> DataFrame:
-    """(idx, topic, question, gold): n rows dealt over registered generators, each a function of (Column of a seed, Column of idx)."""
-    names = sorted(topics)
-    base = spark.range(n).withColumnRenamed("id", "idx")
-    topic = F.element_at(F.array(*[F.lit(t) for t in names]), (F.col("idx") % len(names) + 1).cast("int"))
-    rows = base.withColumn("topic", topic).withColumn("seed", topic_seed(seed, F.col("topic")))
-    question, gold = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for t in names:
-        q, g = topics[t](F.col("seed"), F.col("idx"))
-        question, gold = F.when(F.col("topic") == t, q).otherwise(question), F.when(F.col("topic") == t, g).otherwise(gold)
-    return rows.select("idx", "topic", question.alias("question"), gold.alias("gold"))
-
-
 def topic_seed(seed: int, topic):
     """The first four bytes of sha256('seed:topic')."""
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), topic), 256), 1, 8), 16, 10).cast("bigint")

@@ -13,7 +13,7 @@ from siftwell.operators import joins as J
 from siftwell.operators import projections as R
 from siftwell.operators import sampling as P
 from siftwell.operators import windows as W
-from siftwell.plans import gates, pluggable
+from siftwell.plans import gates, generators, pluggable
 from siftwell.plans import tokens as T
 from siftwell.queries.base import ANN, LOG, REC, SERIES, TOK, query, run
 from siftwell.queries.rows import SER, _series
@@ -561,10 +561,38 @@ def udf02(spark: SparkSession, sf: str) -> DataFrame:
     return src12(spark, sf)
 
 
-@query("UDF03", "SELECT i AS idx, CASE WHEN i % 2 = 0 THEN 'chess' ELSE 'grid' END AS topic, CASE WHEN i % 2 = 0 THEN 'How many pieces?' ELSE 'How many rows?' END AS question, CAST(i % 7 + 1 AS STRING) AS gold FROM range(100) AS r(i)")
+def _drawn(what: str, n: str) -> str:
+    return f"(('0x' || substr(md5(CAST(seed AS VARCHAR) || ':' || CAST(idx AS VARCHAR) || ':' || {what}), 1, 8))::BIGINT % {n})"
+
+
+_PAWNS = "len(list_filter(range(1, n_{0}), lambda i: " + _drawn("'{0}' || CAST(i AS VARCHAR)", "100") + " < 50))"
+_ASKED = "list_concat(['total_white', 'total_black'], " + ", ".join(f"CASE WHEN {_PAWNS.format(s)} > 0 OR {_drawn(f"'ask_{s}'", '2')} = 0 THEN ['pawns_{s}'] ELSE [] END" for s in ("white", "black")) + ")"
+_GENERATED = f"""
+WITH q AS (SELECT p_partkey AS seed, unnest(range(p_size % 4 + 1)) AS idx, p_size % 5 AS kind FROM part),
+facts AS (SELECT *, 3 + {_drawn("'rows'", "8")} AS r, 3 + {_drawn("'cols'", "8")} AS c, ['circle', 'square', 'triangle', 'star', 'diamond'][{_drawn("'shape'", "5")} + 1] AS shape,
+  {_drawn("'canton'", "2")} = 0 AS canton, 3 + {_drawn("'stripes'", "11")} AS stripes, 1 + {_drawn("'stars'", "25")} AS stars, 3 + {_drawn("'size'", "10")} AS size,
+  2 + {_drawn("'white'", "15")} AS n_white, 2 + {_drawn("'black'", "15")} AS n_black, [4, 2, 6, 8][{_drawn("'kind'", "4")} + 1] AS legs, {_drawn("'legs'", "10")} AS other FROM q),
+named AS (SELECT *, CASE kind WHEN 0 THEN ['rows', 'cols', 'total'][{_drawn("'variant'", "3")} + 1] WHEN 1 THEN CASE WHEN canton AND {_drawn("'variant'", "10")} < 6 THEN 'stars' ELSE 'stripes' END
+  WHEN 2 THEN ['rows', 'cols', 'dark'][{_drawn("'variant'", "3")} + 1] WHEN 3 THEN {_ASKED}[{_drawn("'variant'", f"len({_ASKED})")} + 1] ELSE 'legs' END AS variant FROM facts)
+SELECT seed, idx, ['patterned_grid', 'flag', 'game_board', 'chess_position', 'animal'][kind + 1] AS topic, variant,
+  CASE kind WHEN 0 THEN CASE variant WHEN 'rows' THEN 'How many rows are in the grid?' WHEN 'cols' THEN 'How many columns are in the grid?' ELSE 'How many ' || shape || 's are in the grid?' END
+    WHEN 1 THEN CASE variant WHEN 'stars' THEN 'How many stars are on the flag?' ELSE 'How many stripes does this flag have?' END
+    WHEN 2 THEN CASE variant WHEN 'rows' THEN 'How many rows does this game board have?' WHEN 'cols' THEN 'How many columns does this game board have?' ELSE 'How many dark colored squares are on the board?' END
+    WHEN 3 THEN 'How many ' || split_part(variant, '_', 2) || CASE WHEN variant LIKE 'total%' THEN ' pieces' ELSE ' pawns' END || ' are on the board?'
+    ELSE 'How many legs does the creature in the image have?' END AS question,
+  CAST(CASE kind WHEN 0 THEN CASE variant WHEN 'rows' THEN r WHEN 'cols' THEN c ELSE r * c END WHEN 1 THEN CASE variant WHEN 'stars' THEN stars ELSE stripes END
+    WHEN 2 THEN CASE variant WHEN 'dark' THEN size * size // 2 ELSE size END
+    WHEN 3 THEN CASE variant WHEN 'total_white' THEN n_white WHEN 'total_black' THEN n_black WHEN 'pawns_white' THEN {_PAWNS.format("white")} ELSE {_PAWNS.format("black")} END
+    ELSE CASE WHEN {_drawn("'usual'", "10")} < 3 THEN legs ELSE other + CASE WHEN other >= legs THEN 1 ELSE 0 END END END AS VARCHAR) AS gold FROM named
+"""
+
+
+@query("UDF03", _GENERATED)
 def udf03(spark: SparkSession, sf: str) -> DataFrame:
-    count = lambda seed, idx: (idx % 7 + 1).cast("string")
-    return pluggable.generate_questions(spark, 100, {"grid": lambda s, i: (F.lit("How many rows?"), count(s, i)), "chess": lambda s, i: (F.lit("How many pieces?"), count(s, i))})
+    """Each part asks for one to four questions of one of the five topics."""
+    topic = F.element_at(F.array(*[F.lit(t) for t in generators.GENERATORS]), (F.col("p_size") % 5 + 1).cast("int"))
+    asking = run(spark, sf, "SELECT p_partkey AS seed, p_size FROM part").select("seed", topic.alias("topic"), (F.col("p_size") % 4 + 1).alias("n"))
+    return generators.ask(asking).select("seed", "idx", "topic", F.get_json_object("extras", "$.q_variant").alias("variant"), "question", "gold")
 
 
 _RECIPE = "round(sum(CASE WHEN NOT mask THEN 0 WHEN {0} AND loss_branch = 'ce' THEN -log_prob * coalesce(beta, 0.1) ELSE raw_kl * {1} END), 4)"
