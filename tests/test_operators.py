@@ -217,16 +217,22 @@ def test_dct_hash_keeps_under_scaling_and_noise():
 
 
 def test_a_followed_log_has_the_ranges_of_the_whole(spark, tmp_path):
+    """After every micro-batch; steps come again with other values, also such that no number remains."""
     from siftwell.operators.aggregates import metric_ranges
 
-    lines = [f"step {i % 30} training/global_step: {i % 30} actor/loss={i * 7 % 13}.5" for i in range(90)]
+    rnd = random.Random(4)
+    value = lambda: rnd.choice(["nan", "inf", f"{rnd.randrange(40)}.5", f"-{rnd.randrange(9)}e1"])
+    lines = [f"step training/global_step: {rnd.randrange(30)} actor/loss={value()} perf/x{i % 3}={value()}" for i in range(120)] + ["training/global_step: 99 actor/loss=7.0", "no step"]
     folder = tmp_path / "in"
     folder.mkdir()
     for k in range(3):
-        (folder / f"{k}.log").write_text("\n".join(lines[30 * k : 30 * k + 30]) + "\n")
+        (folder / f"{k}.log").write_text("\n".join(lines[41 * k : 41 * k + 41]) + "\n")
         q = logs.follow_ranges(spark, str(folder), str(tmp_path / "table"))
         q.processAllAvailable()
         q.stop()
-    whole = spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
-    want = metric_ranges(logs.last_by_step(logs.log_series(whole)))
-    assert sorted(map(tuple, logs.followed_ranges(spark, str(tmp_path / "table")).collect())) == sorted(map(tuple, want.collect())) != []
+        whole = spark.createDataFrame(list(enumerate(lines[: 41 * k + 41])), "line_no long, line string")
+        want = metric_ranges(logs.last_by_step(logs.log_series(whole)))
+        got = {r.metric: (r.min, r.max, pytest.approx(r.mean), r["last"], r.n) for r in logs.followed_ranges(spark, str(tmp_path / "table")).collect()}
+        assert {r.metric: (r.min, r.max, r["mean"], r["last"], r.n) for r in want.collect()} == got != {}
+    rows = sorted((tmp_path / "table").glob("epoch=*"))
+    assert len(rows) == 3 and spark.read.parquet(str(tmp_path / "table")).count() <= 3 * 5  # a row a metric and batch, not the history
