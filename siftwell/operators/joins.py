@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,47 +116,6 @@ def containing(rows: DataFrame, items: DataFrame, text: str, item: str, words: i
     return met.unionByName(rows.join(few, F.contains(text, item)))
 
 
-def cosine_top1(train: DataFrame, evals: DataFrame, threshold: float = 0.95, block: int = 20_000) -> DataFrame:
-    """(tid, eid, similarity): for each (tid, v) the most similar of (eid, v) above threshold, the least eid of ties.
-
-    The evaluation set is the stated query set. It is cut by hash into blocks of about ``block`` vectors; every batch of training
-    vectors meets each block in one matrix product, and only winners above the threshold leave the task.
-    """
-    n = evals.count()
-    parts = max(1, -(-n // block))
-    found = None
-    for k in range(parts):
-        cell = evals.where(F.pmod(F.xxhash64("eid"), F.lit(parts)) == k).select(F.col("eid").cast("long").alias("eid"), F.col("v").cast("array<double>").alias("v")).orderBy("eid").toArrow()
-        won = _winners(train, cell.column("eid").to_numpy(), _unit(np.array(cell.column("v").to_pylist(), float)), threshold) if len(cell) else None
-        found = won if found is None else found.unionByName(won) if won is not None else found
-    if found is None:
-        found = train.sparkSession.createDataFrame([], "tid bigint, eid bigint, similarity double")
-    best = found if parts == 1 else found.groupBy("tid").agg(F.max_by(F.struct("eid", "similarity"), F.struct("similarity", (-F.col("eid")).alias("back"))).alias("m")).select("tid", "m.*")
-    return best
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
-
-def _winners(train: DataFrame, eid: np.ndarray, unit: np.ndarray, threshold: float) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            ids, m = b.column(0).to_numpy(), _unit(np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1))
-            best, at = np.full(len(ids), -2.0), np.zeros(len(ids), int)
-            for lo in range(0, len(eid), 2048):
-                s = m @ unit[lo : lo + 2048].T
-                j = s.argmax(1)
-                top = s[np.arange(len(ids)), j]
-                better = top > best
-                best[better], at[better] = top[better], j[better] + lo
-            hit = best > threshold
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(eid[at[hit]]), pa.array(best[hit])], names=["tid", "eid", "similarity"])
-
-    picked = train.select(F.col("tid").cast("long").alias("tid"), F.col("v").cast("array<double>").alias("v")).where("tid IS NOT NULL AND v IS NOT NULL")
-    return picked.mapInArrow(run, "tid bigint, eid bigint, similarity double")
-
-
 def with_lookup(rows: DataFrame, lookup: DataFrame, key: str, inline: str, found: str) -> DataFrame:
     """inline, or where it is null or empty the lookup's value; the join is skipped when no row needs it."""
     missing = F.col(inline).isNull() | (F.size(inline) == 0)

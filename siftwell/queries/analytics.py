@@ -13,6 +13,7 @@ from siftwell.operators import joins as J
 from siftwell.operators import projections as R
 from siftwell.operators import sampling as P
 from siftwell.operators import windows as W
+from siftwell.operators.nearest import cosine_top1
 from siftwell.plans import gates, generators, pluggable
 from siftwell.plans import tokens as T
 from siftwell.queries.base import ANN, LOG, REC, SERIES, TOK, query, run
@@ -97,7 +98,7 @@ def jon07(spark: SparkSession, sf: str) -> DataFrame:
     v = run(spark, sf, "SELECT vec_id, embedding FROM embeddings")
     train = v.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("tid"), F.col("embedding").alias("v"))
     evals = v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("eid"), F.col("embedding").alias("v"))
-    return J.cosine_top1(train, evals, threshold=0.3).withColumn("similarity", F.round("similarity", 5))
+    return cosine_top1(train, evals, threshold=0.3).withColumn("similarity", F.round("similarity", 5))
 
 
 @query("JON08", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'own' WHEN doc_id % 4 <> 0 THEN 'found' ELSE '' END AS path FROM documents")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siftwell.operators import aggregates as G
 from siftwell.operators import filters as P
 from siftwell.operators import joins as J
+from siftwell.operators import nearest as N
 from siftwell.operators import sampling as M
 from siftwell.operators import windows as W
 from siftwell.plans import config, gates, pluggable
@@ -34,13 +35,55 @@ def test_hamming_bound_is_strict(spark):
     assert (pair(4), pair(5)) == (1, 0)
 
 
-def test_cosine_blocks_agree(spark):
-    rnd = random.Random(5)
-    vec = lambda: [rnd.gauss(0, 1) for _ in range(8)]
-    train, evals = ([(i, vec()) for i in range(60)] for _ in range(2))
-    t, e = spark.createDataFrame(train, "tid long, v array<double>"), spark.createDataFrame(evals, "eid long, v array<double>")
-    whole, cut = ({(r.tid, r.eid) for r in J.cosine_top1(t, e, 0.5, block=b).collect()} for b in (1000, 7))
-    assert whole == cut and whole
+def _clustered(seed, n, width=16, clusters=12, spread=0.1):
+    rnd = np.random.default_rng(seed)
+    middles = np.random.default_rng(99).normal(size=(clusters, width))
+    return middles[rnd.integers(0, clusters, n)] + spread * rnd.normal(size=(n, width))
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.95, 0.999])
+@pytest.mark.parametrize("cell", [10_000, 40, 3])
+def test_nearest_equals_all_pairs(spark, threshold, cell):
+    """Clusters, vectors without any, copies that tie, one vector that makes up a third of all, zeros and nulls."""
+    rnd = np.random.default_rng(1)
+    train = np.vstack([_clustered(1, 150), rnd.normal(size=(50, 16)), np.zeros((1, 16))])
+    evals = np.vstack([_clustered(2, 150), rnd.normal(size=(50, 16)), train[:5], train[:5] * 3, np.repeat(train[7:8], 100, 0), np.zeros((1, 16))])
+    order = rnd.permutation(len(evals))
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(train)] + [(500, None), (None, [1.0] * 16)], "tid long, v array<double>")
+    e = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(order, evals)] + [(900, None), (None, train[0].tolist())], "eid long, v array<double>")
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    s = unit(train) @ unit(evals).T
+    want = []
+    for i, row in enumerate(s):
+        if row.max() > threshold:
+            want.append((i, int(min(order[row >= row.max() - 1e-12])), round(float(row.max()), 9)))
+    got = sorted((r.tid, r.eid, round(r.similarity, 9)) for r in N.cosine_top1(t, e, threshold, cell).collect())
+    assert got == want and (got or threshold > 0.99)
+
+
+def test_nearest_compares_few_pairs_of_clusters(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    train, evals = unit(_clustered(3, 2000)), unit(_clustered(4, 2000))
+    pivots = evals[:40]
+    own = N._angles(evals, pivots)
+    cell = own.argmin(1)
+    files, ranges = {}, np.full((40, 2), [np.inf, -np.inf])
+    for c in range(40):
+        rows = np.flatnonzero(cell == c)
+        pq.write_table(pa.table({"eid": rows, "v": [evals[r].tolist() for r in rows]}), tmp_path / f"{c}.parquet")
+        files[c], ranges[c] = [str(tmp_path / f"{c}.parquet")], (own[rows, c].min(), own[rows, c].max())
+    best, at, pairs = N.best_of(train, pivots, ranges, N._Cells(files), 0.95)
+    assert np.allclose(best, np.maximum((train @ evals.T).max(1), 0.95)) and (at >= 0).all()
+    assert pairs < 0.25 * 2000 * 2000
+
+
+def test_nearest_without_vectors(spark):
+    t, e = spark.createDataFrame([(1, [1.0, 0.0])], "tid long, v array<float>"), spark.createDataFrame([(2, [1.0, 0.0])], "eid long, v array<float>")
+    assert [tuple(r) for r in N.cosine_top1(t, e).collect()] == [(1, 2, 1.0)]
+    assert N.cosine_top1(t.limit(0), e).count() == 0 and N.cosine_top1(t, e.limit(0)).count() == 0
 
 
 def test_quota_plan():
