@@ -67,12 +67,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
 
 
-def bounded(df: DataFrame, rows: int, width: Column | None = None, most_bytes: int = 64 << 20) -> DataFrame:
-    """df to be broadcast if it has at most so many rows, and their widths sum to at most so many bytes where width is given, which is
-    checked here; else as it is, for a shuffle join."""
-    first = df.limit(rows + 1)
-    size = first.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if width is None else width), F.lit(0))).first()
-    return F.broadcast(df) if size[0] <= rows and size[1] <= most_bytes else df
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df to be broadcast if it has at most so many rows, which is checked here; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def bounded_bytes(df: DataFrame, rows: int, width: Column, most: int) -> DataFrame:
+    """bounded, where the sum of the rows' widths, in bytes, has a bound, too."""
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
 
 
 _caches: list[dict] = []

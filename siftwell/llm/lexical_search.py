@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import bounded, small_batches, stage
+from siftwell.llm.common import bounded, bounded_bytes, small_batches, stage
 
 #: Bytes of UTF-8 to themselves, capital letters to small ones, all that separates terms to a blank.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -94,7 +94,7 @@ def _postings(index: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return bounded(df, SMALL_ROWS, F.octet_length("term"), SMALL_BYTES)
+    return bounded_bytes(df, SMALL_ROWS, F.octet_length("term"), SMALL_BYTES)
 
 
 def _scores(pairs: DataFrame, index: DataFrame, asked: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
