@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as X
 from siftwell.operators import filters as P
-from siftwell.operators.joins import bounded, hamming_pairs, name_lookup, with_lookup
+from siftwell.operators.hamming import hamming_pairs
+from siftwell.operators.joins import bounded, name_lookup, with_lookup
 from siftwell.operators.nearest import cosine_top1
 from siftwell.operators.projections import BUCKETS, row_index, train_rows
 from siftwell.operators.sampling import allocate, negative_candidates, quota_sampler, shuffled_head, stratified_sample

@@ -47,54 +47,6 @@ def drop_seen_if(rows: DataFrame, eval_ids: DataFrame, condition: Column, key: s
     return rows.join(ids, (F.col(key) == F.col("__id")) & condition, "left_anti")
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame, max_distance: int = 5) -> DataFrame:
-    """(lid, rid, distance) with distance < max_distance between (lid, h) and (rid, h), exactly.
-
-    Up to a max_distance of 6 one 32-bit half of a pair differs by at most 2, so both sides emit each half with its 32 neighbours and
-    meet on 33 bits; such keys stay selective at 1e8 rows a side. Beyond, 64 bits are cut into max_distance bands, one of which must be
-    equal. Each pair is taken where it meets first, which spares a distinct.
-    """
-    return _by_halves(left, right, max_distance) if max_distance <= 6 else _by_bands(left, right, max_distance)
-
-
-def _by_halves(left: DataFrame, right: DataFrame, max_distance: int) -> DataFrame:
-    low = F.lit(0xFFFFFFFF)
-
-    def halves(h: Column) -> tuple[Column, Column]:
-        return h.bitwiseAND(low), F.shiftrightunsigned(h, 32)
-
-    def emitted(df: DataFrame, name: str, alias: str) -> DataFrame:
-        bits = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-
-        def ball(n: int, half: Column) -> Column:
-            return F.transform(bits, lambda b: F.struct(F.lit(n).alias("half"), half.bitwiseXOR(b).alias("key")))
-
-        keys = F.concat(*[ball(n, half) for n, half in enumerate(halves(F.col("h")))])
-        return df.select(name, F.col("h").alias(alias), F.explode(keys).alias("k")).select(name, alias, "k.half", "k.key")
-
-    met = emitted(left, "lid", "lh").join(emitted(right, "rid", "rh"), ["half", "key"])
-    differ = F.col("lh").bitwiseXOR(F.col("rh"))
-    mine, theirs, apart = (F.when(F.col("half") == 1, halves(x)[1]).otherwise(halves(x)[0]) for x in (F.col("lh"), F.col("rh"), differ))
-    one = apart.bitwiseAND(-apart)
-    between = F.least(mine.bitwiseXOR(one), mine.bitwiseXOR(apart.bitwiseXOR(one)))
-    at = F.when(apart == 0, mine).when(F.bit_count(apart) == 1, F.least(mine, theirs)).otherwise(between)
-    first = (F.col("key") == at) & ((F.col("half") == 0) | (F.bit_count(halves(differ)[0]) > 2))
-    return met.where((F.bit_count(differ) < max_distance) & first).select("lid", "rid", F.bit_count(differ).cast("bigint").alias("distance"))
-
-
-def _by_bands(left: DataFrame, right: DataFrame, max_distance: int) -> DataFrame:
-    cuts = [64 * i // max_distance for i in range(max_distance + 1)]
-
-    def bands(h: Column) -> Column:
-        return F.array(*[F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])])
-
-    x = left.select("lid", F.col("h").alias("lh"), F.posexplode(bands(F.col("h"))).alias("band", "part"))
-    y = right.select("rid", F.col("h").alias("rh"), F.posexplode(bands(F.col("h"))).alias("band", "part"))
-    differ = F.col("lh").bitwiseXOR(F.col("rh"))
-    first = F.array_position(bands(differ), F.lit(0).cast("long")) == F.col("band") + 1
-    return x.join(y, ["band", "part"]).where((F.bit_count(differ) < max_distance) & first).select("lid", "rid", F.bit_count(differ).cast("bigint").alias("distance"))
-
-
 def containing(rows: DataFrame, items: DataFrame, text: str, item: str, words: int = 4) -> DataFrame:
     """Pairs of rows and items whose item is within the text, as an equi-join: both meet on a run of inner words of the item, which any
     text that holds it must hold, too. Items of few words, which have no such run, are compared with every text behind a check of

@@ -13,6 +13,7 @@ from siftwell.operators import joins as J
 from siftwell.operators import projections as R
 from siftwell.operators import sampling as P
 from siftwell.operators import windows as W
+from siftwell.operators.hamming import hamming_pairs
 from siftwell.operators.nearest import cosine_top1
 from siftwell.plans import gates, generators, pluggable
 from siftwell.plans import tokens as T
@@ -90,7 +91,7 @@ HASHES = "SELECT doc_id, xor((doc_id // 8 * 2654435761 % 4294967296) * 214748364
 def jon06(spark: SparkSession, sf: str) -> DataFrame:
     own = HASHES.replace("doc_id // 8", "doc_id DIV 8").replace("xor((", "((").replace(" + doc_id DIV 8, CASE", " + doc_id DIV 8) ^ (CASE")
     h = run(spark, sf, own)
-    return J.hamming_pairs(h.where("doc_id % 2 = 0").select(F.col("doc_id").alias("lid"), "h"), h.where("doc_id % 2 = 1").select(F.col("doc_id").alias("rid"), "h"))
+    return hamming_pairs(h.where("doc_id % 2 = 0").select(F.col("doc_id").alias("lid"), "h"), h.where("doc_id % 2 = 1").select(F.col("doc_id").alias("rid"), "h"))
 
 
 @query("JON07", "SELECT tid, max_by(eid, s) AS eid, round(max(s), 5) AS similarity FROM (SELECT t.vec_id AS tid, e.vec_id AS eid, list_cosine_similarity(t.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings t, embeddings e WHERE t.vec_id % 5 <> 0 AND e.vec_id % 5 = 0) WHERE s > 0.3 GROUP BY tid")

@@ -10,6 +10,7 @@ from siftwell.operators import aggregates as G
 from siftwell.operators import filters as P
 from siftwell.operators import joins as J
 from siftwell.operators import nearest as N
+from siftwell.operators.hamming import hamming_pairs, plan_parts
 from siftwell.operators import sampling as M
 from siftwell.operators import windows as W
 from siftwell.plans import config, gates, pluggable
@@ -25,13 +26,13 @@ def test_hamming_equals_brute_force(spark):
     base = [rnd.getrandbits(63) for _ in range(40)]
     flip = lambda h: h ^ sum(1 << b for b in rnd.sample(range(63), rnd.randint(0, 6)))
     left, right = [(i, flip(rnd.choice(base))) for i in range(150)], [(i, flip(rnd.choice(base))) for i in range(120)]
-    got = {(r.lid, r.rid, r.distance) for r in J.hamming_pairs(spark.createDataFrame(left, "lid long, h long"), spark.createDataFrame(right, "rid long, h long")).collect()}
+    got = {(r.lid, r.rid, r.distance) for r in hamming_pairs(spark.createDataFrame(left, "lid long, h long"), spark.createDataFrame(right, "rid long, h long")).collect()}
     want = {(i, j, (a ^ b).bit_count()) for i, a in left for j, b in right if (a ^ b).bit_count() < 5}
     assert got == want and want
 
 
 def test_hamming_bound_is_strict(spark):
-    pair = lambda d: J.hamming_pairs(spark.createDataFrame([(1, 0)], "lid long, h long"), spark.createDataFrame([(2, (1 << d) - 1)], "rid long, h long")).count()
+    pair = lambda d: hamming_pairs(spark.createDataFrame([(1, 0)], "lid long, h long"), spark.createDataFrame([(2, (1 << d) - 1)], "rid long, h long")).count()
     assert (pair(4), pair(5)) == (1, 0)
 
 
@@ -217,7 +218,7 @@ def test_log_stream(spark, tmp_path):
     assert got["actor/loss"] == (2.0, 4.0, 4.0)
 
 
-@pytest.mark.parametrize("limit", [1, 2, 5, 6, 9])
+@pytest.mark.parametrize("limit", [1, 2, 5, 6, 9, 12])
 def test_hamming_pairs_equal_all_pairs(spark, limit):
     rnd = random.Random(limit)
     base = [rnd.getrandbits(64) for _ in range(40)]
@@ -229,10 +230,47 @@ def test_hamming_pairs_equal_all_pairs(spark, limit):
 
     sides = [[near(x) for x in base for _ in range(3)] for _ in range(2)]
     left, right = (spark.createDataFrame([(i, h - 2**64 if h >= 2**63 else h) for i, h in enumerate(s)], f"{name} long, h long") for s, name in zip(sides, ("lid", "rid")))
-    got = sorted(map(tuple, J.hamming_pairs(left, right, limit).collect()))
+    got = sorted(map(tuple, hamming_pairs(left, right, limit).collect()))
     assert got == sorted((i, j, (a ^ b).bit_count()) for i, a in enumerate(sides[0]) for j, b in enumerate(sides[1]) if (a ^ b).bit_count() < limit)
 
 
+def _even(n, seed):
+    return np.random.default_rng(seed).integers(0, 2**64, n, dtype=np.uint64)
+
+
+def test_parts_cover_the_distance_and_large_sides_get_wide_ones():
+    from math import comb
+
+    a, b = _even(4000, 1), _even(4000, 2)
+    emits = lambda plan: sum(sum(comb(w, r) for r in range(t + 1)) for _, w, t in plan)
+    for distance in range(0, 16):
+        for n, m in ((10, 10), (5_000, 5_000), (10**5, 10**8), (10**8, 10**8)):
+            plan = plan_parts(n, m, distance, a, b)
+            assert sum(t + 1 for *_, t in plan) > distance and [at for at, *_ in plan] == [sum(w for _, w, _ in plan[:i]) for i in range(len(plan))]
+            assert sum(w for _, w, _ in plan) == 64
+    few, many = plan_parts(5_000, 5_000, 4, a, b), plan_parts(10**5, 10**8, 4, a, b)
+    assert emits(few) <= 8 and len(many) < len(few)
+
+
+def test_skewed_bits_get_small_thresholds():
+    a, b = _even(4000, 1), _even(4000, 2)
+    a, b = a & ~np.uint64(0xFFFFFF), b & ~np.uint64(0xFFFFFF)  # the low bits of all rows agree
+    plan = plan_parts(10**6, 10**6, 6, a, b)
+    assert plan[0][2] <= min(t for *_, t in plan[1:]) and max(t for *_, t in plan) >= 1
+
+
+def test_hamming_pairs_of_one_hot_hash_nulls_and_sides_of_any_size(spark):
+    rnd = random.Random(2)
+    left = [(i, 7 if i < 40 else rnd.getrandbits(63)) for i in range(120)] + [(500, None)]
+    right = [(i, 7 ^ (1 << i)) for i in range(6)] + [(9, None), (10, -1), (11, 7), (11, 7)]
+    want = sorted((i, j, ((a ^ b) & (2**64 - 1)).bit_count()) for i, a in left for j, b in right if a is not None and b is not None and ((a ^ b) & (2**64 - 1)).bit_count() < 8)
+    make = lambda rows, name: spark.createDataFrame(rows, f"{name} long, h long")
+    assert sorted(map(tuple, hamming_pairs(make(left, "lid"), make(right, "rid"), 8).collect())) == want
+    swapped = sorted((r.rid, r.lid, r.distance) for r in hamming_pairs(make(right, "lid"), make(left, "rid"), 8).collect())
+    assert swapped == want
+    assert hamming_pairs(make(left, "lid"), make(right, "rid").limit(0), 8).count() == 0
+
+
 def test_containing_equals_all_pairs(spark):
     rnd = random.Random(3)
     word = lambda: rnd.choice("abc")
