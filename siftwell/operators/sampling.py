@@ -100,6 +100,16 @@ def allocate(weights: dict[str, float], n: int) -> dict[str, int]:
     return out | {names[-1]: n - sum(out.values())}
 
 
+def allocate_rows(weights: DataFrame, n: int) -> DataFrame:
+    """allocate over rows (topic, weight), topics in ascending order; a null topic or weight takes no part. Without any weight all is 0
+    but the last."""
+    known = weights.where("topic IS NOT NULL AND weight IS NOT NULL").groupBy("topic").agg(F.sum("weight").alias("weight"))
+    whole = known.agg(F.sum("weight").alias("whole"), F.max("topic").alias("last"))  # one row
+    shares = known.join(F.broadcast(whole)).withColumn("share", F.coalesce(F.bround(F.try_divide(F.lit(n) * F.col("weight"), "whole")), F.lit(0.0)).cast("long"))
+    others = shares.agg(F.coalesce(F.sum(F.when(F.col("topic") != F.col("last"), F.col("share"))), F.lit(0)).alias("others"))
+    return shares.join(F.broadcast(others)).select("topic", F.when(F.col("topic") == F.col("last"), n - F.col("others")).otherwise(F.col("share")).alias("n"))
+
+
 def negative_candidates(pairs: DataFrame, categories: DataFrame, images: DataFrame) -> DataFrame:
     """images (image_id, cats) with what quota_sampler needs: all categories by popularity, and those that stand most often beside the
     image's first category. Categories are a bounded vocabulary: one row, and one for each category."""

@@ -461,9 +461,14 @@ def top11(spark: SparkSession, sf: str) -> DataFrame:
     return P.stratified_sample(run(spark, sf, "SELECT doc_id, lang FROM documents"), "lang", "doc_id", 101)
 
 
-@query("TOP12", "SELECT * FROM (VALUES ('animal', CAST(600 AS BIGINT)), ('chess', CAST(450 AS BIGINT)), ('flag', CAST(450 AS BIGINT))) AS v(topic, n)")
+_TOP12 = "SELECT source AS topic, sum(n_chars)::DOUBLE AS w FROM documents GROUP BY source"
+
+
+@query("TOP12", f"WITH w AS ({_TOP12}), s AS (SELECT topic, CAST(round_even(1501 * w / sum(w) OVER (), 0) AS BIGINT) AS n, topic = max(topic) OVER () AS last FROM w) SELECT topic, CAST(CASE WHEN last THEN 1501 - (SELECT sum(n) FROM s WHERE NOT last) ELSE n END AS BIGINT) AS n FROM s")
 def top12(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(sorted(P.allocate({"animal": 0.4, "chess": 0.3, "flag": 0.3}, 1500).items()), "topic string, n bigint")
+    """1501 samples over the sources by how much text they have."""
+    weights = run(spark, sf, "SELECT source AS topic, n_chars FROM documents").select("topic", F.col("n_chars").cast("double").alias("weight"))
+    return P.allocate_rows(weights, 1501)
 
 
 def _image_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from siftwell.functions import stats as S
 from siftwell.functions import text as X
 from siftwell.lifecycles import evaluation
 from siftwell.operators import sets
-from siftwell.plans.config import read_settings
+from siftwell.plans.config import settings_of_files
 from siftwell.queries.base import LOG, REC, SERIES, query, run
 from siftwell.session import scratch
 from siftwell.sources import datasets as D
@@ -245,10 +245,17 @@ def src23(spark: SparkSession, sf: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"k=(\d+)", 1).cast("int").alias("k"), F.length("bytes").cast("bigint").alias("n_bytes"))
 
 
-@query("SRC24", "SELECT 7 AS seed, CAST(100 AS BIGINT) AS n_virl, 0.95 AS cosine_threshold")
+@query("SRC24", "SELECT c_nationkey AS seed, count(*) AS n_virl, 1600 AS n_pope_style, 0.5 + (c_nationkey % 50) / 100.0E0 AS cosine_threshold, CASE WHEN c_nationkey % 2 = 0 THEN 2 ELSE 0 END AS n_skip FROM customer GROUP BY c_nationkey")
 def src24(spark: SparkSession, sf: str) -> DataFrame:
-    s = read_settings("seed: 7\n# a comment\nn_virl: 100\n")
-    return spark.createDataFrame([(s.seed, s.n_virl, s.cosine_threshold)], "seed int, n_virl bigint, cosine_threshold double")
+    """A settings file for each nation of the customers, written from the table and read back."""
+    runs = run(spark, sf, "SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey")
+    share = F.format_string("%.2f", 0.5 + (F.col("k") % 50) / 100.0)
+    skip = F.when(F.col("k") % 2 == 0, "skip: [virl, 'tally']").otherwise("# nothing is skipped")
+    text = F.concat(F.lit("seed: "), "k", F.lit("  # a nation\n\nn_virl: "), "n", F.lit("\ncosine_threshold: "), share, F.lit("\n"), skip)
+    path = scratch(spark, "src24")
+    runs.select("k", text.alias("value")).repartition(8, "k").write.partitionBy("k").text(path)
+    found = settings_of_files(spark, f"{path}/k=*")
+    return found.select("seed", "n_virl", F.col("n_pope_style").cast("int").alias("n_pope_style"), F.round("cosine_threshold", 6).alias("cosine_threshold"), F.size("skip").alias("n_skip"))
 
 
 @query("SRC25", "SELECT 'A' AS config, topic, count(*) AS n FROM rec GROUP BY topic UNION ALL SELECT 'B', topic, count(*) FROM rec WHERE correct_i GROUP BY topic", rec=REC)

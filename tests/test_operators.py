@@ -271,6 +271,13 @@ def test_hamming_pairs_of_one_hot_hash_nulls_and_sides_of_any_size(spark):
     assert hamming_pairs(make(left, "lid"), make(right, "rid").limit(0), 8).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 100])
+def test_allocation_of_rows_equals_that_of_a_dict(spark, n):
+    for weights in ({"a": 0.4, "b": 0.3, "c": 0.3}, {"x": 1.0}, {"a": 1.0, "b": 1.0, "c": 3.0, "d": 0.5, "e": 2.0}):
+        rows = spark.createDataFrame([*weights.items(), (None, 3.0), ("zz", None)], "topic string, weight double")
+        assert dict(map(tuple, M.allocate_rows(rows, n).collect())) == M.allocate(weights, n)
+
+
 def test_containing_equals_all_pairs(spark):
     rnd = random.Random(3)
     word = lambda: rnd.choice("abc")
