@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.session import scratch
 
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
@@ -24,6 +25,58 @@ def percentile(c: Column, p: float) -> Column:
     return F.percentile(c, p / 100)
 
 
+#: A group of up to so many values gets its percentiles from one aggregate; a larger one from ranges.
+GROUP_ROWS = 1_000_000
+
+
+def percentiles(df: DataFrame, value: str, by: list[str], ps: dict[str, float], group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(by..., a column for each of ps): exact percentiles of each group, by linear interpolation, p from 0 to 100, nulls left out. A
+    group without values has no row. Null keys are a group.
+
+    The built-in aggregate holds a group's distinct values in one task, so it only gets groups of a checked size. Larger ones are cut
+    into ranges by approximate quantiles of their own and counted by range; then only the ranges that hold a wanted place are sorted.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    path = scratch(df.sparkSession, "large-groups")
+    sizes = known.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > group_rows)
+    sizes.write.parquet(path)
+    large = df.sparkSession.read.schema(sizes.schema).parquet(path)
+    whole = lambda d: d.groupBy(*by).agg(*[F.percentile("__v", p / 100).alias(name) for name, p in ps.items()])
+    if large.isEmpty():
+        return whole(known)
+    return whole(_paired(known, large, by, "left_anti")).unionByName(_by_ranges(_paired(known, large, by, "inner"), by, ps))
+
+
+def _paired(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join by keys in which nulls are equal."""
+    side = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(side, same, how).drop(*[f"__{k}" for k in keys])
+
+
+def _by_ranges(rows: DataFrame, by: list[str], ps: dict[str, float]) -> DataFrame:
+    """percentiles of rows (by..., __v, __n: the group's size)."""
+    n = max(2, min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("__v", [i / n for i in range(1, n)], 4 * RANGES).alias("__cuts"))
+    placed = _paired(rows, cuts, by, "inner").withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
+    counts = placed.groupBy(*by, "__range").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
+    start = F.coalesce(F.sum("__c").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = F.array(*[F.struct(F.lit(name).alias("__p"), (F.lit(p / 100) * (F.col("__n") - 1)).alias("__at")) for name, p in ps.items()])
+    asked = counts.withColumn("__start", start).select(*by, "__range", "__c", "__start", F.inline(places))
+    ends = F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))
+    wanted = asked.select(*by, "__range", "__start", "__c", "__p", "__at", F.explode(ends).alias("__k")).where((F.col("__k") >= F.col("__start")) & (F.col("__k") < F.col("__start") + F.col("__c"))).drop("__c")
+    keys = [*by, "__range"]
+    values = _paired(placed, wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = _paired(values.withColumn("__before", before), wanted, keys, "inner")
+    inside = F.col("__k") - F.col("__start") - F.col("__before")
+    ends_of = found.where((inside >= 0) & (inside < F.col("__c"))).groupBy(*by, "__p").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.first("__at").alias("__at"))
+    value = F.col("__lo") + F.when(F.col("__hi") == F.col("__lo"), 0.0).otherwise((F.col("__hi") - F.col("__lo")) * (F.col("__at") - F.floor("__at")))
+    return ends_of.groupBy(*by).agg(*[F.max(F.when(F.col("__p") == name, value)).alias(name) for name in ps])
+
+
 def clamp0(c: Column) -> Column:
     return F.greatest(c, F.lit(0.0))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions.stats import percentiles
+
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key in a full order. An aggregate, not a window: a hot key is reduced before the shuffle."""
@@ -35,8 +37,8 @@ def stratum_head(df: DataFrame, stratum: str, key: str, quota: Column, seed: int
 
 
 def clip_at_quantile(df: DataFrame, value: str, batch: str, p: float = 0.95, name: str = "clipped") -> DataFrame:
-    """value, at most its batch's percentile: one aggregate by batch, joined back."""
-    top = df.groupBy(batch).agg(F.percentile(value, p).alias("__top"))
+    """value, at most its batch's percentile: percentiles by batch, joined back."""
+    top = percentiles(df, value, [batch], {"__top": 100 * p})
     return df.join(top, batch).withColumn(name, F.least(value, "__top")).drop("__top")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.stats import percentiles
+
 
 def delta_weights(tokens: DataFrame, batch: str, value: str = "delta", mask: str = "mask", p: float = 0.95, name: str = "weight") -> DataFrame:
     """value clipped at its batch's percentile over the mask, divided by the clipped mean (1e-6 at least); 1 where the mask is empty.
@@ -12,8 +14,8 @@ def delta_weights(tokens: DataFrame, batch: str, value: str = "delta", mask: str
     Two small aggregates by batch are joined back, so a batch needn't fit into a window.
     """
     on = F.when(F.col(mask), F.col(value))
-    top = tokens.groupBy(batch).agg(F.percentile(on, p).alias("__top"))
-    clipped = tokens.join(top, batch).withColumn("__c", F.least(value, "__top"))
+    top = percentiles(tokens.select(batch, on.alias("__on")), "__on", [batch], {"__top": 100 * p})
+    clipped = tokens.join(top, batch, "left").withColumn("__c", F.least(value, "__top"))
     mean = clipped.groupBy(batch).agg(F.avg(F.when(F.col(mask), F.col("__c"))).alias("__mean"))
     out = clipped.join(mean, batch)
     return out.withColumn(name, F.when(F.col("__mean").isNull(), 1.0).otherwise(F.col("__c") / F.greatest("__mean", F.lit(1e-6)))).drop("__top", "__c", "__mean")

@@ -278,6 +278,29 @@ def test_allocation_of_rows_equals_that_of_a_dict(spark, n):
         assert dict(map(tuple, M.allocate_rows(rows, n).collect())) == M.allocate(weights, n)
 
 
+@pytest.mark.parametrize("group_rows", [0, 300, 10**6])
+def test_percentiles_equal_a_sort(spark, group_rows):
+    """Groups through ranges and through one aggregate; ties, one value that most rows have, tiny groups, infinities and nulls."""
+    from siftwell.functions.stats import percentiles
+
+    rnd = random.Random(group_rows)
+    draw = {"even": lambda: rnd.random(), "ties": lambda: float(rnd.randrange(4)), "hot": lambda: 5.0 if rnd.random() < 0.7 else rnd.gauss(5, 1), "odd": lambda: rnd.choice([float("inf"), -1.0, None, 2.0]), None: lambda: rnd.gauss(0, 100)}
+    rows = [(g, f()) for g, f in draw.items() for _ in range(500)] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    ps = {"low": 0, "p37": 37, "mid": 50, "p95": 95, "high": 100}
+    got = {r.g: tuple(r[p] for p in ps) for r in percentiles(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], ps, group_rows).collect()}
+    groups: dict = {}
+    for g, v in rows:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        values.sort()
+        for p, x in zip(ps.values(), got[g]):
+            at = p / 100 * (len(values) - 1)
+            lo, hi = values[int(at)], values[min(int(at) + (at > int(at)), len(values) - 1)]
+            assert x == pytest.approx(lo if lo == hi else lo + (hi - lo) * (at - int(at))), (g, p)
+
+
 def test_containing_equals_all_pairs(spark):
     rnd = random.Random(3)
     word = lambda: rnd.choice("abc")
