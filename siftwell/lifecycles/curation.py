@@ -13,7 +13,7 @@ from siftwell.operators.hamming import hamming_pairs
 from siftwell.operators.joins import bounded, name_lookup, with_lookup
 from siftwell.operators.nearest import cosine_top1
 from siftwell.operators.projections import BUCKETS, row_index, train_rows
-from siftwell.operators.sampling import allocate, negative_candidates, quota_sampler, shuffled_head, stratified_sample
+from siftwell.operators.sampling import allocate, quota_sampler, shuffled_head, stratified_sample
 from siftwell.plans.pluggable import embed, hash_images, tokenize
 from siftwell.sources.datasets import eligible_images, load_tally, load_virl
 from siftwell.sources.records import keep_image
@@ -43,7 +43,7 @@ def pope_bucket(categories: DataFrame, annotations: DataFrame, images: DataFrame
     sets = eligible_images(pairs, eval_ids, 1)
     n_yes = round(n / 2)
     quotas = allocate(weights or dict.fromkeys(NEGATIVES, 1.0), n - n_yes)
-    drawn = name_lookup(quota_sampler(negative_candidates(pairs, cats.select("cat"), sets), n_yes, quotas, seed), cats, "category", "cat", "name", "category_name")
+    drawn = name_lookup(quota_sampler(sets, pairs, cats.select("cat"), n_yes, quotas, seed), cats, "category", "cat", "name", "category_name")
     files = images.select(F.col("id").alias("image_id"), "file_name")
     rows = drawn.join(files, "image_id").select(
         F.concat_ws("_", F.lit("pope_style"), F.col("image_id").cast("string"), "gold", "neg_type", "category").alias("sample_id"),

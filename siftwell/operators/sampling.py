@@ -110,49 +110,72 @@ def allocate_rows(weights: DataFrame, n: int) -> DataFrame:
     return shares.join(F.broadcast(others)).select("topic", F.when(F.col("topic") == F.col("last"), n - F.col("others")).otherwise(F.col("share")).alias("n"))
 
 
-def negative_candidates(pairs: DataFrame, categories: DataFrame, images: DataFrame) -> DataFrame:
-    """images (image_id, cats) with what quota_sampler needs: all categories by popularity, and those that stand most often beside the
-    image's first category. Categories are a bounded vocabulary: one row, and one for each category."""
-    from siftwell.operators.joins import bounded, cooccurrence
+#: So often a random category is drawn for an image; the few that had each of them take the most popular one they lack.
+DRAWS = 32
 
-    counts = pairs.groupBy("cat").agg(F.count("*").alias("n"))
-    listed = popularity(counts, categories).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "cat"))), lambda s: s["cat"]).alias("popular"))
-    near = cooccurrence_ranking(cooccurrence(pairs, "image_id", "cat"))
-    ranked = images.join(bounded(near.withColumnRenamed("ranked", "near"), 100_000), F.col("a") == F.get("cats", F.lit(0)), "left").drop("a")
-    return ranked.join(F.broadcast(listed))
 
+def _draw(seed: int, n: Column, *what: Column) -> Column:
+    """A whole number from 1 to n, by the first 32 bits of md5."""
+    return F.conv(F.substring(stable_order(seed, *what), 1, 8), 16, 10).cast("long") % n + 1
 
-def hard_negative(kind: Column, ranked_popular: Column, ranked_near: Column, have: Column, shuffled: Column) -> Column:
-    """A category an image lacks: of a shuffled list ('random'), the most popular, or the most co-occurrent with one it has
-    (the most popular if there is none)."""
-    popular = F.get(A.not_in(ranked_popular, have), F.lit(0))
-    near = F.get(A.not_in(F.coalesce(ranked_near, F.array().cast(ranked_popular_type())), have), F.lit(0))
-    return F.when(kind == "popular", popular).when(kind == "cooccur", F.coalesce(near, popular)).otherwise(F.get(A.not_in(shuffled, have), F.lit(0)))
 
+def first_gap(ranks: Column) -> Column:
+    """The least number from 1 that a sorted array of different ranks lacks, in time of the array's length."""
+    off = F.transform(ranks, lambda r, i: F.when(r != i + 1, i + 1))
+    return F.coalesce(F.array_min(off), F.size(ranks) + 1)
 
-def ranked_popular_type() -> str:
-    return "array<string>"
 
+def negatives(images: DataFrame, pairs: DataFrame, categories: DataFrame, kinds: Sequence[str] = ("random", "popular", "cooccur"), seed: int = 42) -> DataFrame:
+    """images (image_id, cats) with a column for each kind: a category the image lacks. 'popular' is the most popular; 'cooccur' the one
+    that stands most often beside the image's first category, or the most popular if none does; 'random' is drawn evenly from those it
+    lacks. Null where it has all.
 
-def quota_sampler(images: DataFrame, n_yes: int, n_no: dict[str, int], seed: int = 42) -> DataFrame:
-    """Yes/no questions from (image_id, cats, near, popular, everything): in stable shuffled order the first n_yes images give a yes
-    about one of their categories, and the first images in turn a no of each kind until its quota is full.
+    Popularity and what stands beside a category are ranked over pairs (image_id, cat). An image meets the ranks of its own categories
+    only, the first rank missing there is the answer, and a join by rank names it: no row ever holds the vocabulary.
+    """
+    from siftwell.operators.joins import bounded, cooccurrence
 
-    Counts by (gold, neg_type), 'the yes category is in the image' and 'the no category is not' hold by construction.
+    ranks = bounded(popularity(pairs.groupBy("cat").agg(F.count("*").alias("n")), categories).select(F.col("cat").alias("_cat"), "rank"), 100_000)
+    own = images.select("image_id", F.get("cats", F.lit(0)).alias("_first"), F.explode("cats").alias("_own"))
+    held = own.join(ranks, F.col("_own") == F.col("_cat")).groupBy("image_id").agg(F.sort_array(F.collect_list("rank")).alias("_held"))
+    gap = first_gap(F.coalesce("_held", F.array().cast("array<int>")))
+    found = images.join(held.withColumnRenamed("image_id", "_image"), F.col("image_id") == F.col("_image"), "left").drop("_image").withColumn("_gap", gap)
+    named = lambda name: ranks.select(F.col("rank").alias(f"_r_{name}"), F.col("_cat").alias(name))
+    found = found.join(named("popular"), F.col("_gap") == F.col("_r_popular"), "left").drop("_r_popular")
+    if "cooccur" in kinds:
+        beside = cooccurrence(pairs, "image_id", "cat").withColumn("near", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).drop("n")
+        met = own.join(beside, (F.col("_first") == F.col("a")) & (F.col("_own") == F.col("b")))
+        gaps = met.groupBy("image_id").agg(first_gap(F.sort_array(F.collect_list("near"))).alias("_near")).withColumnRenamed("image_id", "_image")
+        found = found.join(gaps, F.col("image_id") == F.col("_image"), "left").drop("_image")
+        next_to = beside.select(F.col("a").alias("_a"), F.col("near").alias("_n"), F.col("b").alias("_b"))
+        found = found.join(next_to, (F.get("cats", F.lit(0)) == F.col("_a")) & (F.coalesce("_near", F.lit(1)) == F.col("_n")), "left")
+        found = found.withColumn("cooccur", F.coalesce("_b", "popular")).drop("_near", "_a", "_n", "_b")
+    if "random" in kinds:
+        all_n = categories.select("cat").distinct().agg(F.count("*").alias("_all"))  # one row
+        draws = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda k: _draw(seed, F.col("_all"), F.col("image_id").cast("string"), k.cast("string")).cast("int"))
+        lacking = F.get(F.filter(draws, lambda r: ~F.array_contains(F.coalesce("_held", F.array().cast("array<int>")), r)), F.lit(0))
+        found = found.join(F.broadcast(all_n)).withColumn("_drawn", F.coalesce(lacking, "_gap")).join(named("random"), F.col("_drawn") == F.col("_r_random"), "left").drop("_r_random", "_drawn", "_all")
+    return found.select(*images.columns, *kinds)
+
+
+def quota_sampler(images: DataFrame, pairs: DataFrame, categories: DataFrame, n_yes: int, n_no: dict[str, int], seed: int = 42) -> DataFrame:
+    """Yes/no questions (image_id, gold, neg_type, category) about images (image_id, cats): in stable shuffled order the first n_yes give
+    a yes about one of their categories, and the first images in turn a no of each kind of negatives until its quota is full.
+
+    Negatives are found for the chosen images only. An image that has all categories gives no no.
     """
     need = max(n_yes, sum(n_no.values()))
     order = stable_order(seed, "image_id")
-    chosen = images.orderBy(order, "image_id").limit(need)  # the sample's size, a parameter
-    numbered = chosen.withColumn("i", F.row_number().over(Window.orderBy(order, "image_id")) - 1)
-    kinds, at = F.lit(None).cast("string"), 0
+    chosen = images.select("image_id", "cats").orderBy(order, "image_id").limit(need)  # the sample's size, a parameter
+    numbered = negatives(chosen, pairs, categories, tuple(n_no) or ("popular",), seed).withColumn("i", F.row_number().over(Window.orderBy(order, "image_id")) - 1)
+    no, at = F.lit(None), 0
     for name, n in n_no.items():
-        kinds = F.when((F.col("i") >= at) & (F.col("i") < at + n), name).otherwise(kinds)
-        at += n
-    pick = F.array_min(F.transform("cats", lambda c: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("image_id").cast("string"), c)).alias("h"), c.alias("c"))))["c"]
-    shuffled = F.transform(F.array_sort(F.transform("popular", lambda c: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("image_id").cast("string"), c)).alias("h"), c.alias("c")))), lambda s: s["c"])
+        picked = F.struct(F.lit("no").alias("gold"), F.lit(name).alias("neg_type"), F.col(name).alias("category"))
+        no, at = F.when((F.col("i") >= at) & (F.col("i") < at + n), picked).otherwise(no), at + n
+    pick = F.array_min(F.transform("cats", lambda c: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("image_id").cast("string"), c.cast("string"))).alias("h"), c.alias("c"))))["c"]
     yes = F.when(F.col("i") < n_yes, F.struct(F.lit("yes").alias("gold"), F.lit(None).cast("string").alias("neg_type"), pick.alias("category")))
-    no = F.when(kinds.isNotNull(), F.struct(F.lit("no").alias("gold"), kinds.alias("neg_type"), hard_negative(kinds, F.col("popular"), F.col("near"), F.col("cats"), shuffled).alias("category")))
-    return numbered.select("image_id", F.explode(F.array_compact(F.array(yes, no))).alias("q")).select("image_id", "q.*").where("category IS NOT NULL")
+    answers = F.array(yes, no) if n_no else F.array(yes)
+    return numbered.select("image_id", F.explode(F.array_compact(answers)).alias("q")).select("image_id", "q.*").where("category IS NOT NULL")
 
 
 def last_step(series: DataFrame) -> DataFrame:

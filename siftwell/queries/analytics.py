@@ -471,25 +471,33 @@ def top12(spark: SparkSession, sf: str) -> DataFrame:
     return P.allocate_rows(weights, 1501)
 
 
-def _image_rows(spark: SparkSession, sf: str) -> DataFrame:
+def _images(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images with their categories, the pairs that they come from, and all categories."""
     ann = run(spark, sf, "SELECT l_orderkey AS image_id, p_brand AS cat FROM lineitem JOIN part ON l_partkey = p_partkey")
-    sets_ = ann.groupBy("image_id").agg(F.sort_array(F.collect_set("cat")).alias("cats"))
-    return P.negative_candidates(ann, ann.select("cat").distinct(), sets_)
+    return ann.groupBy("image_id").agg(F.sort_array(F.collect_set("cat")).alias("cats")), ann, ann.select("cat").distinct()
 
 
-@query("TOP13", "SELECT * FROM (VALUES ('no', 'cooccur', CAST(10 AS BIGINT)), ('no', 'popular', CAST(10 AS BIGINT)), ('no', 'random', CAST(20 AS BIGINT)), ('yes', '-', CAST(40 AS BIGINT))) AS v(gold, neg_type, n)")
-def top13(spark: SparkSession, sf: str) -> DataFrame:
-    rows = P.quota_sampler(_image_rows(spark, sf), 40, {"random": 20, "popular": 10, "cooccur": 10})
-    return G.count_by(rows.withColumn("neg_type", F.coalesce("neg_type", F.lit("-"))), "gold", "neg_type")
+_HARD = f"SELECT s.image_id, list_filter(p.popular, lambda c: NOT list_contains(s.cats, c))[1] AS popular, coalesce(list_filter(r.ranked, lambda c: NOT list_contains(s.cats, c))[1], list_filter(p.popular, lambda c: NOT list_contains(s.cats, c))[1]) AS cooccur FROM (SELECT image_id, list_sort(list(cat)) AS cats FROM ann GROUP BY image_id) s CROSS JOIN (SELECT list(cat ORDER BY n DESC, cat) AS popular FROM (SELECT p_brand AS cat, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)) p LEFT JOIN (SELECT a, list(b ORDER BY n DESC, b) AS ranked FROM ({_CO}) GROUP BY a) r ON r.a = s.cats[1]"
 
 
-_HARD = f"SELECT s.image_id, list_filter(p.popular, lambda c: NOT list_contains(s.cats, c))[1] AS popular, coalesce(list_filter(r.ranked, lambda c: NOT list_contains(s.cats, c))[1], list_filter(p.popular, lambda c: NOT list_contains(s.cats, c))[1]) AS cooccur FROM (SELECT image_id, list_sort(list(cat)) AS cats FROM ann GROUP BY image_id) s CROSS JOIN (SELECT list(cat ORDER BY n DESC, cat) AS popular FROM (SELECT p_brand AS cat, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)) p LEFT JOIN (SELECT a, list(b ORDER BY n DESC, b) AS ranked FROM ({_CO}) GROUP BY a) r ON r.a = s.cats[1]"
+_TOP13 = f"""
+SELECT image_id, 'yes' AS gold, CAST(NULL AS VARCHAR) AS neg_type, (SELECT min_by(c, md5('42:' || CAST(image_id AS VARCHAR) || ':' || c)) FROM (SELECT unnest(cats) AS c)) AS category FROM chosen WHERE i < 40
+UNION ALL SELECT image_id, 'no', kind, CASE kind WHEN 'popular' THEN popular WHEN 'cooccur' THEN cooccur ELSE coalesce(list_filter(list_transform(range(32),
+  lambda k: ranked[('0x' || substr(md5('42:' || CAST(image_id AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 8))::BIGINT % len(ranked) + 1]), lambda c: NOT list_contains(cats, c))[1], popular) END
+FROM (SELECT *, CASE WHEN i < 20 THEN 'random' WHEN i < 30 THEN 'popular' ELSE 'cooccur' END AS kind FROM chosen JOIN ({_HARD}) USING (image_id)
+  CROSS JOIN (SELECT list(cat ORDER BY n DESC, cat) AS ranked FROM (SELECT p_brand AS cat, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1))) WHERE i < 40
+"""
+_CHOSEN = "SELECT image_id, list_sort(list(cat)) AS cats, row_number() OVER (ORDER BY md5('42:' || CAST(image_id AS VARCHAR)), image_id) - 1 AS i FROM ann GROUP BY image_id"
+
+
+@query("TOP13", _TOP13, ann=ANN, chosen=_CHOSEN)
+def top13(spark: SparkSession, sf: str) -> DataFrame:
+    return P.quota_sampler(*_images(spark, sf), 40, {"random": 20, "popular": 10, "cooccur": 10})
 
 
 @query("TOP14", _HARD, ann=ANN)
 def top14(spark: SparkSession, sf: str) -> DataFrame:
-    pick = lambda kind: P.hard_negative(F.lit(kind), F.col("popular"), F.col("near"), F.col("cats"), F.col("popular"))
-    return _image_rows(spark, sf).select("image_id", pick("popular").alias("popular_"), pick("cooccur").alias("cooccur")).withColumnRenamed("popular_", "popular")
+    return P.negatives(*_images(spark, sf), ("popular", "cooccur")).drop("cats")
 
 
 @query("TOP15", "SELECT metric, value FROM s WHERE step = (SELECT max(step) FROM s)", s=_LAST)

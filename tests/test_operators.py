@@ -102,15 +102,46 @@ def test_stratified_sample_fills_its_quota(spark, n):
     assert n == 0 or got.where("s IS NULL").count() == 0
 
 
+def _pictures(spark):
+    rows = [(i, [c for c in "abcdef" if (i >> "abcdef".index(c)) & 1]) for i in range(64)] + [(64, list("abcdef"))]
+    images = spark.createDataFrame(rows, "image_id long, cats array<string>")
+    weights = {c: 6 - k for k, c in enumerate("fedcba")}  # f is the most popular
+    pairs = spark.createDataFrame([(i, c) for i, cats in rows for c in cats] + [(100 + j, c) for c, w in weights.items() for j in range(w)], "image_id long, cat string")
+    return rows, images, pairs, spark.createDataFrame([(c,) for c in "abcdefg"], "cat string")
+
+
+def test_negatives_equal_a_search_of_the_vocabulary(spark):
+    rows, images, pairs, cats = _pictures(spark)
+    held: dict = {}
+    for i, c in {tuple(r) for r in pairs.collect()}:
+        held.setdefault(i, set()).add(c)
+    beside = lambda a: sorted((c for c in "abcdef" if c != a and any({a, c} <= h for h in held.values())), key=lambda c: (-sum({a, c} <= h for h in held.values()), c))
+    got = {r.image_id: r for r in M.negatives(images, pairs, cats).collect()}
+    assert len(got) == len(rows)
+    for i, own in rows:
+        popular = next(c for c in "fedcbag" if c not in own)
+        near = next((c for c in (beside(own[0]) if own else []) if c not in own), popular)
+        assert (got[i].popular, got[i].cooccur) == (popular, near)
+        assert got[i].random not in own and got[i].random in "abcdefg"
+    assert len({got[i].random for i, own in rows if not own or own == ["a"]} | {r.random for r in got.values()}) > 4
+    full = spark.createDataFrame([(1, list("abcdefg"))], "image_id long, cats array<string>")
+    assert tuple(M.negatives(full, pairs, cats).first())[2:] == (None, None, None)
+
+
+def test_first_gap(spark):
+    rows = [([],), ([1],), ([2],), ([1, 2, 3],), ([1, 3, 4],), ([1, 2, 9],)]
+    got = spark.createDataFrame(rows, "r array<int>").select(M.first_gap(F.col("r")).alias("g")).collect()
+    assert [r.g for r in got] == [1, 2, 1, 4, 2, 3]
+
+
 def test_quota_sampler_keeps_its_promises(spark):
-    rows = [(i, [c for c in "abcdef" if (i >> "abcdef".index(c)) & 1], ["c", "a"], list("fedcba")) for i in range(1, 63)]
-    images = spark.createDataFrame(rows, "image_id long, cats array<string>, near array<string>, popular array<string>")
-    got = M.quota_sampler(images, 20, {"random": 8, "popular": 6, "cooccur": 6}).collect()
-    have = {r[0]: r[1] for r in rows}
+    rows, images, pairs, cats = _pictures(spark)
+    got = M.quota_sampler(images, pairs, cats, 20, {"random": 8, "popular": 6, "cooccur": 6}).collect()
+    have = dict(rows)
     assert sum(r.gold == "yes" for r in got) == 20
     assert all((r.category in have[r.image_id]) == (r.gold == "yes") for r in got)
     assert {k: sum(r.neg_type == k for r in got) for k in ("random", "popular", "cooccur")} == {"random": 8, "popular": 6, "cooccur": 6}
-    assert all(r.category == next(c for c in "fedcba" if c not in have[r.image_id]) for r in got if r.neg_type == "popular")
+    assert all(r.category == next(c for c in "fedcbag" if c not in have[r.image_id]) for r in got if r.neg_type == "popular")
 
 
 def test_last_and_first_by_key(spark):
