@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.session import scratch
+from siftwell.session import kept
 
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
@@ -37,10 +37,7 @@ def percentiles(df: DataFrame, value: str, by: list[str], ps: dict[str, float],
     into ranges by approximate quantiles of their own and counted by range; then only the ranges that hold a wanted place are sorted.
     """
     known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    path = scratch(df.sparkSession, "large-groups")
-    sizes = known.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > group_rows)
-    sizes.write.parquet(path)
-    large = df.sparkSession.read.schema(sizes.schema).parquet(path)
+    large = kept(known.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > group_rows), "large-groups")
     whole = lambda d: d.groupBy(*by).agg(*[F.percentile("__v", p / 100).alias(name) for name, p in ps.items()])
     if large.isEmpty():
         return whole(known)

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import arrays as A
-from siftwell.operators.windows import stable_order
+from siftwell.operators.projections import row_index
+from siftwell.operators.windows import keep_last, stable_order
+from siftwell.session import kept
 
 
 def explode_tokens(df: DataFrame, *keep: str, tokens: str = "tokens", values: str = "deltas") -> DataFrame:
@@ -80,17 +82,73 @@ def plan_quotas(sizes: Sequence[tuple[str, int]], n: int) -> dict[str, int]:
     return quota
 
 
+#: Strata of up to this number are planned in the driver, more by plan_quota_table.
+MANY_STRATA = 10_000
+_BLOCK = 4096
+
+
+def _before(df: DataFrame, value: Column, at: str) -> DataFrame:
+    """df with __before: the sum of value over the rows whose whole number at is less. Blocks of numbers are summed, then what precedes
+    a block and a row in it, so no task sorts all rows."""
+    rows = df.withColumns({"__value": value, "__block": F.floor(F.col(at) / _BLOCK)})
+    sums = rows.groupBy("__block").agg(F.sum("__value").alias("__sum"))
+    earlier = F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("__value").over(Window.partitionBy("__block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("__inside", inside).join(sums.select("__block", earlier.alias("__earlier")), "__block")
+    return placed.withColumn("__before", F.col("__earlier") + F.col("__inside")).drop("__value", "__block", "__inside", "__earlier")
+
+
+def plan_quota_table(sizes: DataFrame, n: int) -> DataFrame:
+    """(stratum, quota): plan_quotas for a table of strata (stratum, n, first: its place in the order of appearance) of any length. Each
+    round of slack is one pass over the strata; one row of totals reaches the driver."""
+    whole = sizes.agg(F.sum("n")).first()[0]
+    if not whole or n <= 0:
+        return sizes.select("stratum", F.lit(0).cast("long").alias("quota"))
+    share = F.least(F.bround(F.lit(float(n)) * F.col("n") / float(whole)).cast("long"), F.col("n"))
+    now = kept(row_index(sizes, "first", "stratum", name="i").withColumn("quota", share), "quotas")
+    while True:
+        total, open_ = now.agg(F.sum("quota"), F.count_if(F.col("quota") < F.col("n"))).first()
+        if total >= n or not open_:
+            break
+        each, odd = divmod(n - total, open_)
+        had = F.col("quota") < F.col("n")
+        given = now.withColumns({"had": had, "quota": F.when(had, F.least("n", F.col("quota") + each)).otherwise(F.col("quota"))})
+        if odd:
+            more = F.col("had") & (F.col("quota") < F.col("n"))
+            given = _before(given, more.cast("long"), "i").withColumn("quota", F.col("quota") + (more & (F.col("__before") < odd)).cast("long")).drop("__before")
+        now = kept(given.drop("had"), "quotas")
+    if total > n:
+        largest = kept(row_index(now.withColumn("less", -F.col("quota")), "less", "i", name="j"), "quotas-by-size")
+        cut = F.greatest(F.lit(0), F.least("quota", F.lit(total - n) - F.col("__before")))
+        now = _before(largest, F.col("quota"), "j").withColumn("quota", F.col("quota") - cut)
+    return now.select("stratum", "quota")
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows over the strata by plan_quotas; a null stratum is UNKNOWN. Only the strata's sizes reach the driver."""
-    named = df.withColumn(stratum, F.coalesce(stratum, F.lit("UNKNOWN")))
-    sizes = named.groupBy(stratum).agg(F.count("*").alias("n"), F.min(key).alias("first")).orderBy("first").collect()
-    quota = plan_quotas([(r[stratum], r.n) for r in sizes], n)
-    if not quota:
+    """n rows over the strata by plan_quotas; a null stratum is UNKNOWN. The driver sees the strata's sizes only if they are few."""
+    named = df.withColumn(stratum, F.coalesce(F.col(stratum).cast("string"), F.lit("UNKNOWN")))
+    sizes = kept(named.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), F.min(key).alias("first")), "strata")
+    few = sizes.orderBy("first").limit(MANY_STRATA + 1).collect()
+    if len(few) <= MANY_STRATA:
+        quota = sizes.sparkSession.createDataFrame(list(plan_quotas([(r.stratum, r.n) for r in few], n).items()), "stratum string, quota long")
+    else:
+        quota = plan_quota_table(sizes, n)
+    quota = kept(quota.where("quota > 0"), "quotas")
+    most = quota.agg(F.max("quota")).first()[0]
+    if not most:
         return named.limit(0)
-    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col(stratum)), F.lit(0))
     nth = F.row_number().over(Window.partitionBy(stratum).orderBy(stable_order(seed, key), key))
     # the greatest quota as a literal lets the window drop rows before its shuffle
-    return named.withColumn("__nth", nth).where((F.col("__nth") <= max(quota.values())) & (F.col("__nth") <= limit)).drop("__nth")
+    head_ = named.withColumn("__nth", nth).where(F.col("__nth") <= most)
+    return _within(head_, quota, stratum).select(*df.columns)
+
+
+def _within(rows: DataFrame, quota: DataFrame, stratum: str) -> DataFrame:
+    """Rows whose number in their stratum is within its quota."""
+    from siftwell.operators.joins import bounded
+
+    side = bounded(quota.select(F.col("stratum").alias("__stratum"), F.col("quota").alias("__quota")))
+    return rows.join(side, F.col(stratum) == F.col("__stratum")).where(F.col("__nth") <= F.col("__quota"))
 
 
 def allocate(weights: dict[str, float], n: int) -> dict[str, int]:
@@ -135,7 +193,7 @@ def negatives(images: DataFrame, pairs: DataFrame, categories: DataFrame, kinds:
     """
     from siftwell.operators.joins import bounded, cooccurrence
 
-    ranks = bounded(popularity(pairs.groupBy("cat").agg(F.count("*").alias("n")), categories).select(F.col("cat").alias("_cat"), "rank"), 100_000)
+    ranks = bounded(kept(popularity(pairs.groupBy("cat").agg(F.count("*").alias("n")), categories).select(F.col("cat").alias("_cat"), "rank"), "category-ranks"), 100_000)
     own = images.select("image_id", F.get("cats", F.lit(0)).alias("_first"), F.explode("cats").alias("_own"))
     held = own.join(ranks, F.col("_own") == F.col("_cat")).groupBy("image_id").agg(F.sort_array(F.collect_list("rank")).alias("_held"))
     gap = first_gap(F.coalesce("_held", F.array().cast("array<int>")))
@@ -143,7 +201,7 @@ def negatives(images: DataFrame, pairs: DataFrame, categories: DataFrame, kinds:
     named = lambda name: ranks.select(F.col("rank").alias(f"_r_{name}"), F.col("_cat").alias(name))
     found = found.join(named("popular"), F.col("_gap") == F.col("_r_popular"), "left").drop("_r_popular")
     if "cooccur" in kinds:
-        beside = cooccurrence(pairs, "image_id", "cat").withColumn("near", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).drop("n")
+        beside = kept(cooccurrence(pairs, "image_id", "cat").withColumn("near", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).drop("n"), "category-neighbours")
         met = own.join(beside, (F.col("_first") == F.col("a")) & (F.col("_own") == F.col("b")))
         gaps = met.groupBy("image_id").agg(first_gap(F.sort_array(F.collect_list("near"))).alias("_near")).withColumnRenamed("image_id", "_image")
         found = found.join(gaps, F.col("image_id") == F.col("_image"), "left").drop("_image")
@@ -179,9 +237,10 @@ def quota_sampler(images: DataFrame, pairs: DataFrame, categories: DataFrame, n_
 
 
 def last_step(series: DataFrame) -> DataFrame:
-    """Rows of the greatest step; the step itself is one aggregated row."""
-    top = series.agg(F.max("step").alias("step"))
-    return series.join(F.broadcast(top), "step")
+    """Rows of the greatest step of a series with one row a step and metric. The series is read once: each metric's last row first, and
+    of these few rows those of the greatest step."""
+    newest = keep_last(series, ["metric"], ["step"])
+    return newest.withColumn("__top", F.max("step").over(Window.partitionBy())).where(F.col("step") == F.col("__top")).drop("__top")
 
 
 def rank_by(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own_root: str | None = None
 
@@ -36,3 +36,10 @@ def scratch(spark: SparkSession, label: str) -> str:
         _own_root = _own_root or "file://" + tempfile.mkdtemp(prefix="siftwell-")
         root = _own_root
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df, written once to scratch space and read from there: for small tables that several steps need."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.session import scratch
+from siftwell.session import kept
 from siftwell.sources.storage import file_sizes, open_file
 
 #: Bytes of a range.
@@ -189,14 +189,14 @@ class JsonDocument:
         self._tasks = max(1, int(files.agg(F.sum(count)).first()[0] or 1))
         summed = ranges.repartition(self._tasks, "path", "nth").mapInArrow(_summed, "path string, nth long, start long, end long, quotes long, even long, odd long")
         before = Window.partitionBy("path").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-        strings = _kept(summed, "json-ranges").withColumn("in_string", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
+        strings = kept(summed, "json-ranges").withColumn("in_string", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
         adds = F.when(F.col("in_string"), F.col("odd")).otherwise(F.col("even"))
         deep = F.coalesce(F.sum(adds).over(before), F.lit(0)).alias("depth")
-        self.ranges = _kept(strings.select("path", "start", "end", "in_string", deep), "json-states")
+        self.ranges = kept(strings.select("path", "start", "end", "in_string", deep), "json-states")
         found = self.ranges.repartition(self._tasks, "path", "start").mapInArrow(_bounds, "path string, at long, key string, base long")
         close = F.lead("at").over(Window.partitionBy("path").orderBy("at"))
         cut = F.raise_error(F.lit("a JSON document that ends within an array")).cast("long")
-        self.arrays = _kept(found.withColumn("high", close).where("key IS NOT NULL").select("path", "key", F.col("at").alias("low"), F.coalesce("high", cut).alias("high"), "base"), "json-arrays")
+        self.arrays = kept(found.withColumn("high", close).where("key IS NOT NULL").select("path", "key", F.col("at").alias("low"), F.coalesce("high", cut).alias("high"), "base"), "json-arrays")
 
     def keys(self) -> set[str]:
         """Keys whose values are arrays; the empty one if the document is a list."""
@@ -211,13 +211,6 @@ class JsonDocument:
         return out.select("r.*", "file", "at") if place else out.select("r.*")
 
 
-def _kept(df: DataFrame, label: str) -> DataFrame:
-    """A small table, written once, so that no plan reads the document again for it."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def document_kind(path: str) -> str:
     """The first character of a document."""
     with open_file(path) as file:

@@ -102,6 +102,27 @@ def test_stratified_sample_fills_its_quota(spark, n):
     assert n == 0 or got.where("s IS NULL").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_quotas_of_a_table_equal_those_of_a_list(spark, seed):
+    """Rounds of slack, odd ones in order of appearance, and excess off the largest."""
+    rnd = random.Random(seed)
+    sizes = [(f"s{i}", rnd.choice([1, 1, 2, 3, 5, 8, 40, 400]), rnd.random()) for i in range(rnd.choice([1, 7, 300]))]
+    sizes.sort(key=lambda r: r[2])
+    whole = sum(n for _, n, _ in sizes)
+    for n in {0, 1, whole // 7, whole // 2 + 1, whole - 1, whole + 3} if seed % 2 else {rnd.randint(1, whole), len(sizes) // 2 + 1}:
+        table = spark.createDataFrame(sizes, "stratum string, n long, first double")
+        assert dict(map(tuple, M.plan_quota_table(table, n).collect())) == M.plan_quotas([r[:2] for r in sizes], n)
+
+
+def test_many_strata_never_meet_in_the_driver(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("k"), F.concat(F.lit("s"), (F.col("id") % 700).cast("string")).alias("stratum"))
+    want = sorted(map(tuple, M.stratified_sample(df, "stratum", "k", 1000).collect()))
+    monkeypatch.setattr(M, "MANY_STRATA", 20)
+    monkeypatch.setattr(M, "plan_quotas", None)
+    got = sorted(map(tuple, M.stratified_sample(df, "stratum", "k", 1000).collect()))
+    assert got == want and len(got) == 1000
+
+
 def _pictures(spark):
     rows = [(i, [c for c in "abcdef" if (i >> "abcdef".index(c)) & 1]) for i in range(64)] + [(64, list("abcdef"))]
     images = spark.createDataFrame(rows, "image_id long, cats array<string>")
