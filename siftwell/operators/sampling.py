@@ -184,7 +184,7 @@ def first_gap(ranks: Column) -> Column:
 
 
 def negatives(images: DataFrame, pairs: DataFrame, categories: DataFrame, kinds: Sequence[str] = ("random", "popular", "cooccur"), seed: int = 42) -> DataFrame:
-    """images (image_id, cats) with a column for each kind: a category the image lacks. 'popular' is the most popular; 'cooccur' the one
+    """images (image_id, cats), a row each, with a column for each kind: a category the image lacks. 'popular' is the most popular; 'cooccur' the one
     that stands most often beside the image's first category, or the most popular if none does; 'random' is drawn evenly from those it
     lacks. Null where it has all.
 
@@ -194,24 +194,26 @@ def negatives(images: DataFrame, pairs: DataFrame, categories: DataFrame, kinds:
     from siftwell.operators.joins import bounded, cooccurrence
 
     ranks = bounded(kept(popularity(pairs.groupBy("cat").agg(F.count("*").alias("n")), categories).select(F.col("cat").alias("_cat"), "rank"), "category-ranks"), 100_000)
-    own = images.select("image_id", F.get("cats", F.lit(0)).alias("_first"), F.explode("cats").alias("_own"))
-    held = own.join(ranks, F.col("_own") == F.col("_cat")).groupBy("image_id").agg(F.sort_array(F.collect_list("rank")).alias("_held"))
-    gap = first_gap(F.coalesce("_held", F.array().cast("array<int>")))
-    found = images.join(held.withColumnRenamed("image_id", "_image"), F.col("image_id") == F.col("_image"), "left").drop("_image").withColumn("_gap", gap)
     named = lambda name: ranks.select(F.col("rank").alias(f"_r_{name}"), F.col("_cat").alias(name))
+    own = images.select("*", F.get("cats", F.lit(0)).alias("_first"), F.explode_outer("cats").alias("_own")).join(ranks, F.col("_own") == F.col("_cat"), "left")
+    held = {"_held": F.sort_array(F.collect_list("rank"))}
+    if "cooccur" in kinds:
+        ranked = cooccurrence(pairs, "image_id", "cat").withColumn("near", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).drop("n")
+        beside = bounded(kept(ranked, "category-neighbours"), 100_000)
+        own = own.join(beside, (F.col("_first") == F.col("a")) & (F.col("_own") == F.col("b")), "left")
+        held["_near"] = first_gap(F.sort_array(F.collect_list("near")))
+    # images that were grouped by image_id stay where they are: the small sides are broadcast
+    rest = [F.first(c).alias(c) for c in images.columns if c != "image_id"]
+    found = own.groupBy("image_id").agg(*rest, *[c.alias(name) for name, c in held.items()]).withColumn("_gap", first_gap(F.col("_held")))
     found = found.join(named("popular"), F.col("_gap") == F.col("_r_popular"), "left").drop("_r_popular")
     if "cooccur" in kinds:
-        beside = kept(cooccurrence(pairs, "image_id", "cat").withColumn("near", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).drop("n"), "category-neighbours")
-        met = own.join(beside, (F.col("_first") == F.col("a")) & (F.col("_own") == F.col("b")))
-        gaps = met.groupBy("image_id").agg(first_gap(F.sort_array(F.collect_list("near"))).alias("_near")).withColumnRenamed("image_id", "_image")
-        found = found.join(gaps, F.col("image_id") == F.col("_image"), "left").drop("_image")
         next_to = beside.select(F.col("a").alias("_a"), F.col("near").alias("_n"), F.col("b").alias("_b"))
-        found = found.join(next_to, (F.get("cats", F.lit(0)) == F.col("_a")) & (F.coalesce("_near", F.lit(1)) == F.col("_n")), "left")
+        found = found.join(next_to, (F.get("cats", F.lit(0)) == F.col("_a")) & (F.col("_near") == F.col("_n")), "left")
         found = found.withColumn("cooccur", F.coalesce("_b", "popular")).drop("_near", "_a", "_n", "_b")
     if "random" in kinds:
         all_n = categories.select("cat").distinct().agg(F.count("*").alias("_all"))  # one row
         draws = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda k: _draw(seed, F.col("_all"), F.col("image_id").cast("string"), k.cast("string")).cast("int"))
-        lacking = F.get(F.filter(draws, lambda r: ~F.array_contains(F.coalesce("_held", F.array().cast("array<int>")), r)), F.lit(0))
+        lacking = F.get(F.filter(draws, lambda r: ~F.array_contains("_held", r)), F.lit(0))
         found = found.join(F.broadcast(all_n)).withColumn("_drawn", F.coalesce(lacking, "_gap")).join(named("random"), F.col("_drawn") == F.col("_r_random"), "left").drop("_r_random", "_drawn", "_all")
     return found.select(*images.columns, *kinds)
 
