@@ -356,13 +356,43 @@ def test_mining_equals_trying_all_sets(spark, seed):
     assert {tuple(sorted(r.tokens)) for r in mined.collect()} == kept and kept
 
 
+def test_confidence_is_counted_on_whole_baskets(spark):
+    """A token that goes with both labels alike, on rows of the one label behind fifteen tokens that tell more."""
+    other = [f"good{j}" for j in range(15)]
+    made = [(["winner", f"bad{i % 4}"], True) for i in range(40)] + [(["winner", *other], False) for _ in range(40)] + [(other, False) for _ in range(40)]
+    df = spark.createDataFrame(made, "tokens array<string>, blocked boolean")
+    rules = {tuple(r.tokens): r for r in U.mine_baskets(df, 0.0, 5, 0.8, 3, 0.6).collect()}
+    assert set(rules) == {(f"bad{i}",) for i in range(4)} and all(r.confidence == 1.0 and r.at_token == r.tokens[0] for r in rules.values())
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_rules_of_long_baskets_have_their_true_confidence(spark, seed):
+    rnd = random.Random(seed)
+    names = [f"t{i}" for i in range(25)]
+    made = []
+    for _ in range(400):
+        tokens = sorted(rnd.sample(names, 15))
+        made.append((tokens, rnd.random() < (0.97 if {"t1", "t2"} <= set(tokens) else 0.05)))
+    rules = U.mine_baskets(spark.createDataFrame(made, "tokens array<string>, blocked boolean"), 0.0, 10, 0.8, 3, 0.6).collect()
+    assert ["t1", "t2"] in [r.tokens for r in rules]
+    for r in rules:
+        fits = [b for t, b in made if set(r.tokens) <= set(t)]
+        assert r.confidence == pytest.approx(sum(fits) / len(fits)) and r.support == pytest.approx(sum(fits) / len(made))
+
+
+def test_labels_of_pages(spark):
+    pages = spark.createDataFrame([(1, None, "c"), (2, "http://a.x/en/7", "c"), (3, "http://a.x/en/7", "c"), (4, "http://a.x/en/8", "c"), (5, "http://a.x/9", "c")], "page_id long, url string, confidence string")
+    labels = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (8, 1, 0), (9, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, U.page_labels(pages, labels).collect())) == [("http://a.x/en/7", True), ("http://a.x/en/7", True), ("http://a.x/en/8", False)]
+
+
 def test_seeded_words_reach_other_sites(spark):
     """A word that goes with seeds blocks sites that carry it without one."""
     made = [f"http://{h}.example/{i}" for i in range(20) for h in ("casino-win", "best-casino-win", "garden", "news-daily")] + ["http://win-now.example/1"]
     pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
     good = spark.createDataFrame([(f"http://garden.example/{i}", False) for i in range(40)], "url string, blocked boolean")
-    labelled = U.page_labels(pages, labels).unionAll(good)
+    labelled = U.page_labels(pages, labels, ("casino",)).unionAll(good)
     got = {made[r.page_id].split("/")[2]: r.verdict for r in U.judge_urls(pages, labelled).collect()}
     assert got == {"casino-win.example": "block", "best-casino-win.example": "block", "win-now.example": "block", "garden.example": "allow", "news-daily.example": "allow"}
 
