@@ -150,6 +150,8 @@ def recover(spark: SparkSession, path: str) -> int:
     """Write the logs of jobs that died; their number. No job may be appending just then."""
     store, base = locate(path)
     dead = sorted(set(_names(store, f"{base}/data")) - set(_logged(store, base)))
+    if dead:
+        store.create_dir(f"{base}/log", recursive=True)
     for job in dead:
         partitions = sorted({n.split("-")[0] for n in _names(store, f"{base}/data/{job}")})
 
