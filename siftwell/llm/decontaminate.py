@@ -6,7 +6,8 @@
    than the item is one window of its whole length.
 3. Multi-index Hamming blocks of BLOCK bits. A similar window differs from its item in a bounded number of shingles, so a bit whose
    votes outweigh that number can't change: each item emits, for the block with most such bits, all values that differ in the others.
-   Windows emit their blocks as they are and meet it there. Pairs within RADIUS bits go on.
+   Windows emit their blocks as they are and meet it there. Of items of so many shingles that too few bits are beyond that number, or
+   where keys take less than it (SWAY), the windows of their length are tried each. Pairs that agree on all bits that can't change go on.
 4. The exact weighted Jaccard similarity of the shingle multisets decides.
 """
 
@@ -22,10 +23,8 @@ SIMILARITY = 0.8
 #: Bits of a fingerprint and of a block.
 BITS = 256
 BLOCK = 16
-#: Multisets of similarity 0.8 differ in 39 of 256 SimHash bits on average (standard deviation 5.7).
-RADIUS = 72
-#: Votes move by at most the number of shingles that differ, and hardly by more than so many of their standard deviations: of items of
-#: over 41 words about 1 window in 500 of exactly the least similarity is lost, of shorter items none.
+#: Votes move by at most the number of shingles that differ. Keys take the less of it and so many of its standard deviations, which
+#: would lose about 1 window in 500; so items where that is less have no keys in the search, and meet all windows of their length.
 SWAY = 3.0
 #: Broadcast a side only up to so many rows (of a few long columns); else it is shuffled.
 BROADCAST_ROWS = 500_000
@@ -82,9 +81,34 @@ def _distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
+def _differ(similarity: float) -> Column:
+    """Most shingles that an item of n has and a similar enough window lacks, or the other way round."""
+    return F.floor(2 * F.col("n") * (1 - similarity) / (1 + similarity) + F.lit(1e-9))
+
+
+def keeps_all(similarity: float, sway: float = SWAY) -> Column:
+    """Whether the keys of an item of n shingles meet every similar enough window."""
+    return _differ(similarity) <= F.lit(sway) * F.sqrt(_differ(similarity))
+
+
+def fixed_bits(similarity: float) -> Column:
+    """For each block of an item (n, counts) a mask of the bits that no similar enough window has otherwise."""
+    margin, most = (lambda c: 2 * c - F.col("n")), _differ(similarity)
+
+    def mask(j: int) -> Column:
+        ones = F.transform(F.slice("counts", j * BLOCK + 1, BLOCK), lambda c, i: F.when((margin(c) > most) | (margin(c) <= -most), F.call_function("shiftleft", F.lit(1), i)).otherwise(0))
+        return F.aggregate(ones, F.lit(0), lambda a, x: a.bitwiseOR(x))
+
+    return F.array(*[mask(j) for j in range(BITS // BLOCK)])
+
+
+def _agree(a: str, b: str, mask: str) -> Column:
+    return F.forall(F.zip_with(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), mask, lambda d, m: d.bitwiseAND(m)), lambda x: x == 0)
+
+
 def item_keys(items: DataFrame, similarity: float, sway: float = SWAY) -> DataFrame:
     """items (with n, the number of shingles, counts and fp) with block and value of every key that they emit."""
-    differ = F.floor(2 * F.col("n") * (1 - similarity) / (1 + similarity) + F.lit(1e-9))
+    differ = _differ(similarity)
     bound = F.least(differ.cast("double"), F.lit(sway) * F.sqrt(differ))
     open_bits = F.transform("counts", lambda c: (2 * c - F.col("n") <= F.col("sway")) & (2 * c - F.col("n") > -F.col("sway")))
     of_block = F.transform(
@@ -135,13 +159,13 @@ def _candidates(keyed: DataFrame, items: DataFrame, sizes: list[int], similarity
     return held.where(F.size(close) > 0).select("id", "text_key", "n_words", "n", "m", starts.alias("starts")).where("size(starts) > 0")
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, similarity: float, radius: int) -> DataFrame:
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, similarity: float) -> DataFrame:
     """(id_col, text_key, item_id, start_word, n_words, distance, similarity) of every window that is similar enough to an item."""
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     h = benchmark.select(F.col(item_col).alias("item_id"), _word_hashes("text").alias("h")).where("size(h) > 0").withColumn("n_words", F.size("h"))
     k = F.least("n_words", F.lit(SHINGLE))
     items = h.select("item_id", "n_words", _pick(k, {x: _shingles("h", x) for x in range(1, SHINGLE + 1)}).alias("item_grams")).withColumn("n", F.size("item_grams"))
-    items = stage(with_votes(items, "item_grams").withColumn("fp", block_values("counts", "n")), "item-prints")
+    items = stage(with_votes(items, "item_grams").withColumn("fp", block_values("counts", "n")).withColumn("fixed", fixed_bits(similarity)), "item-prints")
     sizes = sorted(r.k for r in items.select(k.alias("k")).distinct().collect())
     if not sizes:
         none = keyed.select("id", "text_key").where("false").crossJoin(items.select("item_id").where("false"))
@@ -154,29 +178,33 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     windows = windows.select(*names, "start_word", F.slice("grams", F.col("start_word") + 1, F.col("m")).alias("win")).where("size(win) = m")
     prints = stage(with_votes(windows, "win").withColumn("win_fp", block_values("counts", "m")).drop("counts"), "window-prints")
     left = prints.select("*", F.posexplode("win_fp").alias("block", "value"))
-    right = stage(item_keys(items.select("item_id", "n_words", "n", "counts", "fp"), similarity).select("item_id", "n_words", "block", "value"), "item-keys")
+    right = stage(item_keys(items.where(keeps_all(similarity)).select("item_id", "n_words", "n", "counts", "fp"), similarity).select("item_id", "n_words", "block", "value"), "item-keys")
+    told = items.select(F.col("item_id").alias("__item"), F.col("n_words").alias("__n"), keeps_all(similarity).alias("keyed"), "item_grams", "fp", "fixed")
     met = left.join(_bounded(right), ["n_words", "block", "value"])  # an item has one block, so a pair meets once
-    met = met.join(_bounded(items.select("item_id", F.col("n_words").alias("__n"), "item_grams", "fp")).withColumnRenamed("item_id", "__item"), F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("n_words") == F.col("__n")))
-    near = met.withColumn("distance", _distance("fp", "win_fp")).where(F.col("distance") <= radius)
+    met = met.join(_bounded(told), F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("n_words") == F.col("__n")))
+    tried = prints.join(_bounded(told.where("NOT keyed")), F.col("n_words") == F.col("__n")).withColumn("item_id", F.col("__item"))
+    names = [*names, "start_word", "win", "win_fp", "item_id", "item_grams", "fp", "fixed"]
+    pairs = met.select(*names).unionByName(tried.select(*names))
+    near = pairs.where(_agree("fp", "win_fp", "fixed")).withColumn("distance", _distance("fp", "win_fp"))
     shared = near.select("id", "text_key", "item_id", "n_words", "n", "m", "start_word", "distance", _overlap("win", "item_grams").alias("o"))
     return shared.withColumn("similarity", F.col("o") / (F.col("n") + F.col("m") - F.col("o"))).where(F.col("similarity") >= similarity).drop("o", "n", "m")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
     """For each document and item with a similar enough window the best one, the first of ties: (id_col, item_id, start_word,
     n_words, distance, similarity). start_word counts words from 0.
 
     Words are lower-cased. Shingles are of SHINGLE words, or of the whole item where that is shorter. A text shorter than an item is
     compared as a whole. Null and blank texts match nothing, on either side; repeated rows count once; a null id is returned as null; other columns are ignored.
     """
-    hits = _leaks(docs, benchmark, id_col, text_col, item_col, similarity, radius)
+    hits = _leaks(docs, benchmark, id_col, text_col, item_col, similarity)
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("back"), "n_words", "distance")).alias("best")
     out = hits.groupBy(F.col("id").alias(id_col), "item_id").agg(best)
     return out.select(id_col, "item_id", (-F.col("best.back")).alias("start_word"), "best.n_words", "best.distance", "best.similarity")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
     """docs without the rows that hold an item's passage; all else stays as it is, null texts and extra columns too."""
-    hits = _leaks(docs, benchmark, id_col, text_col, item_col, similarity, radius)
+    hits = _leaks(docs, benchmark, id_col, text_col, item_col, similarity)
     bad = _bounded(stage(hits.select(F.col("id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "leaks"))
     return docs.join(bad, (F.xxhash64(text_col) == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")

@@ -159,6 +159,24 @@ def test_blocks_prune_and_keep_what_is_similar(spark, words, share, recall):
     assert max(r["count"] for r in keys.groupBy("item_id").count().collect()) <= 2**14
 
 
+def test_long_and_repetitive_items_lose_no_window(spark):
+    """Windows at the least similarity: of shingles that come back, whose votes move together, and of many items of some 60 words."""
+    rnd = random.Random(8)
+    items, rows = [], []
+    for i in range(40):
+        same, own = ["a"] * 40, [f"i{i}x{j}" for j in range(60)]
+        items.append((i, " ".join(same + own)))
+        for j in range(3):
+            rows.append((10 * i + j, " ".join(same[10:] + own + [f"t{rnd.random()}" for _ in range(10)])))
+        plain = [f"p{i}x{j}" for j in range(59)]
+        items.append((100 + i, " ".join(plain)))
+        rows += [(1000 + 10 * i + j, " ".join(plain[6:] + [f"t{rnd.random()}" for _ in range(6)])) for j in range(10)]
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in D.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    told = dict(items)
+    want = {k: (round(j, 9), s) for d, t in rows for k, (j, s) in brute.leaks([(d, t)], [(i, told[i]) for i in [d // 10 if d < 1000 else d // 10]]).items()}
+    assert got == want and len(want) == len(rows)
+
+
 def test_votes_are_those_of_a_simhash(spark):
     rnd = random.Random(2)
     grams = [rnd.getrandbits(64) - 2**63 for _ in range(33)]
