@@ -380,6 +380,18 @@ def test_rules_of_long_baskets_have_their_true_confidence(spark, seed):
         assert r.confidence == pytest.approx(sum(fits) / len(fits)) and r.support == pytest.approx(sum(fits) / len(made))
 
 
+def test_a_combination_behind_many_telling_tokens_is_found(spark):
+    """Two tokens that go with the label only together, on rows with twenty tokens that tell more each but are no rules."""
+    rnd, made = random.Random(9), []
+    strong = [f"strong{j}" for j in range(20)]
+    for _ in range(400):
+        made.append(([t for t in strong if rnd.random() < 0.9] + ["x", "y"], True))
+        made.append(([t for t in strong if rnd.random() < 0.6], False))
+        made += [(["x"], False), (["y"], False)]
+    rules = U.mine_baskets(spark.createDataFrame(made, "tokens array<string>, blocked boolean"), 0.0, 10, 0.8, 2, 0.6).collect()
+    assert [(r.support, r.confidence) for r in rules if r.tokens == ["x", "y"]] == [(0.25, 1.0)]
+
+
 def test_labels_of_pages(spark):
     pages = spark.createDataFrame([(1, None, "c"), (2, "http://a.x/en/7", "c"), (3, "http://a.x/en/7", "c"), (4, "http://a.x/en/8", "c"), (5, "http://a.x/9", "c")], "page_id long, url string, confidence string")
     labels = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (8, 1, 0), (9, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
