@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import html
 import re
-import sys
-from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +38,8 @@ BROADCAST_ROWS = 500_000
 ARRAY_KEYS = 50_000
 #: Outside an article, blocks with more than this share of their text in links are menus.
 LINK_SHARE = 0.5
-#: Trees whose sizes multiply to more, and lists of children that do, are paired by equal subtrees and labels in order, near linearly.
-EXACT_CELLS = 1_000_000
-EXACT_CHILDREN = 2_500
+#: Lists of children whose lengths multiply to more are matched a row of numpy at a time, with the same result.
+ROWS_FROM = 2_000
 
 # HTML's elements by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -181,86 +180,123 @@ def from_skeleton(said: str) -> Node:
     return path[0]
 
 
-def _in_order(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
-    """Pairs of two lists that keep their order: longest run of shapes that each list has once, then labels in between."""
-    nx, ny = Counter(n.shape for n in x), Counter(n.shape for n in y)
-    at = {n.shape: i for i, n in enumerate(x) if nx[n.shape] == 1}
-    both = [(at[n.shape], j) for j, n in enumerate(y) if ny[n.shape] == 1 and n.shape in at]
-    ends, last, before = [], [], []
-    for k, (i, _) in enumerate(both):
-        d = bisect_left(ends, i)
-        ends[d : d + 1], last[d : d + 1] = [i], [k]
-        before.append(last[d - 1] if d else -1)
-    fixed, k = [], last[-1] if last else -1
-    while k >= 0:
-        fixed.append(both[k])
-        k = before[k]
-    out, i0, j0 = [], 0, 0
-    for i1, j1 in [*reversed(fixed), (len(x), len(y))]:
-        places: dict[str, list[int]] = {}
-        for i in range(i0, i1):
-            places.setdefault(x[i].label, []).append(i)
-        at_x = i0 - 1
-        for j in range(j0, j1):
-            own = places.get(y[j].label, [])
-            k = bisect_right(own, at_x)
-            if k < len(own):
-                at_x = own[k]
-                out.append((x[at_x], y[j]))
-        if i1 < len(x) and j1 < len(y):
-            out.append((x[i1], y[j1]))
-        i0, j0 = i1 + 1, j1 + 1
+def _trim(x: list[Node], y: list[Node]) -> tuple[int, int]:
+    """How many equal shapes both lists begin and end with."""
+    i, n, j = 0, min(len(x), len(y)), 0
+    while i < n and x[i].shape == y[i].shape:
+        i += 1
+    while j < n - i and x[-1 - j].shape == y[-1 - j].shape:
+        j += 1
+    return i, j
+
+
+def _next_rows(x: list[Node], y: list[Node], weight: Callable[[Node, Node], int], row: np.ndarray):
+    """The table of largest matchings of heads of x and y, a row for each of x, behind the given one."""
+    shapes: dict[int, int] = {}
+    kind = np.array([shapes.setdefault(q.shape, len(shapes)) for q in y])
+    first = list({q.shape: q for q in reversed(y)}.values())
+    labels: dict[str, list[Node]] = {}
+    for q in first:
+        labels.setdefault(q.label, []).append(q)
+    known: dict[int, np.ndarray] = {}
+    for p in x:
+        if p.shape not in known:
+            if len(known) > 50:
+                known.clear()
+            of = np.zeros(len(shapes), np.int64)
+            for q in labels.get(p.label, ()):
+                of[shapes[q.shape]] = weight(p, q)
+            known[p.shape] = of[kind]
+        row = np.concatenate([[0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + known[p.shape]))])
+        yield row
+
+
+def _largest(x: list[Node], y: list[Node], weight: Callable[[Node, Node], int]) -> int:
+    """Weight of the largest matching of two lists that keeps their order."""
+    if len(x) * len(y) > ROWS_FROM:
+        row = np.zeros(len(y) + 1, np.int64)
+        for row in _next_rows(x, y, weight, row):  # noqa: B007
+            pass
+        return int(row[-1])
+    row = [0] * (len(y) + 1)
+    for p in x:
+        old = 0
+        for k, q in enumerate(y, 1):
+            was = row[k]
+            row[k] = max(was, row[k - 1], old + weight(p, q))
+            old = was
+    return row[-1]
+
+
+def _matched(x: list[Node], y: list[Node], weight: Callable[[Node, Node], int]) -> list[tuple[Node, Node]]:
+    """The pairs of the largest matching. Of a long table the square root of its rows is kept, and those between are made again."""
+    n = len(x)
+    if n * len(y) > ROWS_FROM:
+        step = int(n**0.5) + 1
+        row = np.zeros(len(y) + 1, np.int64)
+        kept = [row, *(r for i, r in enumerate(_next_rows(x, y, weight, row), 1) if i % step == 0)]
+    else:
+        step, kept = n + 1, [[0] * (len(y) + 1)]
+    out, i, j = [], n, len(y)
+    while i and j:
+        begin = (i - 1) // step * step
+        best = [kept[begin // step]]
+        if n * len(y) > ROWS_FROM:
+            best += _next_rows(x[begin:i], y, weight, best[0])
+        else:
+            for p in x:
+                above, row = best[-1], [0]
+                for k, q in enumerate(y, 1):
+                    row.append(max(above[k], row[-1], above[k - 1] + weight(p, q)))
+                best.append(row)
+        while i > begin and j:
+            if best[i - begin][j] == best[i - begin - 1][j]:
+                i -= 1
+            elif best[i - begin][j] == best[i - begin][j - 1]:
+                j -= 1
+            else:
+                out.append((x[i - 1], y[j - 1]))
+                i, j = i - 1, j - 1
     return out
 
 
 def align(ref: Node, page: Node) -> dict[int, int]:
-    """Number of the matched reference node by page node number (simple tree matching).
+    """Number of the matched reference node by page node number (simple tree matching), the largest matching at any size.
 
     Equal shapes at either end of two lists of children are paired at once, which no better matching can undo; the rest is
-    matched by the usual dynamic program, or in order where it would be too long for that (EXACT_CELLS, EXACT_CHILDREN).
+    matched by the usual dynamic program. Subtrees of equal shapes are weighed once.
     """
     pairs: dict[int, int] = {}
     memo: dict[tuple[int, int], int] = {}
-    exact = ref.size * page.size <= EXACT_CELLS
-    if exact:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * min(ref.size, page.size) + 1000))
-
-    def trim(x: list[Node], y: list[Node]) -> tuple[int, int]:
-        """How many equal shapes both lists begin and end with."""
-        i, n, j = 0, min(len(x), len(y)), 0
-        while i < n and x[i].shape == y[i].shape:
-            i += 1
-        while j < n - i and x[-1 - j].shape == y[-1 - j].shape:
-            j += 1
-        return i, j
 
     def weight(a: Node, b: Node) -> int:
         if a.label != b.label:
             return 0
         if a.shape == b.shape:
             return a.size
-        key = (a.number, b.number)
-        if key not in memo:
-            x, y = a.children, b.children
-            i, j = trim(x, y)
-            total = 1
-            for n in [*x[:i], *x[len(x) - j :]]:
-                total += n.size
-            mx, my = x[i : len(x) - j], y[i : len(y) - j]
-            if len(mx) * len(my) > EXACT_CHILDREN:
-                for p, q in _in_order(mx, my):
-                    total += weight(p, q)
-            else:
-                row = [0] * (len(my) + 1)
-                for p in mx:
-                    old = 0
-                    for k, q in enumerate(my, 1):
-                        was = row[k]
-                        row[k] = max(was, row[k - 1], old + weight(p, q))
-                        old = was
-                total += row[-1]
-            memo[key] = total
-        return memo[key]
+        return memo[a.shape, b.shape] if a.children and b.children else 1
+
+    def weigh(x: list[Node], y: list[Node]) -> None:
+        """Have memo hold all pairs of two lists, those below them first."""
+        todo = _unweighed(x, y)
+        while todo:
+            a, b = todo[-1]
+            if (a.shape, b.shape) in memo:
+                todo.pop()
+                continue
+            i, j = _trim(a.children, b.children)
+            mx, my = a.children[i : len(a.children) - j], b.children[i : len(b.children) - j]
+            below = _unweighed(mx, my)
+            if below:
+                todo += below
+                continue
+            ends = sum(n.size for n in a.children[:i]) + sum(n.size for n in a.children[len(a.children) - j :])
+            memo[a.shape, b.shape] = 1 + ends + (_largest(mx, my, weight) if mx and my else 0)
+            todo.pop()
+
+    def _unweighed(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
+        ux, uy = ({n.shape: n for n in z if n.children} for z in (x, y))
+        return [(p, q) for p in ux.values() for q in uy.values() if p.label == q.label and p.shape != q.shape and (p.shape, q.shape) not in memo]
 
     todo = [(ref, page)]
     while todo:
@@ -270,27 +306,12 @@ def align(ref: Node, page: Node) -> dict[int, int]:
         if a.shape == b.shape:
             todo += zip(x, y)
             continue
-        i, j = trim(x, y)
+        i, j = _trim(x, y)
         todo += [*zip(x[:i], y[:i]), *zip(x[len(x) - j :], y[len(y) - j :])]
         mx, my = x[i : len(x) - j], y[i : len(y) - j]
-        if not exact or len(mx) * len(my) > EXACT_CHILDREN:
-            todo += _in_order(mx, my)
-            continue
-        best = [[0] * (len(my) + 1)]
-        for p in mx:
-            above, row = best[-1], [0]
-            for k, q in enumerate(my, 1):
-                row.append(max(above[k], row[-1], above[k - 1] + weight(p, q)))
-            best.append(row)
-        i, j = len(mx), len(my)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                todo.append((mx[i - 1], my[j - 1]))
-                i, j = i - 1, j - 1
+        if mx and my:
+            weigh(mx, my)
+            todo += _matched(mx, my, weight)
     return pairs
 
 

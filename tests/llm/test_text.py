@@ -485,6 +485,23 @@ def test_alignment_is_a_largest_tree_matching():
         assert len(pairs) == len(set(pairs.values())) == _size(a, b)
 
 
+@pytest.mark.parametrize("n", [40, 60, 130])
+def test_long_lists_are_matched_as_short_ones(n, monkeypatch):
+    rnd = random.Random(n)
+    a, b = (H.parse("<body>" + "".join(f"<{t}>" + "<b>x</b>" * rnd.randint(0, 3) + "<i>y</i>" * rnd.randint(0, 2) + f"</{t}>" for t in rnd.choices(["div", "section", "ul"], k=n)) + "</body>") for _ in range(2))
+    pairs = H.align(a, b)
+    assert len(pairs) == len(set(pairs.values())) == _size(a, b)
+    for bound in (0, 10**9):
+        monkeypatch.setattr(H, "ROWS_FROM", bound)
+        assert H.align(a, b) == pairs
+
+
+def test_large_trees_are_matched_as_small_ones():
+    """Sizes that multiply to over a million."""
+    a, b = (H.parse("<body>" + "".join("<div>" + "<b>x</b>" * (i * k % 7) + "<i>y</i>" * (i % k) + "</div>" for i in range(200)) + "</body>") for k in (3, 5))
+    assert a.size * b.size > 1_000_000 and len(H.align(a, b)) == _size(a, b)
+
+
 def test_deep_and_wide_pages(spark):
     assert _extract(spark, "<div>" * 3000 + "deep") == ["deep"]
     assert _extract(spark, "<article>" + "<p>x</p>" * 5000 + "</article>", "<article>" + "<p>y</p>" * 3000)[1].count("y") == 3000
