@@ -12,8 +12,10 @@ class BoostedTrees:
         self.n, self.depth, self.rate, self.ridge, self.least, self.cuts = trees, depth, rate, ridge, least, cuts
         self.prior, self.trees = 0.0, []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        share = (y.sum() + 0.5) / (len(y) + 1)
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> BoostedTrees:
+        """weight: how many rows each of x stands for, one by default."""
+        w = np.ones(len(y)) if weight is None else weight
+        share = ((w * y).sum() + 0.5) / (w.sum() + 1)
         self.prior = float(np.log(share / (1 - share)))
         edges = [np.unique(np.quantile(np.unique(c), np.linspace(0, 1, self.cuts)))[:-1] for c in x.T]
         bins = [np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)]
@@ -21,12 +23,12 @@ class BoostedTrees:
         for _ in range(self.n):
             p = 1 / (1 + np.exp(-z))
             tree: list[list] = []
-            self._grow(tree, np.arange(len(y)), edges, bins, p - y, p * (1 - p), self.depth)
+            self._grow(tree, np.arange(len(y)), edges, bins, w, w * (p - y), w * p * (1 - p), self.depth)
             self.trees.append([np.array(c) for c in zip(*tree)])
             z += self._leaf(self.trees[-1], x)
         return self
 
-    def _grow(self, tree: list, rows: np.ndarray, edges: list, bins: list, g: np.ndarray, h: np.ndarray, depth: int) -> int:
+    def _grow(self, tree: list, rows: np.ndarray, edges: list, bins: list, w: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int) -> int:
         at, gs, hs = len(tree), g[rows].sum(), h[rows].sum()
         tree.append([-1, 0.0, at, at, -self.rate * gs / (hs + self.ridge)])
         best, choice = 1e-3, None
@@ -34,19 +36,19 @@ class BoostedTrees:
             if not depth or not len(e):
                 continue
             k = b[rows]
-            count = np.bincount(k, minlength=len(e) + 1).cumsum()[:-1]
+            count = np.bincount(k, w[rows], len(e) + 1).cumsum()[:-1]
             gl = np.bincount(k, g[rows], len(e) + 1).cumsum()[:-1]
             hl = np.bincount(k, h[rows], len(e) + 1).cumsum()[:-1]
             gain = gl**2 / (hl + self.ridge) + (gs - gl) ** 2 / (hs - hl + self.ridge) - gs**2 / (hs + self.ridge)
-            gain[(count < self.least) | (len(rows) - count < self.least)] = 0
+            gain[(count < self.least) | (w[rows].sum() - count < self.least)] = 0
             if gain.max() > best:
                 best, choice = gain.max(), (f, int(gain.argmax()))
         if choice:
             f, i = choice
             left = bins[f][rows] <= i
             tree[at][:2] = [f, float(edges[f][i])]
-            tree[at][2] = self._grow(tree, rows[left], edges, bins, g, h, depth - 1)
-            tree[at][3] = self._grow(tree, rows[~left], edges, bins, g, h, depth - 1)
+            tree[at][2] = self._grow(tree, rows[left], edges, bins, w, g, h, depth - 1)
+            tree[at][3] = self._grow(tree, rows[~left], edges, bins, w, g, h, depth - 1)
         return at
 
     def _leaf(self, tree: list, x: np.ndarray) -> np.ndarray:

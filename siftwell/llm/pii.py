@@ -5,7 +5,7 @@ the checks dropped, spelled-out addresses, numbers without a plus sign, loosely
 format and by the words before it; a threshold for each kind, calibrated on held-out examples to a stated precision, picks those to
 add; of overlapping picks the surest stays, of equally sure ones the tightest. No table labels personal data, so the trees are fitted
 on a fixed number of generated examples, personal data in its contexts and look-alikes (versions, dates, prices, orders, measures) in
-theirs, and on a bounded sample of what the base patterns matched in the documents: matches that pass their check, also under the
+theirs, and on all that the base patterns matched in the documents, counted by their features: matches that pass their check, also under the
 disguises that the generators look for, and matches that fail it.
 """
 
@@ -27,9 +27,9 @@ from siftwell.llm.common import drop_caches, small_batches
 KINDS = ("email", "ip", "card", "phone")
 #: Generated examples that the trees are fitted and calibrated on.
 EXAMPLES = 8_000
-#: Documents, in expectation, and matches of each that examples are taken from.
-SAMPLED_DOCS = 20_000
-SAMPLED_SPANS = 8
+#: What the matches of all documents weigh beside the generated examples: as those of so many documents, and as so many of each.
+WEIGHT_DOCS = 20_000
+WEIGHT_SPANS = 8
 PRECISION = 0.995
 CONTEXT = 32
 
@@ -237,53 +237,70 @@ def disguised(text: str, span: Span, rnd: random.Random) -> tuple[str, Span] | N
     return text[:a] + said + text[b:], (kind, a, a + len(said))
 
 
-def real_examples(docs: DataFrame, text_col: str = "text", n_docs: int = SAMPLED_DOCS, n_spans: int = SAMPLED_SPANS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, label, kind number) of matches in n_docs documents in expectation, n_spans of each at most, picked by hash."""
-    share = min(1.0, n_docs / max(docs.count(), 1)) * 2.0**53
+def real_examples(docs: DataFrame, text_col: str = "text", n_docs: int = WEIGHT_DOCS, n_spans: int = WEIGHT_SPANS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, label, kind number) of weighted_examples."""
+    return weighted_examples(docs, text_col, n_docs, n_spans)[:3]
+
+
+def weighted_examples(docs: DataFrame, text_col: str = "text", n_docs: int = WEIGHT_DOCS, n_spans: int = WEIGHT_SPANS) -> tuple[np.ndarray, ...]:
+    """(features, label, kind number, weight, held out) of all matches in all distinct texts, those of equal features as one.
+
+    A match weighs so that a document has n_spans at most and all documents have n_docs; a quarter of the texts is held out.
+    """
     picked = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("seed")).where("text IS NOT NULL")
-    picked = picked.where(F.pmod(F.xxhash64("seed"), F.lit(2**53)).cast("double") < share).dropDuplicates(["seed"])
 
     def run(batches):
         drop_caches()
         for b in batches:
-            x, y, k = [], [], []
+            seeds, at_doc, x, y, k, w = [], [], [], [], [], []
             for text, seed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rnd = random.Random(seed)
+                rnd, i = random.Random(seed), 0
                 found = list(base_matches(text))
-                for kind, start, end, good in rnd.sample(found, min(n_spans, len(found))):
+                for kind, start, end, good in found:
                     if kind == "phone" and not good or not good and end - start > 64:
                         continue  # a run of digits and marks after a plus sign may hold a number
                     part, at = text[max(0, start - 2 * CONTEXT) : end + 2 * CONTEXT], min(start, 2 * CONTEXT)
                     span = (kind, at, at + end - start)
                     for said, where in filter(None, [(part, span), disguised(part, span, rnd) if good else None]):
-                        x.append(describe(said, where))
-                        y.append(float(good))
+                        seeds.append(seed)
+                        at_doc.append(i)
+                        x.append(np.array(describe(said, where), np.int32).tobytes())  # all features are whole numbers
+                        y.append(int(good))
                         k.append(KINDS.index(kind))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64()), pa.array(k, pa.int64())], names=["x", "y", "k"])
-
-    rows = picked.select("text", "seed").mapInArrow(run, "x array<double>, y double, k long").orderBy("k", "y", F.xxhash64("x")).toArrow()  # at most 2 * n_docs * n_spans
+                        w.append(round(10**6 * min(1.0, n_spans / len(found))))
+                        i += 1
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((seeds, at_doc, x, y, k, w), kinds)], names=["seed", "i", "x", "y", "k", "w"])
+
+    each = picked.mapInArrow(run, "seed long, i long, x binary, y long, k long, w long").distinct()  # copies of a text have equal rows
+    held = (F.pmod(F.xxhash64("seed"), F.lit(4)) == 0).alias("held")
+    rows = each.groupBy("k", "y", held, "x").agg(F.sum("w").alias("w")).orderBy("k", "y", "held", "x").toArrow()  # as many as there are distinct features
     if not rows.num_rows:
-        return np.zeros((0, len(describe("1", ("ip", 0, 1))))), np.zeros(0), np.zeros(0, np.int64)
-    return np.array(rows.column("x").to_pylist()), rows.column("y").to_numpy(), rows.column("k").to_numpy()
+        return np.zeros((0, len(describe("1", ("ip", 0, 1))))), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)
+    share = min(1.0, n_docs / max(docs.count(), 1)) / 10**6
+    x = np.array([np.frombuffer(v, np.int32) for v in rows.column("x").to_pylist()], float)
+    y, k, w = (rows.column(c).to_numpy() for c in ("y", "k", "w"))
+    return x, y.astype(float), k, w * share, np.array(rows.column("held").to_pylist())
 
 
 class PiiModel:
     """Trees and a threshold for each kind: the least score that keeps PRECISION on held-out examples, 0.5 at least."""
 
-    def __init__(self, examples: int = EXAMPLES, real: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+    def __init__(self, examples: int = EXAMPLES, real: tuple[np.ndarray, ...] | None = None):
         x, y, k = generate(examples)
-        fold = np.arange(len(y)) // 8 % 4 == 0
-        if real is not None:
-            x, y, k = (np.concatenate(pair) for pair in zip((x, y, k), real))
-            fold = np.concatenate([fold, np.arange(len(real[1])) % 4 == 0])
-        self.trees = BoostedTrees().fit(x[~fold], y[~fold])
+        w, fold = np.ones(len(y)), np.arange(len(y)) // 8 % 4 == 0
+        if real is not None:  # examples without weights weigh one, and every fourth is held out
+            n = len(real[1])
+            real = (*real[:3], *(real[3:] or (np.ones(n), np.arange(n) % 4 == 0)))
+            x, y, k, w, fold = (np.concatenate(pair) for pair in zip((x, y, k, w, fold), real))
+        self.trees = BoostedTrees().fit(x[~fold], y[~fold], w[~fold])
         score = self.trees.predict(x[fold])
-        self.thresholds = {kind: self._threshold(score[k[fold] == i], y[fold][k[fold] == i]) for i, kind in enumerate(KINDS)}
+        self.thresholds = {kind: self._threshold(score[k[fold] == i], y[fold][k[fold] == i], w[fold][k[fold] == i]) for i, kind in enumerate(KINDS)}
 
     @staticmethod
-    def _threshold(score: np.ndarray, y: np.ndarray) -> float:
+    def _threshold(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
         order = np.argsort(-score)
-        precise = np.flatnonzero(y[order].cumsum() / np.arange(1, len(y) + 1) >= PRECISION)
+        precise = np.flatnonzero((w * y)[order].cumsum() / w[order].cumsum() >= PRECISION)
         return max(0.5, float(score[order][precise[-1]])) if len(precise) else 2.0
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
@@ -315,7 +332,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A null text is empty and has no spans; repeated rows and null ids are returned each; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    model = PiiModel(real=real_examples(docs, text_col))
+    model = PiiModel(real=weighted_examples(docs, text_col))
     picked = docs.select(id_col, text_col)
 
     def run(batches):
@@ -351,7 +368,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     Null and empty texts stay as they are; repeated rows are redacted each; an empty table gives no rows; other columns stay.
     """
     small_batches(docs.sparkSession)
-    model = PiiModel(real=real_examples(docs, text_col))
+    model = PiiModel(real=weighted_examples(docs, text_col))
     at = docs.columns.index(text_col)
     size = docs.columns.index(length_col) if length_col in docs.columns else None
 

@@ -221,6 +221,15 @@ def test_examples_of_documents(spark, docs):
     assert all(0.5 <= t < 1 for t in model.thresholds.values())
 
 
+def test_examples_come_from_all_documents_and_matches(spark):
+    texts = [" ".join(f"mail {'a' * (20 * i + j + 1)}@b.org," for j in range(20)) for i in range(30)]
+    df = spark.createDataFrame([(t,) for t in [*texts, texts[0], None, "nothing"]], "text string")
+    x, y, k, w, held = pii.weighted_examples(df, n_docs=11)
+    assert set(pii.real_examples(df, n_docs=11)[0][:, 9]) >= {6.0 + n for n in range(1, 601)}
+    assert w.sum() == pytest.approx(30 * 8 * 2 * 11 / 33) and (y == 1).all() and (k == 0).all() and 0 < held.sum() < len(held)
+    assert len(pii.PiiModel(real=(x, y, k, w, held)).trees.trees) == 60
+
+
 def test_op9_digest(spark, docs):
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in op9_pii(spark, SF).collect():
