@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import bounded, discard, drop_caches, release_shuffles, small_batches, stage
+from siftwell.llm.common import discard, drop_caches, release_shuffles, small_batches, stage
 
 RADIUS = 3
 SHINGLE = 3
@@ -171,7 +171,7 @@ def connected(edges: DataFrame, label: str = "stars") -> DataFrame:
     """(a, b): every node of the edges but the least of its component, with that least node. Nodes are longs.
 
     Labels of hubs (nodes with so many edges that only HUBS of them can exist) are broadcast, so the rows of a hub stay where they
-    are; its own minimum is aggregated by task before the shuffle.
+    are; its own minimum is aggregated by task before the shuffle. What a round shuffled goes after it, from disk and from the driver.
     """
 
     def labelled(e: DataFrame, low: DataFrame, hub: int) -> DataFrame:
@@ -196,6 +196,7 @@ def connected(edges: DataFrame, label: str = "stars") -> DataFrame:
         before = now
         now = stage(small(large(now, hub), hub).where("a <> b").distinct(), label)
         discard(before)
+        release_shuffles(now.sparkSession)
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if mark == seen:
             return now
@@ -358,8 +359,8 @@ def _word_links(keyed: DataFrame, word: int, side: int, limit: int) -> DataFrame
     return keyed.select("group", "key", "node", "fps").mapInArrow(run, "a long, b long")
 
 
-def _across(big: DataFrame, stars: DataFrame, bound: int) -> DataFrame:
-    """(group, key, node): groups of about twice bound in which all of a large meeting point that isn't linked yet meets.
+def _across(big: DataFrame, stars: DataFrame, bound: int) -> DataFrame | None:
+    """(group, key, node): groups of about twice bound in which all of a large meeting point that isn't linked yet meets; None if all is.
 
     big has (key, node, parts, part), and the parts have been linked, to stars. Of two nodes that aren't linked, one at least is
     outside the point's largest component; so those, cut up into runs of about bound, meet every part.
@@ -367,6 +368,8 @@ def _across(big: DataFrame, stars: DataFrame, bound: int) -> DataFrame:
     of = big.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = of.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
     main = stage(main.where("rest > 0").select("key", "main", F.ceil(F.col("rest") / bound).alias("runs")), "wide-rest")
+    if not main.limit(1).count():
+        return None
     of = of.join(main, "key")
     every = of.select("key", "node", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"))
     rest = of.where("root <> main").withColumn("run", F.pmod(F.xxhash64("node", F.lit(1)), F.col("runs")))
@@ -413,15 +416,19 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = F.transform(F.array(*[F.lit(1 << i) for i in range(32)]), lambda bit: half.bitwiseXOR(bit))
         keyed = nodes.select("node", F.explode(F.concat(F.array(half), near)).alias("key"))
         shared = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-meetings")
-        plain = bounded(shared.where(F.col("n") <= group_bound).select("key"), BROADCAST_KEYS)
+        large = F.col("n") > group_bound
+        many, few = shared.agg(F.count_if(~large), F.count_if(large)).first()
+        plain = shared.where(~large).select("key")
+        plain = F.broadcast(plain) if many <= BROADCAST_KEYS else plain
         now = links_of(t, side, keyed.join(plain, "key").select(F.col("key").alias("group"), "key", "node"))
         big = None
-        if shared.where(F.col("n") > group_bound).limit(1).count():
+        if few:
             parts = F.ceil(F.col("n") / half_bound)
-            large = bounded(shared.where(F.col("n") > group_bound), BROADCAST_KEYS)
-            big = stage(keyed.join(large, "key").select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part")), "wide-swarm")
+            swarm = shared.where(large)
+            swarm = F.broadcast(swarm) if few <= BROADCAST_KEYS else swarm
+            big = stage(keyed.join(swarm, "key").select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part")), "wide-swarm")
             now = now.union(links_of(t, side, big.select(F.xxhash64("key", "part").alias("group"), "key", "node")))
-        now = stage(now.where("a <> b").distinct(), "wide-links")
+        now = stage(now.where("a <> b"), "wide-links")
         discard(shared)
         return now, big
 
@@ -433,11 +440,15 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             swarms += [(t, side, big)] if big is not None else []
             release_shuffles(spark)
     stars = connected(links, "wide-stars")
-    if swarms:
-        for t, side, big in swarms:
-            links = links.union(stage(links_of(t, side, _across(big, stars, half_bound)).where("a <> b").distinct(), "wide-links"))
-            release_shuffles(spark)
-        stars = connected(links, "wide-stars")
+    more = None  # links that the stars lack
+    for t, side, big in swarms:
+        rest = _across(big, stars, half_bound)
+        if rest is not None:
+            now = stage(links_of(t, side, rest).where("a <> b"), "wide-links")
+            more = now if more is None else more.union(now)
+        release_shuffles(spark)
+    if more is not None:
+        stars = connected(stars.union(more), "wide-stars")
     rooted = nodes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select("fps", "least_id", F.coalesce("b", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return prints.join(rooted.join(least, "root").select("fps", "component_id"), "fps").select(id_col, "component_id")
@@ -453,7 +464,8 @@ def _least_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     stays = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__stays")).agg(F.count("*").alias("n"))
     stays = stage(stays, "stays")
     same = docs[id_col] == F.col("__stays")
-    kept = docs.join(stays.where("n = 1").select("__stays"), same, "left_semi")
+    # as many ids stay as there are documents, all but: they are never broadcast, at no size
+    kept = docs.join(stays.where("n = 1").select("__stays").hint("merge"), same, "left_semi")
     if stays.where("n > 1").limit(1).count():
         row = F.struct(*[docs[c] for c in docs.columns])
         again = docs.join(stays.where("n > 1").select("__stays"), same, "left_semi")

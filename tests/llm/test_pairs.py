@@ -109,6 +109,31 @@ def test_hubs_keep_their_component(spark, monkeypatch):
     assert set(got.values()) == {0, 2} and len(got) == 93 and got[200] == 0 and got[1] == 0
 
 
+def test_texts_meet_the_ids_that_stay_in_the_same_way_at_any_size(spark):
+    """The ids that stay grow with the documents; where few were broadcast, disk at a small size said nothing of that at a large one."""
+    kept = S.drop_loose_duplicates(spark.range(300).selectExpr("id AS doc_id", "concat_ws(' ', 'text', id, id * 7, id * 31, 'of its own') AS text"))
+    assert kept.count() == 300
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftSemi" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_rounds_release_what_they_shuffled_and_linked_swarms_cost_no_search(spark, monkeypatch):
+    """What rounds leave behind stays in the driver's memory; a large meeting point that is one component already isn't searched again."""
+    calls, staged = [], []
+    monkeypatch.setattr(S, "release_shuffles", lambda spark: calls.append("release"))
+    real = S.stage
+    monkeypatch.setattr(S, "stage", lambda df, label: (staged.append(label), real(df, label))[1])
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)], "a long, b long")
+    assert {r.b for r in S.connected(edges, "rounds").collect()} == {0}
+    assert len(calls) == staged.count("rounds") - 1 > 2
+
+    big = spark.createDataFrame([(7, i, 2, i % 2) for i in range(6)], "key long, node long, parts long, part long")
+    stars = spark.createDataFrame([(i, 0) for i in range(1, 6)], "a long, b long")
+    assert S._across(big, stars, 3) is None
+    apart = S._across(big, stars.where("a <> 5"), 3).collect()
+    assert {frozenset(r.node for r in apart if r.group == g) for g in {r.group for r in apart}} == {frozenset({0, 2, 4, 5}), frozenset({1, 3, 5})}
+
+
 def test_loose_dedup_on_messy_rows(messy, none):
     kept = S.drop_loose_duplicates(messy)
     assert kept.columns == messy.columns
