@@ -171,31 +171,41 @@ def connected(edges: DataFrame, label: str = "stars") -> DataFrame:
     """(a, b): every node of the edges but the least of its component, with that least node. Nodes are longs.
 
     Labels of hubs (nodes with so many edges that only HUBS of them can exist) are broadcast, so the rows of a hub stay where they
-    are; its own minimum is aggregated by task before the shuffle. What a round shuffled goes after it, from disk and from the driver.
+    are; its own minimum is aggregated by task before the shuffle. Each half of a round is written before the next reads it: as one
+    plan they would repeat each other's steps, and the driver holds such a plan many times over. What a round shuffled or wrote goes
+    after it, from disk and from the driver.
     """
 
     def labelled(e: DataFrame, low: DataFrame, hub: int) -> DataFrame:
         hubs = low.where(F.col("n") > hub).select(F.col("a").alias("hub"), F.col("m").alias("hub_m"))  # at most 2 * HUBS + 1 rows
+        if not hubs.limit(1).count():
+            return e.join(low.select("a", "m"), "a").select("a", "b", "m")
         tried = e.join(F.broadcast(hubs), e["a"] == F.col("hub"), "left")
         rest = tried.where("hub IS NULL").select("a", "b").join(low.where(F.col("n") <= hub).select("a", "m"), "a")
         return tried.where("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")).unionByName(rest)
 
     def large(e: DataFrame, hub: int) -> DataFrame:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        return labelled(both.where("b > a"), low, hub).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        back = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        low = stage(e.union(back).groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), f"{label}-low")
+        grown = stage(labelled(back, low, hub).select(F.col("b").alias("a"), F.col("m").alias("b")), f"{label}-large")
+        discard(low)
+        return grown
 
     def small(e: DataFrame, hub: int) -> DataFrame:
-        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        return labelled(e, low, hub).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        low = stage(e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), f"{label}-low")
+        more = labelled(e, low, hub).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        shrunk = stage(more.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), label)
+        discard(low)
+        return shrunk
 
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     seen, size = None, now.count()
     while True:
         hub = max(HUB, 2 * size // HUBS)
-        before = now
-        now = stage(small(large(now, hub), hub).where("a <> b").distinct(), label)
-        discard(before)
+        grown = large(now, hub)
+        discard(now)
+        now = small(grown, hub)
+        discard(grown)
         release_shuffles(now.sparkSession)
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if mark == seen:

@@ -265,24 +265,40 @@ class ToxicityModel:
         return lambda text: float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[list(read(text))].sum(), -30, 30))))
 
 
+#: Rows of the classifier's table that are turned into doubles at once.
+FIT_ROWS = 1000
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[np.ndarray, float]:
-    """Damped Newton steps on the ridge-penalized likelihood; the intercept isn't penalized."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
+    """Damped Newton steps on the ridge-penalized likelihood; the intercept isn't penalized. x is 0 or 1, a byte each."""
+    w = np.zeros(x.shape[1] + 1)
     w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     pen = np.full(len(w), ridge)
     pen[-1] = 1e-6
+    runs = [slice(at, at + FIT_ROWS) for at in range(0, len(y), FIT_ROWS)]
+
+    def rows(run: slice) -> np.ndarray:
+        part = x[run].astype(float)
+        return np.hstack([part, np.ones((len(part), 1))])
+
+    def margins(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([rows(run) @ w for run in runs])
 
-    def loss(w: np.ndarray) -> float:
-        z = x1 @ w
+    def loss(z: np.ndarray, w: np.ndarray) -> float:
         return float(np.logaddexp(0, z).sum() - y @ z + pen @ w**2 / 2)
 
-    now = loss(w)
+    z = margins(w)
+    now = loss(z, w)
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(pen), x1.T @ (p - y) + pen * w)
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        bend, slope = np.diag(pen), pen * w
+        for run in runs:
+            part = rows(run)
+            bend += (part * (p[run] * (1 - p[run]))[:, None]).T @ part
+            slope += part.T @ (p[run] - y[run])
+        step = np.linalg.solve(bend, slope)
         size = 1.0
-        while (new := loss(w - size * step)) > now and size > 1e-6:
+        while (new := loss(z := margins(w - size * step), w - size * step)) > now and size > 1e-6:
             size /= 2
         if now - new < 1e-6 * abs(now):
             break
@@ -348,7 +364,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     table = rows.mapInArrow(numbered, "toxic long, found array<int>").toArrow()
     y = (table.column("toxic").to_numpy() == 1).astype(float)
     found = table.column("found").combine_chunks()
-    x = np.zeros((len(y), len(best)))
+    x = np.zeros((len(y), len(best)), np.uint8)
     x[np.repeat(np.arange(len(found)), found.value_lengths().to_numpy()), found.flatten().to_numpy()] = 1
     weights, intercept = _logistic(x, y)
     return ToxicityModel(chars, best, weights, intercept)

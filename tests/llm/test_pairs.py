@@ -134,6 +134,22 @@ def test_rounds_release_what_they_shuffled_and_linked_swarms_cost_no_search(spar
     assert {frozenset(r.node for r in apart if r.group == g) for g in {r.group for r in apart}} == {frozenset({0, 2, 4, 5}), frozenset({1, 3, 5})}
 
 
+def test_plans_of_a_round_stay_small(spark, monkeypatch):
+    """A round as one plan read its edges some sixty times, and the driver held that plan over and over."""
+    scans = []
+
+    def staged(df, label, stage=S.stage):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return stage(df, label)
+
+    monkeypatch.setattr(S, "stage", staged)
+    rows = [(i, i + 1) for i in range(20)] + [(1000 + i, 100) for i in range(S.HUB + 50)] + [(1000 + i, 5000 + i) for i in range(0, S.HUB, 3)]
+    edges = S.stage(spark.createDataFrame(rows, "a long, b long"), "edges")
+    got = {r.a: r.b for r in S.connected(edges, "small-plans").collect()}
+    assert set(got.values()) == {0, 100} and len(got) == 20 + S.HUB + 50 + len(range(0, S.HUB, 3))
+    assert 0 < max(scans) <= 10
+
+
 def test_loose_dedup_on_messy_rows(messy, none):
     kept = S.drop_loose_duplicates(messy)
     assert kept.columns == messy.columns

@@ -122,6 +122,20 @@ def test_logistic_separates_and_stays_finite():
     assert ((x @ w + b > 0) == (y == 1)).all() and np.isfinite(w).all()
 
 
+def test_logistic_holds_a_run_of_rows_as_doubles():
+    import tracemalloc
+
+    import numpy as np
+
+    x = (np.random.default_rng(0).random((20_000, 400)) < 0.03).astype(np.uint8)
+    y = (x[:, :20].sum(axis=1) > 0).astype(float)
+    tracemalloc.start()
+    w, b = X._logistic(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20 and ((x @ w + b > 0) == (y == 1)).mean() > 0.99
+
+
 def test_op3_on_messy_rows(spark, messy, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (2, 1, 0), (None, 1, 1), (6, 1, None)], "doc_id long, quality int, toxic int")
     for ls in (labels, labels.limit(0), labels.where("toxic = 1")):
