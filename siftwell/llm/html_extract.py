@@ -40,6 +40,8 @@ ARRAY_KEYS = 50_000
 LINK_SHARE = 0.5
 #: Lists of children whose lengths multiply to more are matched a row of numpy at a time, with the same result.
 ROWS_FROM = 2_000
+#: A task remembers alignments of about so many pairs of nodes in all.
+REMEMBERED = 300_000
 
 # HTML's elements by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -315,6 +317,25 @@ def align(ref: Node, page: Node) -> dict[int, int]:
     return pairs
 
 
+class Aligner:
+    """align, once for all pages of one shape and trees of one shape: numbers and matches follow from the shapes alone."""
+
+    def __init__(self):
+        self.known: dict[tuple[int, ...], dict[int, int]] = {}
+        self.held = 0
+
+    def __call__(self, ref: Node, page: Node) -> dict[int, int]:
+        key = ref.shape, ref.size, page.shape, page.size
+        pairs = self.known.get(key)
+        if pairs is None:
+            if self.held > REMEMBERED:
+                self.known.clear()
+                self.held = 0
+            self.known[key] = pairs = align(ref, page)
+            self.held += len(pairs)
+        return pairs
+
+
 def _chrome(node: Node, inside: bool) -> bool:
     """Whether a node, within an article or not, is marked as something that isn't the article."""
     if node.tag in DROPPED or node.tag == "header" and not inside:
@@ -432,15 +453,16 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         rows = rows.join(tree, F.get(_sites(), F.lit(side)) == F.col(f"{name}_site"), "left")
     kind = rows.schema["id"].dataType.simpleString()
 
-    def places(page: Node, trees: list[Node]) -> dict[int, int]:
+    def places(aligned: Aligner, page: Node, trees: list[Node]) -> dict[int, int]:
         out: dict[int, int] = {}
         for k, tree in enumerate(trees):
-            for mine, theirs in align(tree, page).items():
+            for mine, theirs in aligned(tree, page).items():
                 out.setdefault(mine, k << 40 | theirs)
         return out
 
     def run(batches):
         known: dict[str, Node] = {}
+        aligned = Aligner()
         for b in batches:
             out = []
             for page, *trees in zip(*(b.column(i).to_pylist() for i in (4, 5, 6))):
@@ -450,7 +472,7 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     if t not in known:
                         known[t] = from_skeleton(t)
                 mine = parse(page)
-                at = [places(mine, [known[t] for t in ts or ()]) for ts in trees]
+                at = [places(aligned, mine, [known[t] for t in ts or ()]) for ts in trees]
                 own: Counter = Counter()
                 told = []
                 for n, text, marked, inside in blocks(mine):

@@ -495,6 +495,22 @@ def _size(a, b):
     return 1 + t[-1][-1]
 
 
+def test_pages_of_one_shape_are_aligned_once(monkeypatch):
+    calls = []
+    real = H.align
+    monkeypatch.setattr(H, "align", lambda ref, page: (calls.append(1), real(ref, page))[1])
+    page = lambda n, said: H.parse("<html><body><ul class='menu'>" + "<li>x</li>" * 3 + "</ul><article>" + f"<p>{said}</p>" * n + "</article></body></html>")
+    refs = [page(4, "a"), page(4, "b"), H.from_skeleton(H.skeleton(page(2, "c")))]
+    aligned = H.Aligner()
+    for n in (2, 3, 5, 2, 3, 5, 4):
+        for ref in refs:
+            mine = page(n, f"text {len(calls)}")
+            assert aligned(ref, mine) == real(ref, mine)
+    assert len(calls) == 8  # four shapes of pages, two of references
+    monkeypatch.setattr(H, "REMEMBERED", 0)
+    assert aligned(refs[0], page(7, "new")) == real(refs[0], page(7, "new")) and len(aligned.known) == 1
+
+
 def test_alignment_is_a_largest_tree_matching():
     rnd = random.Random(4)
 
